@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stacksift.llm import language, pieces
 from stacksift.llm.common import documents
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
@@ -15,12 +18,33 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "mix_at.slot", "mix_at.block", "mix_at.release", "mix_at.due", "mix_at.offset", "mix_at.quota", "mix_at.round_slots")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text"), model)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op7_mixing": op7_mixing,
+    "op8_pieces": op8_pieces,
+    "op9_language": op9_language,
     "op10_sharding": op10_sharding,
 }
 
