@@ -6,12 +6,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksift.llm import language, pieces
+from stacksift.llm import fingerprint, jpeg, language, pieces
 from stacksift.llm.common import documents
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited form, compared with each other and with the next document's."""
+    found = fingerprint.edited_documents(documents(spark, sf_dir))
+    own, edited, after = F.col("own.s"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id",
+        F.char_length("own.text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        fingerprint.fingerprint_text(own).alias("fingerprint"),
+        fingerprint.fingerprint_text(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"),
+        fingerprint.likeness(own, after).alias("near_next"),
+        fingerprint.containment(own, edited).alias("contained_in_edited"),
+        fingerprint.containment(own, after).alias("contained_in_next"),
+    )
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's text as stored in JPEG samples and as read back from them."""
+    found = jpeg.media_columns(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("thumbnail").cast("long").alias("payload_bytes"),
+        F.sha2(F.col("thumbnail"), 256).alias("payload_sha256"),
+        F.crc32(F.substring("thumbnail", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2(F.col("media"), 256).alias("media_sha256"),
+        F.format_string("%dx%d:%s", "width", "height", "thumbnail_hash").alias("feature"),
+        "images",
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture of all sources."""
     docs = documents(spark, sf_dir).select("doc_id", "source")
@@ -42,6 +75,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_fingerprint": op4_fingerprint,
+    "op5_media": op5_media,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
     "op9_language": op9_language,
