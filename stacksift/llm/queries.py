@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksift.llm import fingerprint, jpeg, language, pieces
+from stacksift.llm import fingerprint, jpeg, language, license, pieces
 from stacksift.llm.common import documents
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
@@ -45,6 +45,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections in every document, in digest form."""
+    return license.scan_documents(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture of all sources."""
     docs = documents(spark, sf_dir).select("doc_id", "source")
@@ -77,6 +82,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_fingerprint": op4_fingerprint,
     "op5_media": op5_media,
+    "op6_license": op6_license,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
     "op9_language": op9_language,
