@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,16 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """At most `most` rows of each group, chosen by a hash of key, with their rank rn from 1.
+
+    Groups are first thinned by their counts, so that a hot group is never ranked as a whole. The group
+    column must have few values and no nulls; keep rows narrow.
+    """
+    per = F.broadcast(rows.groupBy(group).agg(F.count("*").alias("n")))  # one row per group
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    thin = rows.join(per, group).where(place < F.lit(2.0 * most * (1 << 20)) / F.col("n")).drop("n")
+    ranked = thin.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key)))
+    return ranked.where(F.col("rn") <= most)

@@ -9,11 +9,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stacksift.llm.common import slices
+from stacksift.llm.common import bounded_sample, slices
 
 #: Families of languages by ISO 639-1 code. A language of no family here forms its own.
 FAMILIES = {
@@ -155,11 +155,8 @@ class LanguageModel:
 def training_sample(docs: DataFrame, sample: int) -> DataFrame:
     """At most `sample` documents of each language, by a hash of doc_id, none of them held out."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    per = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))  # one row per language
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    thin = rows.join(per, "lang").where(hashed < F.lit(1 << 20) * F.lit(2.0 * sample) / F.col("n"))
-    ranked = thin.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))))
-    return ranked.where(F.col("rn") <= sample).select("lang", "text", "rn")
+    chosen = F.broadcast(bounded_sample(rows.select("lang", "doc_id"), "lang", "doc_id", sample))  # at most `sample` ids of a language
+    return rows.join(chosen, ["lang", "doc_id"]).select("lang", "text", "rn")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:

@@ -96,7 +96,7 @@ PLAIN = [
     ("openrail", "(?:creativeml )?open ?rail(?: \\+?\\+?m)? licen[cs]e", "rail"), ("llama", "llama (?:[0-9] )*community license(?: agreement)?", "llama"), ("gemma", "gemma terms of use", "gemma"),
     ("proprietary", "proprietary licen[cs]e", "proprietary"), ("proprietary", "all rights reserved", "all rights reserved"), ("eula", "end user licen[cs]e agreement", "end user"),
     ("copyright-notice", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright"), ("no-warranty", "without warrant(?:y|ies) (?:of any kind|or conditions of any kind)", "without warrant"),
-    ("no-warranty", "provided as is without warranty", "as is"), ("permissive-hint", "permission is granted", "permission is granted"), ("copyleft-hint", "copyleft", "copyleft"),
+    ("no-warranty", "provided as is without warranty", "without warrant"), ("permissive-hint", "permission is granted", "permission is granted"), ("copyleft-hint", "copyleft", "copyleft"),
     ("creative-commons", "creative ?commons (?:org )?licen[cs]es?", "commons"), ("license-hint", "licensed under the (?:terms of the )?[^ ]+ licen[cs]e", "licensed under"),
     ("license-hint", "released under the [^ ]+ licen[cs]e", "released under"), ("license-hint", "spdx license identifier [^ ]+", "spdx"), ("license-hint", "dual licensed", "dual licensed"),
 ]

@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksift.llm import fingerprint, jpeg, language, license, pieces
+from stacksift.llm import fingerprint, jpeg, language, license, pieces, toxicity
 from stacksift.llm.common import documents
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity, learned from the labels."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).drop("text")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited form, compared with each other and with the next document's."""
     found = fingerprint.edited_documents(documents(spark, sf_dir))
@@ -80,6 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_fingerprint": op4_fingerprint,
     "op5_media": op5_media,
     "op6_license": op6_license,
