@@ -7,10 +7,11 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -96,7 +97,24 @@ class Encoder:
         alone = "".join(c for c in "\n\t\r" if c not in inside)  # in no longer piece: a chunk may end here
         stop = re.escape(alone)
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + (f"|[{stop}]" if alone else "")).findall
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the chunk memory: a chunk's number, and by number the place of its ids in the store."""
+        self.memory: dict[str, int] = {}
+        self.store, self.used = np.zeros(1 << 16, dtype=np.int32), 0
+        self.start, self.count = np.zeros(MEMORY, dtype=np.int64), np.zeros(MEMORY, dtype=np.int64)
+
+    def remember(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first, n = len(self.memory), len(chunks)
+        self.memory.update(zip(chunks, range(first, first + n), strict=True))
+        while first + n > len(self.start):
+            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(ids) > len(self.store):
+            self.store = np.resize(self.store, 2 * len(self.store))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.start[first : first + n], self.count[first : first + n] = self.used + counts.cumsum() - counts, counts
+        self.used += len(ids)
 
     def symbols(self, chunk: str) -> list[int]:
         """Ids of the characters; -1 - code point for a character outside the vocabulary."""
@@ -153,8 +171,8 @@ class Encoder:
     def slot_of(keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
-    def together(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Chunks of one length: in each round, every chunk merges the first pair of its own agenda."""
+    def together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of one length, one after the other, and their numbers of ids: in each round, every chunk merges the first pair of its own agenda."""
         n, width = len(chunks), len(chunks[0])
         code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         used, back = np.unique(code, return_inverse=True)
@@ -187,26 +205,54 @@ class Encoder:
                 pair[row, right] = self.look_up(ids[row, right], ids[row, right + 1])
         if len(live):
             out[live, :width] = ids
-        return [self.finish(x[:k]) for x, k in zip(out.tolist(), size.tolist(), strict=True)]
+        flat = out[np.arange(out.shape[1]) < size[:, None]]
+        if (flat >= 0).all():
+            return flat, size
+        full = [self.finish(x[:k]) for x, k in zip(out.tolist(), size.tolist(), strict=True)]
+        return np.array(list(chain.from_iterable(full))), np.array([len(x) for x in full])
+
+    def learn(self, chunks: set[str]) -> None:
+        same: dict[int, list[str]] = {}
+        for c in chunks:
+            same.setdefault(len(c), []).append(c)
+        for n, group in same.items():
+            if n > LONG:
+                for c in group:
+                    ids = np.array(self.by_agenda(c))
+                    self.remember([c], ids, np.array([len(ids)]))
+            else:
+                for k in range(0, len(group), TOGETHER):
+                    self.remember(group[k : k + TOGETHER], *self.together(group[k : k + TOGETHER]))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text, without an end id; none for null or empty."""
+    def encode(self, texts: list[str | None], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the edges between texts; tail: an id for each text's end."""
+        if len(self.memory) > MEMORY:
+            self.forget()
         split = [self.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
-        new: dict[int, list[str]] = {}
-        for c in set(chain.from_iterable(split)).difference(memory):
-            if len(c) > LONG:
-                memory[c] = self.by_agenda(c)
-            else:
-                new.setdefault(len(c), []).append(c)
-        for same in new.values():
-            for k in range(0, len(same), TOGETHER):
-                part = same[k : k + TOGETHER]
-                memory.update(zip(part, self.together(part), strict=True))
-        get = memory.__getitem__
-        return [list(chain.from_iterable(map(get, s))) for s in split]
+        chunks = list(chain.from_iterable(split))
+        number = np.fromiter(map(self.memory.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            self.learn({chunks[i] for i in new})
+            number[new] = [self.memory[chunks[i]] for i in new]
+        count = self.count[number]
+        ids = self.store[spans(self.start[number], count)]
+        of_text = np.concatenate([[0], np.cumsum([len(s) for s in split])])
+        edges = np.concatenate([[0], count.cumsum()])[of_text]
+        if tail is not None:
+            ids = np.insert(ids, edges[1:], tail)
+            edges = edges + np.arange(len(edges))
+        return ids, edges
+
+    def encode_lists(self, texts: list[str | None]) -> list[list[int]]:
+        ids, edges = self.encode(texts)
+        return [x.tolist() for x in np.split(ids, edges[1:-1])] if texts else []
+
+
+def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then those of start[1], and so on."""
+    before = count.cumsum() - count
+    return np.arange(int(count.sum())) + np.repeat(start - before, count)
 
 
 class Decoder:
@@ -221,6 +267,39 @@ class Decoder:
         self.plain = {*v.byte_ids.values(), v.unknown}  # these have no dummy space in front
         self.stand_ins = re.compile(f"[{chr(self.ZERO - 255)}-{chr(self.ZERO)}]+|{self.SILENT}")
 
+        raw = [p.replace(SPACE, " ").encode() if m else b"" for p, m in zip(v.pieces, v.mergeable, strict=True)]
+        raw[v.unknown] = " ⁇ ".encode()
+        for b, i in v.byte_ids.items():
+            raw[i] = bytes([b])
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.size = np.array([len(x) for x in raw])
+        self.start = self.size.cumsum() - self.size
+        self.is_byte = np.zeros(len(raw), dtype=bool)
+        self.is_byte[list(v.byte_ids.values())] = True
+        self.spaced = np.array([m and p.startswith(SPACE) for p, m in zip(v.pieces, v.mergeable, strict=True)])
+
+    def decode_all(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The texts of ids between the edges. Texts whose bytes aren't all UTF-8 take the slower way, one by one."""
+        size, start = self.size[ids], self.start[ids]
+        audible = np.flatnonzero(size > 0)
+        first = np.searchsorted(audible, edges[:-1])
+        lead = audible[first[first < len(audible)]]
+        lead = np.unique(lead[self.spaced[ids[lead]]])
+        inside = np.searchsorted(edges, lead, side="right") - 1
+        lead = lead[lead == audible[first[inside]]]  # of its own text
+        start[lead] += 1
+        size[lead] -= 1
+        data = self.raw[spans(start, size)].tobytes()
+        at = np.concatenate([[0], size.cumsum()])[edges]
+        silent = np.flatnonzero(size[:-1] == 0)  # bytes on both sides of a silent id make no character together
+        try:
+            data.decode()
+            if self.is_byte[ids[silent + 1]].any() or any(data[i] & 0xC0 == 0x80 for i in at[:-1].tolist() if i < len(data)):
+                raise UnicodeError
+        except UnicodeError:
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(edges, edges[1:], strict=False)], pa.string())
+        return pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; control ids are silent, the first piece loses one space in front.
 
@@ -263,13 +342,14 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        tail = [shared.value.end] if end else []
+        tail = shared.value.end if end else None
         gc.disable()  # the chunk memory holds many small tuples and no cycles
         try:
             for whole in batches:
                 for b in slices(whole, text):
-                    found = [x + tail for x in encoder.encode(b.column(text).to_pylist())]
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, ids])
+                    flat, edges = encoder.encode(b.column(text).to_pylist(), tail)
+                    found = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, ids])
         finally:
             gc.enable()
 
@@ -285,7 +365,11 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                found = [None if x is None else decoder.decode(x) for x in b.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, text])
+                column = b.column(ids)
+                counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                found = decoder.decode_all(column.flatten().to_numpy(), np.concatenate([[0], counts.cumsum()]))
+                if column.null_count:
+                    found = pa.compute.if_else(column.is_valid(), found, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, text])
 
     return df.mapInArrow(run, with_field(df, text, T.StringType()))
