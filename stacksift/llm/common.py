@@ -100,3 +100,8 @@ def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFram
     thin = rows.join(per, group).where(place < F.lit(2.0 * most * (1 << 20)) / F.col("n")).drop("n")
     ranked = thin.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key)))
     return ranked.where(F.col("rn") <= most)
+
+
+def document_keys(docs: DataFrame) -> DataFrame:
+    """Adds k1 and k2, two 64-bit hashes of doc_id and text that name a document."""
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(1), "text", "doc_id"))

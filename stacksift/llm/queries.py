@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksift.llm import fingerprint, jpeg, language, license, pieces, toxicity
+from stacksift.llm import fingerprint, jpeg, language, license, linededup, minhash, pieces, toxicity
 from stacksift.llm.common import documents
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class."""
+    return minhash.classes(documents(spark, sf_dir)).drop("uid", "k1", "k2")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's expected severity, learned from the labels."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -19,6 +24,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels)).drop("text")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without lines that stand earlier in the corpus."""
+    found = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited form, compared with each other and with the next document's."""
     found = fingerprint.edited_documents(documents(spark, sf_dir))
@@ -87,7 +98,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_fingerprint": op4_fingerprint,
     "op5_media": op5_media,
     "op6_license": op6_license,
