@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from stacksift.plans import queries_agg, queries_core, queries_text
+from stacksift.plans.views import with_views
+
+MODULES = (queries_core, queries_agg, queries_text)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for m in MODULES for name, sql in m.ORACLE.items()}
