@@ -119,6 +119,8 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         n = len(texts)
+        if not self.members:  # nothing was learned
+            return [UNKNOWN] * n, [0.0] * n
         h, row, letters = grams(texts)
         margin = np.zeros((n, len(self.columns)))
         count = np.maximum(1, np.bincount(row, minlength=n))
