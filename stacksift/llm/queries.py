@@ -110,4 +110,27 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: CRC-32 of the UTF-8 bytes, by its table of 256 remainders.
+CRC_TABLE = "SELECT list(list_reduce(range(0, 8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)"
+SHARDS_SQL = f"""WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_transform(range(0, CAST(length(h) // 2 AS BIGINT)), lambda k: CAST(('0x' || substr(h, 2 * k + 1, 2)) AS BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, ({CRC_TABLE})),
+d AS (SELECT *, CAST(least(7, ((2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size) * 8) // (2 * sum(size) OVER ())) AS INT) AS shard FROM c)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM d"""
+
+#: Quotas by largest remainders, earliest-deadline-first slot by slot, then each source's blocks by the MD5 of doc_id.
+MIX_SQL = """WITH RECURSIVE c AS (SELECT coalesce('=' || source, 'null') AS key, count(*) AS n FROM documents GROUP BY ALL),
+s AS (SELECT key, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * (1024 - count(*) OVER ()) AS exact FROM c),
+q AS (SELECT key, CAST(1 + floor(exact) + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, key) <= 1024 - count(*) OVER () - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM s),
+a AS (SELECT list(quota ORDER BY key) AS quota FROM q),
+e AS (SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(quota, lambda x: CAST(0 AS BIGINT)) AS done FROM a
+    UNION ALL SELECT t, pick, list_transform(done, lambda d, i: d + CASE WHEN i = pick THEN 1 ELSE 0 END) FROM (
+        SELECT e.t + 1 AS t, done, list_min(list_filter(list_transform(range(1, len(quota) + 1), lambda i: {'due': ((done[i] + 1) * 1024 + quota[i] - 1) // quota[i], 'i': i,
+            'rel': CASE WHEN done[i] < quota[i] THEN done[i] * 1024 // quota[i] ELSE 1024 END}), lambda j: j.rel <= e.t + 1)).i AS pick FROM e, a WHERE e.t < 1023)),
+k AS (SELECT key, quota, row_number() OVER (ORDER BY key) AS i FROM q),
+p AS (SELECT key, quota, list(t ORDER BY t) AS slots FROM e JOIN k ON i = pick WHERE t >= 0 GROUP BY ALL),
+r AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, row_number() OVER (PARTITION BY source ORDER BY md5('mix' || coalesce(CAST(doc_id AS STRING), 'null'))) - 1 AS rank FROM documents)
+SELECT doc_id, source, (rank // 64 // quota) * 1024 + slots[(rank // 64) % quota + 1] AS slot, rank // 64 AS block, (rank // 64) * 1024 // quota AS release,
+    ((rank // 64 + 1) * 1024 + quota - 1) // quota AS due, CAST(rank % 64 AS INT) AS offset, quota, CAST(1024 AS BIGINT) AS round_slots FROM r JOIN p USING (key)"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op10_sharding": SHARDS_SQL}
