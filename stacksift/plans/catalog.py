@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from stacksift.plans import queries_agg, queries_core, queries_text
+from stacksift.plans import queries_agg, queries_core, queries_stream, queries_text
 from stacksift.plans.views import with_views
 
-MODULES = (queries_core, queries_agg, queries_text)
+MODULES = (queries_core, queries_agg, queries_text, queries_stream)
 
 
 def queries() -> dict:

@@ -59,9 +59,9 @@ def fn05(x):
 LINK = "concat('http://arxiv.org/abs/', CASE WHEN issue_no % 5 = 0 THEN 'cs/' ELSE '' END, '2501.', lpad(CAST(issue_no AS STRING), 5, '0'), CASE WHEN issue_no % 2 = 0 THEN concat('v', CAST(issue_no % 9 + 1 AS STRING)) ELSE '' END)"
 
 
-@R.add("fn06_arxiv_id", f"SELECT issue_no, split_part(string_split({LINK}, '/')[-1], 'v', 1) AS id, TRY_CAST(nullif(regexp_extract({LINK}, 'v(\\d+)$', 1), '') AS INT) AS version FROM f_request")
+@R.add("fn06_arxiv_id", f"SELECT issue_no, split_part(string_split({LINK}, '/')[-1], 'v', 1) AS id, coalesce(TRY_CAST(nullif(regexp_extract({LINK}, 'v(\\d+)$', 1), '') AS INT), -1) AS version FROM f_request")
 def fn06(x):
-    return x.view("f_request").select("issue_no", text.arxiv_id(F.expr(LINK)).alias("id"), text.arxiv_version(F.expr(LINK)).alias("version"))
+    return x.view("f_request").select("issue_no", text.arxiv_id(F.expr(LINK)).alias("id"), F.coalesce(text.arxiv_version(F.expr(LINK)), F.lit(-1)).alias("version"))
 
 
 @R.add("fn07_normalize_title", "SELECT doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM f_title")
