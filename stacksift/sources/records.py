@@ -25,17 +25,17 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC-01: records of all daily .json arrays and .jsonl files under path, with an explicit schema that has an id.
+def read_records(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json", lines: str = "*.jsonl") -> DataFrame:
+    """SRC-01: records of all daily files under path, arrays (.json) and lines (.jsonl), with an explicit schema that has an id.
 
     A broken array file and a file with an object instead give no rows, a broken line is skipped; rows
     without an id are dropped; a missing folder gives no rows.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    arrays = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    lines = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(path)
-    return arrays.unionByName(lines).where(text_or_null(F.col("id")).isNotNull())
+    whole = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", arrays).json(path)
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", lines).json(path)
+    return whole.unionByName(rows).where(text_or_null(F.col("id")).isNotNull())
 
 
 def write_daily(df: DataFrame, path: str, day: str = "report_date") -> None:
