@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stacksift.llm.common import slices, with_field
+from stacksift.llm.common import slices, small_batches, with_field
 
 #: Blocks of 8 x 8 samples in a stored image's row; one byte per block.
 ROW = 64
@@ -345,7 +345,7 @@ def media_columns(df: DataFrame, text: str = "text") -> DataFrame:
                 columns: list[list] = [[n for _, n in pairs], media, *read_back(media)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*b.schema.names, *(n for n, _ in SCHEMA)])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def read_back(media: list[bytes]) -> list[list]:
@@ -383,4 +383,4 @@ def thumbnail_columns(df: DataFrame, media: str = "media") -> DataFrame:
                     columns = [list(x) for x in zip(*map(one, values), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*b.schema.names, *(n for n, _ in SCHEMA[2:])])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacksift.llm.common import document_keys, materialize, slices
+from stacksift.llm.common import document_keys, materialize, slices, small_batches
 from stacksift.llm.components import components
 from stacksift.llm.minhash import mixed
 
@@ -151,7 +151,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                     ["doc_id", "k1", "k2", "pos", "d1", "d2", "chars", "keys"],
                 )
 
-    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, "doc_id long, k1 long, k2 long, pos int, d1 long, d2 long, chars int, keys array<long>")
+    return small_batches(docs).select("doc_id", "text", "k1", "k2").mapInArrow(run, "doc_id long, k1 long, k2 long, pos int, d1 long, d2 long, chars int, keys array<long>")
 
 
 def buckets(members: DataFrame) -> DataFrame:

@@ -15,13 +15,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stacksift.llm.common import slices, with_field
+from stacksift.llm.common import slices, small_batches, with_field
 
 SPACE = "▁"
 #: Chunks up to this length are merged together, in arrays; longer ones one by one, on a heap.
 LONG = 48
 #: Entries of the chunk memory of one Python worker; a full one is emptied.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Chunks that are merged at a time.
 TOGETHER = 20_000
 #: Size of a table of mergeable pairs, as a power of two.
@@ -353,7 +353,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", end:
         finally:
             gc.enable()
 
-    return df.mapInArrow(run, with_field(df, ids, T.ArrayType(T.IntegerType())))
+    return small_batches(df).mapInArrow(run, with_field(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -372,4 +372,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
                     found = pa.compute.if_else(column.is_valid(), found, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, text])
 
-    return df.mapInArrow(run, with_field(df, text, T.StringType()))
+    return small_batches(df).mapInArrow(run, with_field(df, text, T.StringType()))
