@@ -84,7 +84,10 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[byte
 
 
 def shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of WORDS words of each text: (hash, text, how often), by text and hash."""
+    """Distinct runs of WORDS words of each text: (hash, text, weight), by text and hash.
+
+    All weights are 1, however often a run occurs, so that bands go by the plain set likeness that links need.
+    """
     n = len(h) - WORDS + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -98,11 +101,11 @@ def shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first = np.ones(len(s), dtype=bool)
     first[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
     at = np.flatnonzero(first)
-    return s[at], r[at], np.diff(np.concatenate([at, [len(s)]])).astype(float)
+    return s[at], r[at], np.ones(len(at))
 
 
 def signatures(s: np.ndarray, r: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """ProbMinHash: REGISTERS elements of each text; two texts' registers agree with probability J_P.
+    """ProbMinHash: REGISTERS elements of each text; two texts' registers agree with probability J_P, for equal weights the set Jaccard.
 
     Each element arrives as a Poisson process whose rate is its weight, at a random register each time.
     A register keeps the element that arrives first. Arrivals are drawn in rounds for all texts together;

@@ -443,6 +443,18 @@ def test_a_large_group_of_edited_copies_is_one_class(spark):
     assert sum(r.class_id == 0 for r in got) == sum(w == 0 for w in classes_by_hand(texts))
 
 
+def test_copies_that_repeat_a_passage_are_linked(spark):
+    """The sets are nearly equal, whatever the number of repeats."""
+    texts = []
+    for _ in range(12):
+        w = prose(230).split()
+        texts += [" ".join(w), " ".join(w[:100] + w[100:124] * 50 + w[124:])]
+    want = classes_by_hand(texts)
+    assert want == [k - k % 2 for k in range(24)]
+    got = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
 def test_registers_agree_with_probability_jaccard():
     a, b = Counter({i: rng.choice([1, 2, 5]) for i in range(300)}), Counter({i: rng.choice([1, 2, 5]) for i in range(120, 420)})
     wants = [sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in {*a, *b}) for i in {*a} & {*b})]
