@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ REGISTERS = BANDS * ROWS
 RANKS = (1, 6, 16)
 #: Candidate texts up to this number are broadcast by id to fetch their shingle sets; more are joined.
 FEW = 500_000
+#: Texts, and shingles, of about one chunk of a bucket that is compared in blocks of two chunks.
+CHUNK, CHUNK_SHINGLES = 256, 400_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,6 +172,73 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def block_links(similarity: float):
+    """A function from one block's texts (uid, label, shingles) to pairs (a, b) that link all its classes that are to be linked."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        uid, label, sets = block["uid"].to_numpy(), block["label"].to_numpy(), block["shingles"].to_list()
+        n, out = len(uid), []
+        if n and (label != label[0]).any():
+            size = np.array([len(s) for s in sets])
+            _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row, shared = np.repeat(np.arange(n), size), np.zeros((n, n))
+            place = np.where(often > 1, (often > 1).cumsum() - 1, -1)[column]
+            order = np.argsort(place, kind="stable")
+            order = order[place[order] >= 0]
+            row, place = row[order], place[order]
+            width = 4096
+            for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+                a, b = np.searchsorted(place, [low, low + width])
+                grid = np.zeros((n, width), dtype=np.float32)
+                grid[row[a:b], place[a:b] - low] = 1
+                shared += grid @ grid.T
+            near = (shared >= similarity * (size[:, None] + size[None, :] - shared)) & (label[:, None] != label[None, :])
+            root = {x: x for x in label.tolist()}
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in np.argwhere(np.triu(near)).tolist():
+                x, y = top(int(label[i])), top(int(label[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame | None:
+    """Links (a, b) between the classes that share a bucket of more than `most` texts; None if no such bucket holds several.
+
+    members: (key, uid). Every pair of texts of different classes in such a bucket is compared. A class of at
+    least CHUNK texts of the bucket forms chunks of its own, the others are chunked together by a hash, and a
+    task compares two chunks, but not two of one class: work grows with the pairs of different classes.
+    """
+    named = members.select("key", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    open_ones = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("n") > most) & (F.col("x") != F.col("y"))).select("key")
+    open_ones = materialize(open_ones, "several")
+    if open_ones.isEmpty():
+        return None
+    named = materialize(named.join(open_ones, "key").join(sets.select("uid", F.size("shingles").alias("w")), "uid"), "open")
+    per = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    per = materialize(per.withColumn("part", F.when(F.col("n") >= CHUNK, F.col("label")).otherwise(-1)), "parts")  # -1: the small classes
+    number = F.ceil(F.greatest(F.sum("n") / F.lit(CHUNK), F.sum("w") / F.lit(CHUNK_SHINGLES))).cast("long")
+    sizes = materialize(per.groupBy("key", "part").agg(number.alias("m")), "sizes")
+    chunks = sizes.select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("chunk"))
+    one, other = (chunks.select("key", F.struct("part", "chunk").alias(c)) for c in ("one", "other"))
+    pairs = one.join(other, "key").where("one <= other and (one.part <> other.part or one.part = -1)")
+    pairs = materialize(pairs.withColumn("block", F.struct("key", "one", "other")), "blocks")
+    placed = named.join(per.select("key", "label", "part"), ["key", "label"]).join(sizes, ["key", "part"])
+    at = F.struct("part", F.pmod(F.xxhash64("uid"), F.col("m")).alias("chunk"))
+    placed = materialize(placed.select("key", "uid", "label", at.alias("at")), "placed")
+    sides = pairs.select("key", "block", F.explode(F.array_distinct(F.array("one", "other"))).alias("at"))
+    blocks = sides.join(placed, ["key", "at"]).join(sets, "uid").select("block", "uid", "label", "shingles")
+    return materialize(blocks.groupBy("block").applyInPandas(block_links(similarity), "a long, b long").distinct(), "links")
+
+
 def links(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, ranks: tuple[int, ...] = RANKS) -> DataFrame:
     """(node, label) of texts (uid, bands) that are linked to others; label is the least uid of the class. sets: (uid, shingles).
 
@@ -176,7 +246,8 @@ def links(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, ran
     with the bucket's hub, the member that meets most others over all its buckets, which for a text and its
     edited copies is the original. Where a bucket then holds several classes, its members are compared with
     its hubs of the next ranks, unless they are of one class by then. So buckets of up to ranks[-1] texts
-    are resolved in full, and larger ones through that many hubs each.
+    are resolved in full. In larger ones that still hold several classes, all texts of different classes
+    are compared, in blocks (remaining_links).
     """
     bands = texts.select("uid", F.explode("bands").alias("key"))
     shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -208,7 +279,8 @@ def links(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, ran
         found = materialize(verified(fresh, texts, similarity), "links")
         edges, pairs = (found, fresh) if edges is None else (edges.union(found), pairs.union(fresh))
         labels = components(edges)
-    return labels
+    rest = remaining_links(members, labels, texts, similarity, ranks[-1])
+    return labels if rest is None else components(edges.union(rest))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

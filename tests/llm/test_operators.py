@@ -455,6 +455,19 @@ def test_copies_that_repeat_a_passage_are_linked(spark):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
 
 
+def test_pairs_inside_a_large_family_are_linked(spark, monkeypatch):
+    """Texts 0.794 alike, among them pairs of 0.808, and one of them with many copies."""
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    start = prose(204)
+    unique = lambda n: " ".join(f"w{rng.getrandbits(60)}" for _ in range(n))
+    texts = [f"{start} {two} {unique(24)}" for two in (unique(2) for _ in range(40)) for _ in range(2)] + [f"{start} {unique(26)}" for _ in range(40)]
+    texts += [f"{texts[-1]} {unique(1)}" for _ in range(30)]
+    want = classes_by_hand(texts)
+    assert want[:80] == [k - k % 2 for k in range(80)] and want[80:119] == list(range(80, 119)) and set(want[119:]) == {119}
+    got = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
 def test_registers_agree_with_probability_jaccard():
     a, b = Counter({i: rng.choice([1, 2, 5]) for i in range(300)}), Counter({i: rng.choice([1, 2, 5]) for i in range(120, 420)})
     wants = [sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in {*a, *b}) for i in {*a} & {*b})]
