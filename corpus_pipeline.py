@@ -15,9 +15,14 @@ from stacksift.llm.common import documents, materialize, partitions
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null, empty and letterless texts."""
+    """Drops documents without a letter (null and empty texts too) and gives those without a lang the predicted one.
+
+    Where nothing could be learned, lang stays null and documents with letters stay all the same.
+    """
     found = language.identify(docs, language.fit(docs))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    learned = F.col("score") > 0
+    lettered = found.where(learned | F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    return lettered.withColumn("lang", F.coalesce("lang", F.when(learned, F.col("lang_pred")))).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -594,6 +594,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path, library):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mix_sources", "tokenize"]
 
 
+def test_pipeline_language_keeps_clean_documents_and_fills_null_lang(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kinds = {"en": "the weather is nice and they were walking through the woods", "ru": "погода хорошая и они гуляли по лесу весь день"}
+    rows = [(k, f"{kinds[x]} {word() if x == 'en' else 'снова'}", x, "s", 9) for k, x in enumerate(["en", "ru"] * 30)]
+    rows += [(100, kinds["en"], None, "s", 9), (101, kinds["ru"], None, "s", 9), (102, "12 34", None, "s", 5), (103, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {r.doc_id: r.lang for r in got.collect()} == {**{r[0]: r[2] for r in rows[:60]}, 100: "en", 101: "ru"}
+    blank = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert {r.doc_id: r.lang for r in blank} == {**dict.fromkeys(range(60)), 100: None, 101: None}
+
+
 def test_helpers(spark):
     ids = [rng.randint(-1000, 1000) for _ in range(500)]
     df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "k long")
