@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacksift.llm import language, linededup, minhash, mixing, pieces
-from stacksift.llm.common import documents, materialize, partitions
+from stacksift.llm.common import documents, materialize, partitions, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,34 +19,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where nothing could be learned, lang stays null and documents with letters stay all the same.
     """
-    found = language.identify(docs, language.fit(docs))
+    small_batches(spark)
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    found = language.identify(whole, language.fit(docs))
     learned = F.col("score") > 0
     lettered = found.where(learned | F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return lettered.withColumn("lang", F.coalesce("lang", F.when(learned, F.col("lang_pred")))).select(docs.columns)
+    filled = F.coalesce("r.lang", F.when(learned, F.col("lang_pred")))
+    return lettered.select(*[(filled if c == "lang" else F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that stand earlier in the corpus; n_chars follows the text. All rows stay."""
+    small_batches(spark)
     found = linededup.dedup_lines(docs)
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return found.select(*[(F.char_length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class."""
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts all documents in the order of the mixture: part files follow the slots, rows the place in a slot."""
-    mixed = mixing.mix(docs)
-    ordered = mixed.repartitionByRange(partitions(spark), "mix_at.slot").sortWithinPartitions("mix_at.slot", "mix_at.offset")
-    return ordered.select(docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    ordered = mixing.mix(whole).repartitionByRange(partitions(spark), "mix_at.slot").sortWithinPartitions("mix_at.slot", "mix_at.offset")
+    return ordered.select("r.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_chars, n_tokens, ids, round_trip): piece ids, and whether they decode to the text."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), model), model)
+    small_batches(spark)
+    found = pieces.round_trip(docs.select("doc_id", "lang", "source", "n_chars", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -13,40 +13,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stacksift.sources.staging import drop_folder, staging_folder, written_table
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="stacksift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder. See forget()."""
+    path = staging_folder(df.sparkSession, name)
+    table = written_table(df, path)
+    table.own_folder = path
+    return table
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back.
+def forget(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more: all that came of them is in other tables."""
+    for t in tables:
+        drop_folder(t.sparkSession, t.own_folder)
 
-    A lost executor then costs a re-read, not a recomputation. Parquet with zstd takes a fraction of
-    the room of Dataset.checkpoint(), which stores uncompressed rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Sets Arrow batches of at most so many rows, so that batches of long texts stay small on both sides.
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """df, with its session set to Arrow batches of at most so many rows: batches of long texts then stay small on both sides."""
+    A setting of the job: queries and pipeline stages call this, operators leave the session as it is.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """df, its columns of these names (in any case) renamed to <name>_input, so that results can have the names."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"{c}_input"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(c, new)
     return df
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which its Python worker, which Spark keeps for other tasks, gives free memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -84,12 +113,12 @@ def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about `most` bytes of text, so that a batch of long texts needs no more memory."""
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Runs of at most `rows` rows with about `most` bytes of text, so that a batch of long texts needs no more memory."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
+        if i > start and (total + n > most or i - start == rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -97,17 +126,22 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19) -> Iterator[pa
         yield batch.slice(start)
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int, cells: int = 64) -> DataFrame:
     """At most `most` rows of each group, chosen by a hash of key, with their rank rn from 1.
 
-    Groups are first thinned by their counts, so that a hot group is never ranked as a whole. The group
-    column must have few values and no nulls; keep rows narrow.
+    The group column must have few values and no nulls; keep rows narrow. Groups are first thinned by their
+    counts to about twice `most`, and ranked in cells of the hash range, so that a hot group has no task of its own.
     """
     per = F.broadcast(rows.groupBy(group).agg(F.count("*").alias("n")))  # one row per group
     place = F.pmod(F.xxhash64(key), F.lit(1 << 20))
-    thin = rows.join(per, group).where(place < F.lit(2.0 * most * (1 << 20)) / F.col("n")).drop("n")
-    ranked = thin.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key)))
-    return ranked.where(F.col("rn") <= most)
+    thin = rows.join(per, group).withColumn("_up_to", F.lit(2.0 * most * (1 << 20)) / F.col("n")).withColumn("_place", place).where("_place < _up_to")
+    cell = F.floor(F.col("_place") * cells / F.least("_up_to", F.lit(float(1 << 20)))).cast("int")
+    thin = materialize(thin.select(*rows.columns, "_place", cell.alias("_cell")), "thin")
+    counts = thin.groupBy(group, "_cell").agg(F.count("*").alias("n"))  # at most `cells` rows per group
+    before = counts.select(group, "_cell", (F.sum("n").over(Window.partitionBy(group).orderBy("_cell")) - F.col("n")).alias("_before"))
+    inside = Window.partitionBy(group, "_cell").orderBy("_place", F.xxhash64(key), key)
+    ranked = thin.join(F.broadcast(before), [group, "_cell"]).withColumn("rn", (F.col("_before") + F.row_number().over(inside)).cast("int"))
+    return ranked.where(F.col("rn") <= most).select(*rows.columns, "rn")
 
 
 def document_keys(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stacksift.llm.common import slices, small_batches, with_field
+from stacksift.llm.common import renamed, slices, tidy, with_field
 
 #: Blocks of 8 x 8 samples in a stored image's row; one byte per block.
 ROW = 64
@@ -329,10 +329,10 @@ def media_columns(df: DataFrame, text: str = "text") -> DataFrame:
 
     Adds n_bytes, media, images, width and height (of all images stacked), thumbnail (grey bytes, row by
     row) and thumbnail_hash. Null counts as empty, which is stored as one row of zero bytes. Very long
-    texts take several images. Equal texts get equal values; other columns and repeated rows pass through,
-    an empty table gives an empty result. Nothing is shuffled; batches hold about a megabyte of text.
+    texts take several images. Equal texts get equal values; other columns and repeated rows pass through, input
+    columns with a name of these as <name>_input; an empty table gives an empty result. Nothing is shuffled; texts are worked on in runs of about half a megabyte.
     """
-    schema = df
+    schema = df = renamed(df, *(n for n, _ in SCHEMA))
     for name, kind in SCHEMA:
         schema = with_field(schema, name, kind) if schema is df else T.StructType([*schema.fields, T.StructField(name, kind)])
 
@@ -345,7 +345,7 @@ def media_columns(df: DataFrame, text: str = "text") -> DataFrame:
                 columns: list[list] = [[n for _, n in pairs], media, *read_back(media)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*b.schema.names, *(n for n, _ in SCHEMA)])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def read_back(media: list[bytes]) -> list[list]:
@@ -362,7 +362,7 @@ def thumbnail_columns(df: DataFrame, media: str = "media") -> DataFrame:
 
     Null and broken values, and images that are not baseline of one scan, give nulls.
     """
-    schema = df
+    schema = df = renamed(df, *(n for n, _ in SCHEMA[2:]))
     for name, kind in SCHEMA[2:]:
         schema = with_field(schema, name, kind) if schema is df else T.StructType([*schema.fields, T.StructField(name, kind)])
 
@@ -383,4 +383,4 @@ def thumbnail_columns(df: DataFrame, media: str = "media") -> DataFrame:
                     columns = [list(x) for x in zip(*map(one, values), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*b.schema.names, *(n for n, _ in SCHEMA[2:])])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stacksift.llm.common import bounded_sample, slices, small_batches
+from stacksift.llm.common import bounded_sample, forget, give_back, materialize, renamed, slices, tidy
 
 #: Families of languages by ISO 639-1 code. A language of no family here forms its own.
 FAMILIES = {
@@ -33,6 +33,8 @@ UNKNOWN = "und"
 WIDTH = 1 << 13
 #: Most training documents of one language; the sample is taken by a hash of doc_id.
 SAMPLE = 600
+#: Most languages that are learned: those with most training documents.
+LANGUAGES = 64
 SCALE = 30.0
 
 
@@ -53,11 +55,9 @@ class Letters:
     def get(cls) -> np.ndarray:
         if cls.table is None:
             t = np.full(0x110000, 32, dtype=np.uint32)
-            for c in range(0x30000):
-                s = chr(c)
-                if s.isalpha():
-                    low = s.lower()
-                    t[c] = ord(low) if len(low) == 1 else c
+            for c in np.flatnonzero(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)).tolist():
+                low = chr(c).lower()
+                t[c] = ord(low) if len(low) == 1 else c
             cls.table = t
         return cls.table
 
@@ -86,65 +86,77 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, np.concatenate([row[alone], row[:-1][same2], row[:-2][same3]]), letters
 
 
-def frequencies(texts: list[str | None]) -> np.ndarray:
-    h, row, _ = grams(texts)
-    x = np.bincount(row.astype(np.int64) * WIDTH + h, minlength=len(texts) * WIDTH).reshape(len(texts), WIDTH).astype(np.float32)
-    return x * (SCALE / np.maximum(1, x.sum(axis=1, keepdims=True)))
+def frequencies(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value, whether a text has a letter): sparse and in order of text and feature."""
+    h, row, letters = grams(texts)
+    count = np.bincount(row.astype(np.int64) * WIDTH + h, minlength=1)
+    at = np.flatnonzero(count)
+    text, feature = at // WIDTH, at % WIDTH
+    total = np.maximum(1, np.bincount(row, minlength=len(texts)))
+    return text, feature, count[at] * SCALE / total[text], letters
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
+def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
     """Weights, with the bias last, of an L2-regularised hinge-loss SVM by dual coordinate descent.
 
-    Classes weigh alike whatever their sizes. y holds -1 and 1.
+    rows: (features, values) of each text. Classes weigh alike whatever their sizes. y holds -1 and 1.
     """
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
+    w, alpha, norm = np.zeros(WIDTH + 1), np.zeros(len(rows)), np.array([v @ v + 1 for _, v in rows])
     top = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), top[i])
-            w += (new - alpha[i]) * y[i] * x[i]
+        for i in order.permutation(len(rows)):
+            f, v = rows[i]
+            new = min(max(alpha[i] - (y[i] * (v @ w[f] + w[-1]) - 1) / norm[i], 0.0), top[i])
+            step = (new - alpha[i]) * y[i]
+            w[f] += step * v
+            w[-1] += step
             alpha[i] = new
     return w
 
 
 @dataclass
 class LanguageModel:
-    """columns[k] = (level, a, b): the k-th weight vector prefers a where positive, else b."""
+    """columns[k] = (level, a, b): the k-th weight vector prefers a where positive, else b.
+
+    At level "" a and b are families; b is None where a stands against all other families. Other levels
+    are families, with pairs of their languages.
+    """
 
     members: dict[str, list[str]]
-    columns: list[tuple[str, str, str]] = field(default_factory=list)
+    columns: list[tuple[str, str, str | None]] = field(default_factory=list)
     weights: np.ndarray | None = None
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         n = len(texts)
         if not self.members:  # nothing was learned
             return [UNKNOWN] * n, [0.0] * n
-        h, row, letters = grams(texts)
-        margin = np.zeros((n, len(self.columns)))
-        count = np.maximum(1, np.bincount(row, minlength=n))
-        for k in range(len(self.columns)):
-            w = self.weights[:, k]
-            margin[:, k] = np.bincount(row, weights=w[:-1].take(h), minlength=n) * SCALE / count + w[-1]
+        text, feature, value, letters = frequencies(texts)
         families = sorted(self.members)
-        family, sure = self.vote(margin, "", families, n)
+        family, sure = self.vote(self.margins("", text, feature, value, n), "", families, n)
         best, within = np.full(n, UNKNOWN, dtype=object), np.ones(n)
         for f in families:
             mine = np.array([x == f for x in family], dtype=bool)
             if mine.any():
-                best[mine], within[mine] = self.vote(margin[mine], f, self.members[f], int(mine.sum()))
+                inside = mine[text]
+                margin = self.margins(f, (mine.cumsum() - 1)[text[inside]], feature[inside], value[inside], int(mine.sum()))
+                best[mine], within[mine] = self.vote(margin, f, self.members[f], int(mine.sum()))
         best[~letters] = UNKNOWN
         return best.tolist(), np.where(letters, sure * within, 0.0).tolist()
 
-    def vote(self, margin: np.ndarray, level: str, names: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The name with most won pairs (ties: larger sum of margins), and its confidence from 0.5 to 1."""
+    def margins(self, level: str, text: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> dict[int, np.ndarray]:
+        """Of each weight vector of this level, its margins for n texts."""
+        mine = [k for k, c in enumerate(self.columns) if c[0] == level]
+        return {k: np.bincount(text, weights=value * self.weights[k, feature], minlength=n) + self.weights[k, -1] for k in mine}
+
+    def vote(self, margins: dict[int, np.ndarray], level: str, names: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The name with most won comparisons (ties: larger sum of margins), and its confidence from 0.5 to 1."""
         won, total = np.zeros((n, len(names))), np.zeros((n, len(names)))
         least = np.full((n, len(names)), np.inf)
-        for k, (at, a, b) in enumerate(self.columns):
-            if at == level:
-                for name, sign in ((a, 1), (b, -1)):
-                    m = sign * margin[:, k]
+        for k, margin in margins.items():
+            _, a, b = self.columns[k]
+            for name, m in ((a, margin), (b, -margin)):
+                if name is not None:
                     i = names.index(name)
                     won[:, i] += m > 0
                     total[:, i] += m
@@ -154,42 +166,70 @@ class LanguageModel:
         return np.array(names, dtype=object)[top], np.where(np.isinf(sure), 1.0, 1 / (1 + np.exp(-np.clip(sure, 0, 30))))
 
 
-def training_sample(docs: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` documents of each language, by a hash of doc_id, none of them held out."""
-    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+def problems_of(members: dict[str, list[str]]) -> list[tuple[str, str, str | None]]:
+    """The families against each other (two: one against the other; more: each against the rest), then all pairs of a family's languages."""
+    names = sorted(members)
+    first = [("", *names)] if len(names) == 2 else [("", f, None) for f in names if len(names) > 2]
+    return first + [(f, a, b) for f in names for a, b in combinations(members[f], 2)]
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+
+
+def sample_features(rows: DataFrame, sample: int) -> DataFrame:
+    """(lang, rn, k, features, values) of at most `sample` rows (doc_id, lang, text) of each language, by a hash of doc_id; k orders rows of one doc_id."""
     chosen = F.broadcast(bounded_sample(rows.select("lang", "doc_id"), "lang", "doc_id", sample))  # at most `sample` ids of a language
-    return rows.join(chosen, ["lang", "doc_id"]).select("lang", "text", "rn")
+    texts = rows.join(chosen, ["lang", "doc_id"]).select("lang", "rn", F.xxhash64("text").alias("k"), "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                text, feature, value, _ = frequencies(b.column("text").to_pylist())
+                edges = pa.array(np.concatenate([[0], np.bincount(text, minlength=b.num_rows).cumsum()]), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x, t)) for x, t in ((feature, pa.int32()), (value, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("rn"), b.column("k"), *lists], ["lang", "rn", "k", "features", "values"])
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learns from doc_id (for the split), lang and text. One small SVM per pair of families or of languages of a family.
+    return texts.mapInArrow(tidy(run), "lang string, rn int, k long, features array<int>, values array<double>")
 
-    A bounded sample is used: at most `sample` texts of a language. Pairs are trained on the executors,
-    one group of at most 2 * sample texts each; only weights of a fixed size come to the driver.
+
+def fit(docs: DataFrame, sample: int = SAMPLE, most_languages: int = LANGUAGES) -> LanguageModel:
+    """Learns from doc_id (for the split), lang and text: SVMs of families, then one per pair of languages of a family.
+
+    Bounds: the most_languages languages with most training documents, at most `sample` texts of each.
+    Features are taken on the executors from the sample's texts; each SVM is trained there, from the features
+    of at most 2 * sample texts (a few more where doc_ids repeat). Weights of a bounded size come to the driver.
     """
-    languages = sorted(r["lang"] for r in docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang").distinct().collect())
+    rows = labelled(docs)
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    languages = sorted(r["lang"] for r in top.collect())
     members: dict[str, list[str]] = {}
     for name in languages:
         members.setdefault(family_of(name), []).append(name)
-    problems = [("", a, b) for a, b in combinations(sorted(members), 2)] + [(f, a, b) for f in sorted(members) for a, b in combinations(members[f], 2)]
-    model = LanguageModel(members, problems, np.zeros((WIDTH + 1, len(problems))))
+    problems = problems_of(members)
+    model = LanguageModel(members, problems, np.zeros((len(problems), WIDTH + 1)))
     if not problems:
         return model
     sides = []  # which problems a language's texts take part in, on which side, and how many of them
     for k, (level, a, b) in enumerate(problems):
         for name, sign in ((a, 1), (b, -1)):
-            who = [name] if level else members[name]
+            who = [name] if level else [x for f in members if (f != a if name is None else f == name) for x in members[f]]
             sides += [(k, sign, x, -(-sample // len(who))) for x in who]
     plan = docs.sparkSession.createDataFrame(sides, "problem int, sign int, lang string, most int")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sign", "lang", "rn"])
-        w = train_svm(frequencies(pdf["text"].tolist()), pdf["sign"].to_numpy())
-        return pd.DataFrame({"problem": [int(pdf["problem"].iloc[0])], "w": [w.tolist()]})
-
-    rows = training_sample(docs, sample).join(F.broadcast(plan), "lang").where("rn <= most")
-    for r in rows.groupBy("problem").applyInPandas(train, "problem int, w array<double>").collect():
-        model.weights[:, r["problem"]] = r["w"]
+        pdf = pdf.sort_values(["sign", "lang", "rn", "k"])
+        w = train_svm(list(zip(pdf["features"], pdf["values"], strict=True)), pdf["sign"].to_numpy())
+        out = pd.DataFrame({"problem": [int(pdf["problem"].iloc[0])], "w": [w.tobytes()]})
+        del pdf
+        give_back()
+        return out
+
+    features = materialize(sample_features(rows.where(F.col("lang").isin(languages)), sample), "features")
+    found = features.join(F.broadcast(plan), "lang").where("rn <= most")
+    for r in found.groupBy("problem").applyInPandas(train, "problem int, w binary").collect():
+        model.weights[r["problem"]] = np.frombuffer(r["w"])
+    forget(features)
     return model
 
 
@@ -197,8 +237,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score: the text alone decides.
 
     Null, empty and letterless texts: `und` with score 0. Equal texts get equal results; other columns,
-    repeated rows and empty tables pass through. Nothing is shuffled; the model has a fixed size.
+    repeated rows and empty tables pass through, input columns named lang_pred or score as <name>_input.
+    Nothing is shuffled; the model has a bounded size.
     """
+    docs = renamed(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -206,8 +248,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 best, score = shared.value.predict(b.column("text").to_pylist())
-                columns = [b.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

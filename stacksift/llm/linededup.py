@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacksift.llm.common import document_keys, materialize, slices, small_batches
+from stacksift.llm.common import document_keys, materialize, slices, tidy
 from stacksift.llm.components import components
 from stacksift.llm.minhash import mixed
 
@@ -151,7 +151,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                     ["doc_id", "k1", "k2", "pos", "d1", "d2", "chars", "keys"],
                 )
 
-    return small_batches(docs).select("doc_id", "text", "k1", "k2").mapInArrow(run, "doc_id long, k1 long, k2 long, pos int, d1 long, d2 long, chars int, keys array<long>")
+    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, pos int, d1 long, d2 long, chars int, keys array<long>")
 
 
 def buckets(members: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def split_members(hot: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["key", "uid", "host", "lo", "hi", "leaf"])
 
     rows = hot.join(texts, "uid").select("key", "uid", "host", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "line")
-    return rows.mapInArrow(run, "key long, uid long, host boolean, lo int, hi int, leaf boolean")
+    return rows.mapInArrow(tidy(run), "key long, uid long, host boolean, lo int, hi int, leaf boolean")
 
 
 def leaf_pairs(leaves: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.distinct().join(texts.select(F.col("uid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacksift.llm.common import document_keys, materialize, slices, small_batches
+from stacksift.llm.common import document_keys, forget, give_back, materialize, slices, tidy
 from stacksift.llm.components import components
 
 WORDS = 5
@@ -162,7 +162,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(short))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(digests, pa.binary()), bands, sets], ["doc_id", "k1", "k2", "digest", "bands", "shingles"])
 
-    return document_keys(small_batches(docs).select("doc_id", "text")).mapInArrow(run, "doc_id long, k1 long, k2 long, digest binary, bands array<long>, shingles array<int>")
+    return document_keys(docs.select("doc_id", "text")).mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, digest binary, bands array<long>, shingles array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

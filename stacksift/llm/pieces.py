@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import heapq
 import re
 from collections.abc import Iterator
@@ -15,13 +14,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stacksift.llm.common import slices, small_batches, with_field
+from stacksift.llm.common import renamed, slices, tidy, with_field
 
 SPACE = "▁"
 #: Chunks up to this length are merged together, in arrays; longer ones one by one, on a heap.
 LONG = 48
 #: Entries of the chunk memory of one Python worker; a full one is emptied.
-MEMORY = 150_000
+MEMORY = 60_000
 #: Chunks that are merged at a time.
 TOGETHER = 20_000
 #: Size of a table of mergeable pairs, as a power of two.
@@ -92,7 +91,7 @@ class Encoder:
             rest = np.ones(len(keys), dtype=bool)
             rest[first] = False
             keys, places = keys[rest], places[rest]
-        self.best = {int(k): (int(r), int(i)) for k, r, i in pairs}
+        self.best = {k: (r, i) for k, r, i in pairs}
         inside = set("".join(p for p in self.id_of if len(p) > 1))
         alone = "".join(c for c in "\n\t\r" if c not in inside)  # in no longer piece: a chunk may end here
         stop = re.escape(alone)
@@ -332,32 +331,33 @@ def as_utf8(raw: bytes) -> str:
         return "".join(out)
 
 
+def id_lists(edges: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
     """df with an array column of ids: whole texts, an end id only, no sampling.
 
     Null and empty texts give just the end id. Any other columns, repeated rows and empty tables pass
-    through. The vocabulary, of a fixed size, is broadcast; nothing is shuffled.
+    through, an input column named as the result as <name>_input. The vocabulary, of a fixed size, is
+    broadcast; nothing is shuffled.
     """
+    df = renamed(df, ids)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        tail = shared.value.end if end else None
-        gc.disable()  # the chunk memory holds many small tuples and no cycles
-        try:
-            for whole in batches:
-                for b in slices(whole, text):
-                    flat, edges = encoder.encode(b.column(text).to_pylist(), tail)
-                    found = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, ids])
-        finally:
-            gc.enable()
+        encoder, tail = Encoder(shared.value), shared.value.end if end else None
+        for whole in batches:
+            for b in slices(whole, text):
+                flat, edges = encoder.encode(b.column(text).to_pylist(), tail)
+                yield pa.RecordBatch.from_arrays([*b.columns, id_lists(edges, flat)], [*b.schema.names, ids])
 
-    return small_batches(df).mapInArrow(run, with_field(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(tidy(run), with_field(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with the text of its ids; null ids give null."""
+    """df with the text of its ids; null ids give null. Clashing names: see encode."""
+    df = renamed(df, text)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,4 +372,20 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
                     found = pa.compute.if_else(column.is_valid(), found, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, text])
 
-    return small_batches(df).mapInArrow(run, with_field(df, text, T.StringType()))
+    return df.mapInArrow(tidy(run), with_field(df, text, T.StringType()))
+
+
+def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", end: bool = True) -> DataFrame:
+    """df with its texts' ids and the text decoded from them: encode() and decode() in one pass over the rows."""
+    df = renamed(df, ids, decoded)
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder, tail = Encoder(shared.value), Decoder(shared.value), shared.value.end if end else None
+        for whole in batches:
+            for b in slices(whole, text):
+                flat, edges = encoder.encode(b.column(text).to_pylist(), tail)
+                yield pa.RecordBatch.from_arrays([*b.columns, id_lists(edges, flat), decoder.decode_all(flat, edges)], [*b.schema.names, ids, decoded])
+
+    schema = T.StructType([*with_field(df, ids, T.ArrayType(T.IntegerType())).fields, T.StructField(decoded, T.StringType())])
+    return df.mapInArrow(tidy(run), schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacksift.llm import fingerprint, jpeg, language, license, linededup, minhash, pieces, toxicity
-from stacksift.llm.common import documents
+from stacksift.llm.common import documents, small_batches
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
 
@@ -77,7 +80,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's piece ids and of the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text"), model)
+    found = pieces.round_trip(documents(spark, sf_dir).select("doc_id", "text"), model)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -97,6 +100,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -109,6 +121,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
 }
+QUERIES = {name: in_small_batches(query) for name, query in QUERIES.items()}
 
 #: CRC-32 of the UTF-8 bytes, by its table of 256 remainders.
 CRC_TABLE = "SELECT list(list_reduce(range(0, 8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)"

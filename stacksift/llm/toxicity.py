@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stacksift.llm.common import bounded_sample, slices, small_batches
+from stacksift.llm.common import bounded_sample, renamed, slices, tidy
 
 #: Most training texts of each label.
 SAMPLE = 6000
@@ -113,7 +113,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(bounded_sample(known, "toxic", "doc_id", sample).select("doc_id", "toxic"))  # at most 2 * sample rows
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).select("toxic", "text").withColumn("key", F.xxhash64("text"))
-    small_batches(rows)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,4 +162,4 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *found], [*names, "p_toxic", "severity", "grade", "toxic"])
 
     fields = [("p_toxic", T.DoubleType()), ("severity", T.DoubleType()), ("grade", T.IntegerType()), ("toxic", T.BooleanType())]
-    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(*f) for f in fields)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(*f) for f in fields)]))
