@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute
@@ -80,27 +81,49 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 ascending values of the integer column key that cut df into about n equal ranges.
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of an integer key, nulls first; those of a hot key are cut further by a hash.
 
-    Only these few values come to the driver: their number follows the shuffle partitions, not the rows.
+    cuts ascend; a key that is cut m times holds about m ranges' rows, which are dealt to m ranges by the
+    hash's size. Only these few values come to the driver: their number follows the shuffle partitions.
     """
-    if n < 2:
-        return []
-    cuts = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(key, cuts, max(10_000, 20 * n)).alias("c")).first()["c"]
-    return sorted(set(found or []))
 
-
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds <= key, found in two steps of about sqrt(n) comparisons; null keys get 0."""
+    cuts: list[int]
+    null_parts: int
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, n: int) -> Ranges:
+        at = [i / n for i in range(1, n)]
+        cut = F.percentile_approx(key, at, max(10_000, 20 * n)) if at else F.array().cast("array<long>")
+        found = df.agg(cut.alias("c"), F.count("*").alias("n"), F.count(key).alias("known")).first()
+        return cls(sorted(found["c"] or []), -(-(found["n"] - found["known"]) * n // max(1, found["n"])))
+
+    @property
+    def count(self) -> int:
+        return self.null_parts + len(self.cuts) + 1
+
+    def number(self, key: Column, digest: Column) -> Column:
+        """The range of a row, from 0. digest: a long that orders rows of equal key."""
+        share = F.shiftrightunsigned(digest.bitwiseXOR(F.lit(-(2**63))), 33).cast("double") / 2.0**31
+        known = below(key, self.cuts, True)
+        if len(set(self.cuts)) < len(self.cuts):
+            low = below(key, self.cuts, False)
+            known = F.when(known - low < 2, known).otherwise(low + 1 + F.floor(share * (known - low)).cast("int"))
+        nulls = F.floor(share * self.null_parts).cast("int")
+        return F.when(key.isNull(), nulls).otherwise(known + self.null_parts)
+
+
+def below(key: Column, bounds: list[int], equal: bool) -> Column:
+    """How many of the ascending bounds are < key, or <= key, in two steps of about sqrt(n) comparisons."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     every = F.array(*[F.lit(int(b)) for b in bounds])
     coarse = F.array(*[F.lit(int(b)) for b in bounds[::step]])
-    block = F.size(F.filter(coarse, lambda b: b <= key))
-    within = F.size(F.filter(F.slice(every, (block - 1) * step + 1, F.lit(step)), lambda b: b <= key))
+    fits = (lambda b: b <= key) if equal else (lambda b: b < key)
+    block = F.size(F.filter(coarse, fits))
+    within = F.size(F.filter(F.slice(every, (block - 1) * step + 1, F.lit(step)), fits))
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + within)
 
 

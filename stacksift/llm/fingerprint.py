@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from stacksift.llm.common import bucket_of, partitions, range_bounds
+from stacksift.llm.common import Ranges, partitions
 
 WORDS = 5
 #: Share of the hash range that is kept.
 FRACTION = 0.25
+#: Letters of scripts that are written without spaces; each is a word of its own.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 def shingle_hashes(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with an array of 64-bit hashes, one per run of WORDS words; a shorter text is one shingle.
 
-    Words are the lower-cased parts between ASCII white space. A text without words has no shingle.
+    Words are the lower-cased parts between ASCII white space; letters of unspaced scripts are words too.
+    A text without words has no shingle.
     """
-    spaced = F.translate(F.lower(F.col(text)), "\t\n\x0b\x0c\r", "     ")
+    low = F.translate(F.lower(F.col(text)), "\t\n\x0b\x0c\r", "     ")
+    spaced = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(low, UNSPACED, " $0 "))
     words = F.array_remove(F.split(spaced, " "), "")
     hashed = df.withColumn(out, F.transform(words, lambda w: F.xxhash64(w)))
     w = [F.get(F.col(out), F.lit(0) + k) for k in range(WORDS - 1)]
@@ -66,36 +71,43 @@ def fingerprint_text(s: Column) -> Column:
     return F.array_join(s.cast("array<string>"), ",")
 
 
-def with_next(docs: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Rows (key, value) with the value of the next row in descending key order; the last row gets the first's.
+def beside_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) dealt to ranges of doc_id, so that a window over `at` in in_order() sees each row's next.
 
-    Rows go to ranges of key; the last row of each range also visits the next range, so a window inside
-    each range sees every neighbour and values are shuffled once. Only one key per range comes to the
-    driver. Nulls come last; rows of one key follow their value's hash. A single row is its own next.
+    The last row of each range also visits the next range, as a guest, and that of the last range the first
+    one: the next row of the least doc_id is the greatest. Texts are shuffled once. Rows of one doc_id, and
+    those without one, are cut further by their texts' hashes. One key per range comes to the driver.
     """
     spark = docs.sparkSession
-    bounds = range_bounds(docs, key, partitions(spark))
-    placed = docs.select(key, value, bucket_of(F.col(key), bounds).alias("b"))
-    ends = dict(docs.select(F.col(key).alias("k"), bucket_of(F.col(key), bounds).alias("b")).groupBy("b").agg(F.max("k").alias("k")).orderBy("b").collect())
-    used = sorted(ends)
-    visits = F.lit(None).cast("int")
-    for b, to in zip(used, used[1:] + used[:1], strict=True):
-        visits = F.when((F.col("b") == b) & F.col(key).eqNullSafe(F.lit(ends[b])), F.lit(to)).otherwise(visits)
-    homes = F.array_compact(F.array(F.struct(F.col("b").alias("at"), F.lit(False).alias("guest")), F.when(visits.isNotNull(), F.struct(visits.alias("at"), F.lit(True).alias("guest")))))
-    dealt = placed.select(key, value, F.explode(homes).alias("h"))
-    order = Window.partitionBy("h.at").orderBy(F.col("h.guest").desc(), F.col(key).asc_nulls_first(), F.xxhash64(value))
-    return dealt.withColumn(out, F.lag(value).over(order)).where(~F.col("h.guest")).select(key, value, out)
+    ranges = Ranges.of(docs, "doc_id", 2 * partitions(spark))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    placed = keyed.withColumn("b", ranges.number(F.col("doc_id"), F.col("h")))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
+    ends = sorted(placed.select("b", place.alias("place")).groupBy("b").agg(F.max("place").alias("place")).collect())
+    after = [(b, x["doc_id"], x["h"], to[0]) for (b, x), to in zip(ends, ends[1:] + ends[:1], strict=True)]
+    visits = spark.createDataFrame(after, "b int, end_id long, end_h long, to int")  # one row per range
+    is_end = F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("h") == F.col("end_h"))
+    homes = F.array_compact(F.array(F.struct(F.col("b").alias("at"), F.lit(False).alias("guest")), F.when(is_end, F.struct(F.col("to").alias("at"), F.lit(True).alias("guest")))))
+    dealt = placed.join(F.broadcast(visits), "b").select("doc_id", "text", "h", F.explode(homes).alias("home"))
+    return dealt.select("doc_id", "text", "h", "home.at", "home.guest").repartition(ranges.count, "at")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("at").orderBy(F.col("guest").desc(), F.col("doc_id").asc_nulls_first(), "h")
 
 
 def edited_documents(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """(doc_id, own, next) with own and next = struct(text, sketch, edited, edited_sketch) where it applies.
+    """(doc_id, text, s, next_sketch, edited, edited_sketch) for each row; s is the text's sketch.
 
     Null text counts as empty. A text's edited form has its last floor(n / 3) code points replaced by as
-    many from the start of the next document's text in descending doc_id. Equal texts get equal sketches.
+    many from the start of the next document's text in descending doc_id (nulls last; rows of one doc_id by
+    their texts' hashes; after the last the first; a single row is its own next). Equal texts get equal
+    sketches. Other columns are left out. An empty table gives an empty result.
     """
-    rows = sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s", fraction)
-    pairs = with_next(rows.select("doc_id", F.struct("text", "s").alias("own")), "doc_id", "own", "next")
-    cut = F.expr("cast(floor(char_length(own.text) / 3) as int)")
-    edited = F.concat(F.substring(F.col("own.text"), F.lit(1), F.char_length("own.text") - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    full = pairs.select("doc_id", "own", F.col("next.s").alias("next_sketch"), edited.alias("edited"))
+    dealt = beside_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = sketch(dealt, "text", "s", fraction)
+    pairs = rows.withColumn("next", F.lag(F.struct("text", "s")).over(in_order())).where(~F.col("guest"))
+    cut = F.expr("cast(floor(char_length(text) / 3) as int)")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - cut), F.substring(F.col("next.text"), F.lit(1), cut))
+    full = pairs.select("doc_id", "text", "s", F.col("next.s").alias("next_sketch"), edited.alias("edited"))
     return sketch(full, "edited", "edited_sketch", fraction)

@@ -36,10 +36,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited form, compared with each other and with the next document's."""
     found = fingerprint.edited_documents(documents(spark, sf_dir))
-    own, edited, after = F.col("own.s"), F.col("edited_sketch"), F.col("next_sketch")
+    own, edited, after = F.col("s"), F.col("edited_sketch"), F.col("next_sketch")
     return found.select(
         "doc_id",
-        F.char_length("own.text").cast("long").alias("n_chars"),
+        F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         fingerprint.fingerprint_text(own).alias("fingerprint"),
         fingerprint.fingerprint_text(edited).alias("edited_fingerprint"),
@@ -128,8 +128,8 @@ CRC_TABLE = "SELECT list(list_reduce(range(0, 8), lambda a, b: CASE WHEN a & 1 =
 SHARDS_SQL = f"""WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_transform(range(0, CAST(length(h) // 2 AS BIGINT)), lambda k: CAST(('0x' || substr(h, 2 * k + 1, 2)) AS BIGINT)),
     lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, ({CRC_TABLE})),
-d AS (SELECT *, CAST(least(7, ((2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size) * 8) // (2 * sum(size) OVER ())) AS INT) AS shard FROM c)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM d"""
+d AS (SELECT *, CAST(least(7, ((2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size) * 8) // (2 * sum(size) OVER ())) AS INT) AS shard FROM c)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM d"""
 
 #: Quotas by largest remainders, earliest-deadline-first slot by slot, then each source's blocks by the MD5 of doc_id.
 MIX_SQL = """WITH RECURSIVE c AS (SELECT coalesce('=' || source, 'null') AS key, count(*) AS n FROM documents GROUP BY ALL),

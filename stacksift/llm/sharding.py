@@ -7,27 +7,30 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacksift.llm.common import bucket_of, lookup, materialize, partitions, range_bounds
+from stacksift.llm.common import Ranges, lookup, materialize, partitions
 
 
-def byte_shards(rows: DataFrame, key: str, size: str, shards: int) -> DataFrame:
+def byte_shards(rows: DataFrame, key: str, size: str, tie: str, shards: int) -> DataFrame:
     """Adds shard and slot: rows in order of key are cut into contiguous shards at equal byte targets.
 
-    rows: narrow rows with an integer key and a positive integer size; other columns are kept.
+    rows: narrow rows with an integer key, a positive integer size, and tie, a hash of 32 bits as a long;
+    other columns are kept.
     Steps: range partitions by key; each partition's total bytes and rows (one number each per
     partition) give its global offset; a window inside the partition adds the running sum. A row goes
     to the shard that holds its middle byte, so a shard misses its target by less than one row's size.
     slot counts from 0 inside a shard without gaps.
 
-    Null keys come first. Rows of equal key are ordered by their other columns, so repeated rows
-    get neighbouring slots. An empty table gives an empty result.
+    Null keys come first. Rows of equal key are ordered by tie, then by their other columns, so repeated
+    rows get neighbouring slots; many rows of one key, or none, are cut into ranges by tie. An empty table
+    gives an empty result.
     """
     spark = rows.sparkSession
-    others = [c for c in rows.columns if c != key]
-    bounds = range_bounds(rows, key, partitions(spark))
-    cut = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("r"), bucket_of(F.col(key), bounds).alias("b"))
+    others = [tie, *(c for c in rows.columns if c not in (key, tie))]
+    ranges = Ranges.of(rows, key, partitions(spark))
+    digest = F.shiftleft(F.col(tie) - 2**31, 32)  # as large as tie among all longs
+    cut = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("r"), ranges.number(F.col(key), digest).alias("b"))
     total = {t["b"]: (t["bytes"], t["n"]) for t in cut.groupBy("b").agg(F.sum(f"r.{size}").alias("bytes"), F.count("*").alias("n")).collect()}
-    each = [total.get(b, (0, 0)) for b in range(len(bounds) + 1)]
+    each = [total.get(b, (0, 0)) for b in range(ranges.count)]
     before_bytes = [0, *accumulate(x[0] for x in each)]
     before_rows = [0, *accumulate(x[1] for x in each)]
     order = Window.partitionBy("b").orderBy(F.col(f"r.{key}").asc_nulls_first(), *[F.col(f"r.`{c}`") for c in others])
@@ -50,5 +53,5 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = byte_shards(materialize(rows, "sizes"), "doc_id", "size", shards)
+    placed = byte_shards(materialize(rows, "sizes"), "doc_id", "size", "text_crc32", shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stacksift.llm import common, fingerprint, jpeg, language, license, linededup, minhash, mixing, pieces, sharding, toxicity
+from stacksift.llm import common, fingerprint, jpeg, language, license, linededup, minhash, mixing, pieces, queries, sharding, toxicity
 from stacksift.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -246,7 +246,8 @@ def test_media_of_edge_cases(spark, edges, nothing):
 def reference_sketch(text):
     """The sketch by hand, with the xxhash library: chained hashes of words, then of runs of words."""
     as_long = lambda h: h.to_bytes(8, "little")
-    words = [w for w in re.split("[ \t\n\x0b\x0c\r]", (text or "").lower()) if w]
+    spaced = "".join(f" {c} " if "\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" or "\u0e01" <= c <= "\u0e3a" else c for c in (text or "").lower())
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]", spaced) if w]
     hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
 
     def chain(values, seed=42):
@@ -257,8 +258,7 @@ def reference_sketch(text):
     if len(hashes) >= 5:
         found = {chain(hashes[i : i + 5]) for i in range(len(hashes) - 4)}
     elif hashes:
-        seed = xxhash.xxh32  # noqa: F841
-        return None  # short texts: covered by their properties
+        found = {chain(hashes, xxhash.xxh64_intdigest(len(hashes).to_bytes(4, "little"), seed=42))}
     else:
         return []
     values = sorted(h >> 2 for h in found)
@@ -266,30 +266,50 @@ def reference_sketch(text):
     return kept or values[:1]
 
 
+def likeness_by_hand(a, b):
+    return len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
+
+
 def test_fingerprints_equal_brute_force(spark):
-    texts = [prose(rng.choice([0, 3, 5, 6, 40, 200])) for _ in range(60)] + [None, "A  b\nc\td E f"]
+    texts = [prose(rng.choice([0, 1, 2, 3, 4, 5, 6, 40, 200])) for _ in range(80)] + [None, "A  b\nc\td E f", "漢字かな混じりの長い文です", "ภาษาไทย abc"]
     rows = fingerprint.sketch(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("text", F.coalesce("text", F.lit(""))), "text", "s").collect()
     for r in rows:
-        want = reference_sketch(texts[r.doc_id])
-        assert len(r.s) == 1 if want is None else r.s == want
-
-
-def test_edited_documents(spark, edges, nothing):
-    rows = [(i, t) for i, t in EDGES] + [(100 + k, prose(rng.randint(1, 60))) for k in range(40)]
-    got = fingerprint.edited_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-    known = sorted(((i, t or "") for i, t in rows if i is not None and i != 8), reverse=True)
-    by = {r.doc_id: r for r in got}
-    for (i, t), (j, after) in zip(known, known[1:], strict=False):
-        if {i, j} & {7, 9} or i - j > 1 and 8 in range(j, i):
-            continue
+        assert r.s == reference_sketch(texts[r.doc_id])
+
+
+@pytest.mark.parametrize("parts", [4, 300])
+def test_fingerprint_query_equals_brute_force(spark, tmp_path, parts):
+    """All columns of the query, with the wrap-around, null ids, repeated ids and rows, short and long texts."""
+    rows = [(i, t) for i, t in EDGES] + [(100 + k, prose(rng.randint(1, 60))) for k in range(60)] + [(None, prose(9)) for _ in range(30)] + [(150, prose(7)) for _ in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("edited", F.lit(1)).withColumn("s", F.lit(2)).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    got = queries.QUERIES["op4_fingerprint"](spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), seed=42), "big", signed=True)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    name = lambda s: ",".join(map(str, s))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         cut = len(t) // 3
-        assert by[i].edited == t[: len(t) - cut] + after[:cut]
+        new = t[: len(t) - cut] + after[:cut]
+        own, edited_sketch, next_sketch = reference_sketch(t), reference_sketch(new), reference_sketch(after)
+        want[i, len(t), sha(new), name(own), name(edited_sketch), likeness_by_hand(own, edited_sketch), likeness_by_hand(own, next_sketch)] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == want
+
+
+def test_edited_documents(spark, nothing):
     assert fingerprint.edited_documents(nothing).count() == 0
     single = fingerprint.edited_documents(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert single.edited == "abcdab"
     a, b = F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))
     assert spark.range(1).select(fingerprint.likeness(a, b), fingerprint.containment(a, b)).first()[:] == (1 / 3, 0.5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    fingerprint.edited_documents(many)._jdf.queryExecution().executedPlan()  # neither the plan's depth nor its size follows the ranges
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_merge_of_sketches_is_the_sketch_of_both(spark):
@@ -608,13 +628,16 @@ def test_pipeline_language_keeps_clean_documents_and_fills_null_lang(spark):
 
 
 def test_helpers(spark):
-    ids = [rng.randint(-1000, 1000) for _ in range(500)]
-    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "k long")
+    ids = [rng.randint(-1000, 1000) for _ in range(500)] + [7] * 400
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)] * 300, "k long").withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
     for n in (1, 2, 7, 40):
-        bounds = common.range_bounds(df, "k", n)
-        assert bounds == sorted(set(bounds)) and len(bounds) <= max(0, n - 1)
-        got = df.select("k", common.bucket_of(F.col("k"), bounds).alias("b")).collect()
-        assert all(r.b == (0 if r.k is None else sum(b <= r.k for b in bounds)) for r in got)
+        ranges = common.Ranges.of(df, "k", n)
+        assert ranges.cuts == sorted(ranges.cuts) and len(ranges.cuts) == n - 1
+        got = sorted(((r.k is not None, r.k or 0, r.h), r.b) for r in df.select("k", "h", ranges.number(F.col("k"), F.col("h")).alias("b")).collect())
+        numbers = [b for _, b in got]
+        assert numbers == sorted(numbers) and 0 <= numbers[0] and numbers[-1] < ranges.count  # in order of key and hash
+        assert max(Counter(numbers).values()) <= 3 * len(got) / n + 9  # the hot key and the nulls are cut
     labels = spark.createDataFrame([("a" if k % 9 else "b", k) for k in range(2000)], "g string, k long")
-    assert {r.g: r["count"] for r in common.bounded_sample(labels, "g", "k", 150).groupBy("g").count().collect()} == {"a": 150, "b": 150}
-    assert hashlib.sha256(b"").hexdigest()
+    chosen = common.bounded_sample(labels, "g", "k", 150).collect()
+    assert {g: sorted(r.rn for r in chosen if r.g == g) for g in "ab"} == {"a": list(range(1, 151)), "b": list(range(1, 151))}
+    assert common.renamed(labels.withColumn("K_input", F.lit(1)), "k", "z").columns == ["g", "k_input_", "K_input"]
