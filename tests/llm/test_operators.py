@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -322,7 +323,8 @@ def test_merge_of_sketches_is_the_sketch_of_both(spark):
 # Licenses
 
 
-def scan_by_hand(text, table):
+def matches_by_hand(text, table):
+    """(number of words, matches as (first, last, rule))."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     norm = " " + " ".join(words) + " "
@@ -330,38 +332,137 @@ def scan_by_hand(text, table):
     for k, r in enumerate(table):
         for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", norm):
             first = norm[: m.start()].count(" ") - 1
-            found.append((first, -(first + m[0].count(" ")), -r.priority, k))
-    found.sort()
-    kept, end, top = [], -1, -1
-    for first, last, prior, k in found:
-        if -last <= end and -prior <= top:
-            continue
-        top = -prior if -last >= end else top
-        end = max(end, -last)
-        kept.append((first, -last, k))
-    return len(words), [(a, -b, k) for a, b, p, k in found], kept
+            found.append((first, first + m[0].count(" "), k))
+    return len(words), found
+
+
+def suppressed_by_hand(found, table):
+    """All pairs: which detections beat which, and then who is beaten by a survivor, from the top rank down."""
+    rank = {d: (-table[d[2]].priority, d[0] - d[1], d) for d in found}
+    beats = {d: {e for e in found if e != d and (e[0] <= d[0] and e[1] >= d[1] or d[0] <= e[0] and d[1] >= e[1]) and rank[e] < rank[d]} for d in found}
+    alive = {}
+    for d in sorted(found, key=rank.get):
+        alive[d] = not any(alive[e] for e in beats[d])
+    return {d for d in found if alive[d]}
+
 
+def spans_of(array):
+    return [(d["first"], d["last"], d["rule"]) for d in array]
 
-def test_license_scan_equals_brute_force(spark, edges, nothing):
+
+LICENSE_PARTS = ["GNU General Public License", "version 2 or later", "Apache License, Version 2.0", "MIT License", "CC BY-SA 4.0", "cc by", "licensed under the", "SPDX-License-Identifier: MPL-2.0", "all rights reserved", "Copyright (c) 2024", "BSD 3-clause license", "public domain", "é", "x", "license", "http://creativecommons.org/licenses/by/4.0/", "the freetype project license", "public domain dedication and license"]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64])
+def test_license_scan_equals_brute_force(spark, edges, monkeypatch, chunk):
+    monkeypatch.setattr(license, "CHUNK", chunk)
     table = license.rules()
-    assert len(table) > 300 and sum(r.base for r in table) == 4
-    parts = ["GNU General Public License", "version 2 or later", "Apache License, Version 2.0", "MIT License", "CC BY-SA 4.0", "cc by", "licensed under the", "SPDX-License-Identifier: MPL-2.0", "all rights reserved", "Copyright (c) 2024", "BSD 3-clause license", "public domain", "é", "x", "license", "http://creativecommons.org/licenses/by/4.0/"]
-    texts = [rng.choice([" ", "\n", "--"]).join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["MIT License " * 300]
+    assert len(table) > 400 and sum(r.base for r in table) == 4
+    texts = [rng.choice([" ", "\n", "--"]).join(rng.choice(LICENSE_PARTS) for _ in range(rng.randint(0, 9))) for _ in range(120)] + ["MIT License " * 100, " ".join(rng.choice(LICENSE_PARTS) for _ in range(120)), None, "MIT", "mit license"]
     rows = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     for r in rows:
-        n, found, kept = scan_by_hand(texts[r.doc_id], table)
+        n, found = matches_by_hand(texts[r.doc_id], table)
         assert r.n_words == n
-        assert sorted((d["first"], d["last"], d["rule"]) for d in r.found) == sorted(found)
-        assert [(d["first"], d["last"], d["rule"]) for d in r.kept] == kept
-    digest = license.scan_documents(edges).collect()
-    assert len(digest) == len(EDGES) and all(r.n_base == 0 and r.first_word is None and r.base_labels == "" for r in digest)
+        assert sorted(spans_of(r.found)) == sorted(found) and [d["first"] for d in r.found] == sorted(d[0] for d in found)
+        assert len(r.kept) == len({*spans_of(r.kept)}) and {*spans_of(r.kept)} == suppressed_by_hand(found, table)
+
+
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_license_suppression_of_random_rules(spark, monkeypatch, chunk):
+    """Rules over few words, so that detections nest, repeat and overlap in chains."""
+    monkeypatch.setattr(license, "CHUNK", chunk)
+    for _ in range(4):
+        table = [license.Rule(f"r{k}", " ".join(rng.choice(["a", "b", "(?:a|b)"]) for _ in range(rng.randint(1, 5))), "", rng.choice([10, 20, 30, 40]), 0.5) for k in range(9)]
+        texts = ["".join(rng.choice(["a ", "b ", "a ", "x "]) for _ in range(rng.randint(0, 90))) for _ in range(25)]
+        for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "text", table).collect():
+            n, found = matches_by_hand(texts[r.doc_id], table)
+            assert {*spans_of(r.kept)} == suppressed_by_hand(found, table)
+
+
+def test_license_priorities_among_nested_detections(spark):
+    words = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    rule = lambda label, a, b, priority: license.Rule(label, " ".join(words.split()[a : b + 1]), "", priority, 0.5)
+    kept = lambda *table: [d["label"] for d in license.scan(spark.createDataFrame([(words,)], "text string"), "text", list(table)).first().kept]
+    assert kept(rule("A", 0, 7, 40), rule("B", 5, 9, 10), rule("C", 6, 7, 20)) == ["A", "B"]  # C lies in A
+    assert kept(rule("outer", 0, 2, 10), rule("inner", 1, 1, 40)) == ["inner"]
+    assert kept(rule("outer", 0, 2, 10), rule("inner", 1, 1, 10)) == ["outer"]
+    assert kept(rule("one", 0, 2, 10), rule("two", 0, 2, 10)) == ["one"]
+    assert kept(rule("weak", 1, 3, 20), rule("strong", 1, 1, 40), rule("last", 3, 3, 10)) == ["strong", "last"]  # weak went, so it drops nothing
+
+
+def test_license_query_and_edge_cases(spark, edges, nothing, tmp_path):
+    """The digest columns by hand; a text of 400 KB with very many detections."""
+    texts = [" ".join(rng.choice(LICENSE_PARTS) for _ in range(rng.randint(0, 5))) for _ in range(40)] + [t for _, t in EDGES]
+    spark.createDataFrame([(k, t, 1, "f") for k, t in enumerate(texts)], "doc_id long, text string, n_words int, found string").write.parquet(str(tmp_path / "documents.parquet"))
+    table = license.rules()
+    for r in queries.QUERIES["op6_license"](spark, str(tmp_path)).collect():
+        n, found = matches_by_hand(texts[r.doc_id], table)
+        kept = suppressed_by_hand(found, table)
+        base = [d for d in found if table[d[2]].base]
+        starts = [d[0] for d in base]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(base), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({table[d[2]].label for d in base}))
+        assert r.labels == ",".join(sorted({table[d[2]].label for d in [*base, *kept]}))
+        assert r.score == max((table[d[2]].weight for d in kept), default=0.0) and r.n_kept == len(kept)
+    scanned = license.scan(edges.withColumn("kept", F.lit(7)))
+    assert scanned.columns == [*edges.columns, "kept_input", "n_words", "found", "kept"] and scanned.count() == len(EDGES)
     assert license.scan_documents(nothing).count() == 0
+    began = time.perf_counter()
+    many = license.scan(spark.createDataFrame([("mit license " * 32_000,)], "text string")).select("n_words", F.size("found").alias("found"), F.size("kept").alias("kept")).first()
+    assert many.n_words == 64_000 and many.found >= 64_000 and many.kept == 32_000
+    assert time.perf_counter() - began < 60
+
+
+def examples(regex, most=60):
+    """Texts that a rule's regex matches: each choice of its groups, their options and character sets."""
+    import itertools
+
+    at, parts = 0, []
+    while at < len(regex):
+        c = regex[at]
+        if regex.startswith("(?:", at):
+            depth, end = 1, at + 3
+            while depth:
+                depth += (regex[end] == "(") - (regex[end] == ")")
+                end += 1
+            inner, level, options = regex[at + 3 : end - 1], 0, [""]
+            for x in inner:
+                level += (x == "(") - (x == ")")
+                if x == "|" and not level:
+                    options.append("")
+                else:
+                    options[-1] += x
+            found, at = [e for o in options for e in examples(o, 8)], end
+        elif c == "[":
+            end = regex.index("]", at)
+            chars = regex[at + 1 : end]
+            found, at = (["foo"] if chars[0] == "^" else ["4"] if "-" in chars else list(chars)), end + 1
+        else:
+            found, at = [c], at + 1
+        if regex.startswith("{0,2}", at):
+            found, at = [*found, "", found[0] * 2], at + 5
+        elif at < len(regex) and regex[at] in "?*":
+            found, at = [*found, ""], at + 1
+        elif at < len(regex) and regex[at] == "+":
+            at += 1
+        parts.append(found)
+    return ["".join(x) for x in itertools.islice(itertools.product(*parts), most)]
 
 
 def test_every_rule_has_its_gates():
+    """Gates and prefilter let all that a rule matches pass."""
+    coarse = license.coarse_gates(license.rules())
     for r in license.rules():
-        example = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", r.regex)
-        assert any(g in r.gate or g == "licen" for g in license.coarse_gates([r])) and isinstance(example, str)
+        options, level = [""], 0
+        for x in r.regex:
+            level += (x == "(") - (x == ")")
+            if x == "|" and not level:
+                options.append("")
+            else:
+                options[-1] += x
+        for e in (e for o in options for e in examples(o)):
+            assert re.fullmatch(r.regex, e), (r, e)
+            assert r.gate in e and any(g in e for g in coarse), (r, e)
 
 
 # Toxicity and language
