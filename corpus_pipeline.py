@@ -31,8 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that stand earlier in the corpus; n_chars follows the text. All rows stay."""
     small_batches(spark)
-    found = linededup.dedup_lines(docs)
-    return found.select(*[(F.char_length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("r"))
+    own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return linededup.dedup_lines(whole).select(*[own.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

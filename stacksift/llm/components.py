@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacksift.llm.common import materialize
+from stacksift.llm.common import forget, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        near = materialize(labels.join(around, "node").select("node", F.least("label", "seen").alias("next"), F.col("label").alias("was")), "near")
+        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+        near = materialize(labels.select("node", "label").join(around, "node").select("node", F.least("label", "seen").alias("next"), F.col("label").alias("was")), "near")
         jump = near.select(F.col("node").alias("next"), F.col("next").alias("further"))
         moved = materialize(near.join(jump, "next").select("node", F.col("further").alias("label"), (F.col("further") != F.col("was")).alias("moved")), "labels")
-        labels = moved.select("node", "label")
+        forget(labels, near)
+        labels = moved
         if moved.where("moved").isEmpty():
-            return labels
+            forget(both)
+            return moved.select("node", "label")

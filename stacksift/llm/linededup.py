@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacksift.llm.common import document_keys, materialize, slices, tidy
+from stacksift.llm.common import document_keys, forget, materialize, renamed, slices, tidy
 from stacksift.llm.components import components
 from stacksift.llm.minhash import mixed
 
 #: Lines within this many edits are near copies; a line is cut into one segment more.
 EDITS = 1
-#: Shorter lines (in code points) are always kept.
-MIN_CHARS = 16
+#: Shorter lines (in code points) are compared for equality only, and still shorter ones always kept.
+MIN_CHARS, EXACT_CHARS = 16, 8
 #: Members of a bucket that are compared with each other; larger buckets are split by a further segment.
 SMALL = 32
 #: Candidate lines up to this number are broadcast as (key, position) to fetch their text; more are joined.
@@ -56,18 +57,84 @@ class Prefixes:
         return mixed((self.sums[j] - self.sums[i]) * self.down[i] + (b - a).astype(np.uint64))
 
 
-def split(p: Prefixes, row: np.ndarray, key: np.ndarray, host: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
-    """The two buckets of each member whose lines agree outside lo to hi: (key, lo, hi) for the left and the right segment.
+def window(j: int, b: int, delta: int) -> range:
+    """Where segment j of a host may stand in a visitor that is delta longer, relative to its place in the host.
 
-    Hosts of a bucket have one length, visitors are one character longer. The part in question of a host
-    has r characters and two segments, of r // 2 characters and of the rest. One edit leaves one segment
-    whole: either the left, which starts where the part starts, or the right, which ends where it ends.
+    Of b edits at most j lie in front of the segment and b - j behind it.
     """
-    r = hi - lo - np.where(host, 0, 1)
-    left, right = r // 2, r - r // 2
-    a = mixed(key ^ mixed(p.of(row, lo, lo + left) ^ np.uint64(1)))
-    b = mixed(key ^ mixed(p.of(row, hi - right, hi) ^ np.uint64(2)))
-    return [(a, lo + left, hi), (b, lo, hi - right)]
+    return range(max(-j, delta - (b - j)), min(j, delta + (b - j)) + 1)
+
+
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(how much longer than the host, segment, shift) of a line's keys: as a host first, then as a visitor."""
+    visits = [(d, j, o) for d in range(edits + 1) for j in range(edits + 1) for o in window(j, edits, d)]
+    return [(0, j, 0) for j in range(edits + 1)] + [v for v in visits if v[0] or v[2]]
+
+
+def line_keys(p: Prefixes, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether they hold) of all lines and probes. A host's segments are its even (edits + 1)-ths."""
+    row, keys, holds = np.arange(len(p.length)), [], []
+    for longer, j, shift in probes(edits):
+        host = p.length - longer
+        start, end = j * host // (edits + 1), (j + 1) * host // (edits + 1)
+        ok = (host >= min_chars) & (start + shift >= 0) & (end + shift <= p.length)
+        a, b = np.where(ok, start + shift, 0), np.where(ok, end + shift, 0)
+        keys.append(mixed(mixed(host.astype(np.uint64)) ^ mixed(p.of(row, a, b) ^ np.uint64(j + 1))))
+        holds.append(ok)
+    return np.stack(keys, axis=1), np.stack(holds, axis=1)
+
+
+#: What is still open of a line in a bucket: characters of the host, own first and last (not with it) character, edits left.
+Part = tuple[int, int, int, int]
+
+
+def first_parts(probe: tuple[int, int, int], length: int, edits: int) -> list[Part]:
+    longer, j, shift = probe
+    host = length - longer
+    start, end = j * host // (edits + 1), (j + 1) * host // (edits + 1)
+    return [(start, 0, start + shift, j), (host - end, end + shift, length, edits - j)]
+
+
+def split(parts: list[Part], host: bool) -> Iterator[tuple[int, int, int, bool, list[Part]]] | None:
+    """The buckets that a member's bucket is split into: (segment, its start, its end, as a host, parts); None at a leaf.
+
+    The longest open part of the host is cut into segments, one more than its edits; two lines that are
+    within them share one. All members of a bucket have the same parts of the host. Hosts among themselves
+    are of one length, but edits within a part may shift a segment, so a host is a visitor there too.
+    """
+    at = max(range(len(parts)), key=lambda i: parts[i][0] if parts[i][0] > parts[i][3] else 0)
+    size, lo, hi, b = parts[at]
+    if size <= b:
+        return None
+
+    def children() -> Iterator[tuple[int, int, int, bool, list[Part]]]:
+        for j in range(b + 1):
+            start, end = j * size // (b + 1), (j + 1) * size // (b + 1)
+            for shift in window(j, b, hi - lo - size):
+                x, y = lo + start + shift, lo + end + shift
+                if lo <= x and y <= hi:
+                    yield at << 8 | j, x, y, host and shift == 0, [*parts[:at], *parts[at + 1 :], (start, lo, x, j), (size - end, y, hi, b - j)]
+
+    return children()
+
+
+def leaf_names(line: str, parts: list[Part], host: bool) -> list[str]:
+    """Names of a member of a leaf, where no part of the host has more characters than edits.
+
+    A host has one for each choice of its open characters, none of them too: hosts are within the edits of
+    each other. A visitor has the choices that an alignment within each part's edits can match.
+    """
+    names = [""]
+    for size, lo, hi, b in parts:
+        own, found = line[lo:hi], set()
+        for m in range(min(size, len(own)) + 1):
+            for i in combinations(range(size), m):
+                for k in [i] if host else combinations(range(len(own)), m):
+                    gaps = zip((-1, *i), (*i, size), (-1, *k), (*k, len(own)), strict=True)
+                    if host or sum(max(b2 - a2, d2 - c2) - 1 for a2, b2, c2, d2 in gaps) <= b:
+                        found.add("".join(f"{x}{own[y]}" for x, y in zip(i, k, strict=True)))
+        names = [f"{n}|{f}" for n in names for f in found]
+    return names
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -118,11 +185,10 @@ def line_order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "pos")
 
 
-def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, k1, k2, pos, d1, d2, chars, keys) for each line of at least min_chars code points.
+def line_rows(docs: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
+    """(doc_id, k1, k2, pos, d1, d2, keys) for each line of at least exact_chars code points.
 
-    d1 and d2 are a 128-bit digest of the line; keys are its four buckets: left and right as a host, and
-    left and right as a visitor among lines one character shorter.
+    d1 and d2 are a 128-bit digest of the line; keys has one key per probe, null where the probe cannot be.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,33 +197,32 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                 lines, doc, pos = [], [], []
                 for i, t in enumerate(b.column("text").to_pylist()):
                     for k, x in enumerate((t or "").split("\n")):
-                        if len(x) >= min_chars:
+                        if len(x) >= exact_chars:
                             lines.append(x)
                             doc.append(i)
                             pos.append(k)
                 if not lines:
                     continue
                 digest = np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines), dtype=np.int64).reshape(-1, 2)
-                p, row, zero = Prefixes(lines), np.arange(len(lines)), np.zeros(len(lines), dtype=np.int64)
-                keys = []
-                for host in (True, False):
-                    of_length = mixed((p.length - (0 if host else 1)).astype(np.uint64))
-                    keys += [x[0] for x in split(p, row, of_length, np.full(len(lines), host), zero, p.length)]
-                flat = np.stack(keys, axis=1).ravel().view(np.int64)
+                keys, holds = line_keys(Prefixes(lines), edits, min_chars)
+                flat = pa.array(keys.ravel().view(np.int64), mask=~holds.ravel())
                 at = pa.array(doc, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(at), b.column("k1").take(at), b.column("k2").take(at), pa.array(pos, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                     pa.array(p.length.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * 4, pa.int32()), pa.array(flat))],
-                    ["doc_id", "k1", "k2", "pos", "d1", "d2", "chars", "keys"],
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * keys.shape[1], pa.int32()), flat)],
+                    ["doc_id", "k1", "k2", "pos", "d1", "d2", "keys"],
                 )
 
-    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, pos int, d1 long, d2 long, chars int, keys array<long>")
+    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, pos int, d1 long, d2 long, keys array<long>")
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """Members (key, uid, host, lo, hi) of the buckets that hold a host and another line, with the bucket's size n."""
+    """Members (key, uid, host and other columns) of the buckets that hold a host and another line, with the bucket's size n."""
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.max("host").alias("any")).where("n > 1 and any").select("key", "n")
-    return materialize(members.join(materialize(shared, "shared"), "key"), "buckets")
+    shared = materialize(shared, "shared")
+    found = materialize(members.join(shared, "key"), "buckets")
+    forget(shared)
+    return found
 
 
 def small_pairs(found: DataFrame) -> DataFrame:
@@ -167,40 +232,43 @@ def small_pairs(found: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a <> b and (not host or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def split_members(hot: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of the buckets that hot ones are split into, with leaf for buckets that need no further split.
+def split_members(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Members (key, uid, host, parts, leaf) of the buckets that hot ones (key, uid, host, probe or parts) are split into.
 
-    A part of at most one character is a leaf: hosts differ in that character alone and form one leaf;
-    and a host shares another with the visitors that become equal to it without one character.
+    parts holds four numbers per Part; leaf marks buckets that need no further split.
     """
+    every = probes(edits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "line"):
                 lines = b.column("line").to_pylist()
-                p, row = Prefixes(lines), np.arange(len(lines))
-                uid, lo, hi = (b.column(c).to_numpy().astype(np.int64) for c in ("uid", "lo", "hi"))
-                key, host = b.column("key").to_numpy().view(np.uint64), b.column("host").to_numpy(zero_copy_only=False)
-                ends = hi - lo - np.where(host, 0, 1) <= 1
-                out = []
-                for k, x, y in split(p, row, key, host, lo, hi):
-                    out.append((k[~ends], uid[~ends], host[~ends], x[~ends], y[~ends], np.zeros((~ends).sum(), dtype=bool)))
-                for i in np.flatnonzero(ends).tolist():
-                    part = lines[i][lo[i] : hi[i]]
-                    kinds = [(0, ""), (1, part)] if host[i] else [(1, part[:k] + part[k + 1 :]) for k in range(len(part))]
-                    names = np.array([int.from_bytes(hashlib.blake2b(f"{kind}{x}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for kind, x in kinds], dtype=np.uint64)
-                    n = len(kinds)
-                    out.append((mixed(key[i] ^ names), np.full(n, uid[i]), np.full(n, host[i]), np.full(n, lo[i]), np.full(n, hi[i]), np.ones(n, dtype=bool)))
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                columns[0] = columns[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["key", "uid", "host", "lo", "hi", "leaf"])
-
-    rows = hot.join(texts, "uid").select("key", "uid", "host", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "line")
-    return rows.mapInArrow(tidy(run), "key long, uid long, host boolean, lo int, hi int, leaf boolean")
+                row, key, lo, hi, tag, out = [], [], [], [], [], []
+                for i, (line, k, uid, host, probe, flat) in enumerate(zip(lines, *(b.column(c).to_pylist() for c in ("key", "uid", "host", "probe", "parts")), strict=True)):
+                    parts = first_parts(every[probe], len(line), edits) if flat is None else list(zip(*[iter(flat)] * 4, strict=True))
+                    found = split(parts, host)
+                    if found is None:
+                        for name in leaf_names(line, parts, host):
+                            digest = hashlib.blake2b(f"{k}{name}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                            out.append((int.from_bytes(digest, "little", signed=True), uid, host, [], True))
+                    else:
+                        for t, x, y, as_host, rest in found:
+                            row.append(i), key.append(k), lo.append(x), hi.append(y), tag.append(t)
+                            out.append((len(row) - 1, uid, as_host, [n for part in rest for n in part], False))
+                if row:
+                    inner = Prefixes(lines).of(np.array(row), np.array(lo), np.array(hi))
+                    keys = mixed(np.array(key, dtype=np.int64).view(np.uint64) ^ mixed(inner ^ (np.array(tag, dtype=np.uint64) << np.uint64(8)) + np.uint64(7))).view(np.int64).tolist()
+                    out = [x if x[4] else (keys[x[0]], *x[1:]) for x in out]
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "uid", "host", "parts", "leaf"])
+
+    rows = hot.join(texts, "uid").select("key", "uid", "host", "probe", "parts", "line")
+    return rows.mapInArrow(tidy(run), "key long, uid long, host boolean, parts array<int>, leaf boolean")
 
 
 def leaf_pairs(leaves: DataFrame) -> DataFrame:
-    """Members of a leaf paired with its least host: all of them are within one edit of it."""
+    """Members of a leaf paired with its least host: all of them are within the edits of it."""
     heads = materialize(leaves.where("host").groupBy("key").agg(F.min("uid").alias("head")), "heads")
     return leaves.join(heads, "key").where("uid <> head").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b"))
 
@@ -226,61 +294,59 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
-def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """(k1, k2, pos, uid, label) of each different line's first place; label names its class of near copies.
 
-    docs has doc_id, text, k1 and k2. Equal lines are one line; lines within one edit are linked; links make classes.
+    docs has doc_id, text, k1 and k2. Equal lines are one line; lines of at least min_chars code points
+    within so many edits are linked; links make classes.
     """
-    rows = line_rows(docs, min_chars)
-    firsts = rows.groupBy("d1", "d2").agg(F.min(line_order()).alias("at"), F.first("chars").alias("chars"), F.first("keys").alias("keys"))
-    firsts = materialize(firsts.select("at", "chars", "keys").withColumn("uid", F.monotonically_increasing_id()), "lines")
-    n = F.col("chars")
-    left = lambda r: (r / 2).cast("int")
-    places = F.array(
-        F.struct(F.lit(True).alias("host"), left(n).alias("lo"), n.alias("hi")),
-        F.struct(F.lit(True).alias("host"), F.lit(0).alias("lo"), (n - (n - left(n))).alias("hi")),
-        F.struct(F.lit(False).alias("host"), left(n - 1).alias("lo"), n.alias("hi")),
-        F.struct(F.lit(False).alias("host"), F.lit(0).alias("lo"), (n - (n - 1 - left(n - 1))).alias("hi")),
-    )
-    members = firsts.select("uid", F.explode(F.arrays_zip(F.col("keys").alias("key"), places.alias("p"))).alias("m"))
-    found = buckets(members.select(F.col("m.key").alias("key"), "uid", F.col("m.p.host").alias("host"), F.col("m.p.lo").alias("lo"), F.col("m.p.hi").alias("hi")))
+    rows = line_rows(docs, edits, min_chars, exact_chars)
+    firsts = rows.groupBy("d1", "d2").agg(F.min(line_order()).alias("at"), F.first("keys").alias("keys"))
+    firsts = materialize(firsts.select("at", "keys").withColumn("uid", F.monotonically_increasing_id()), "lines")
+    members = firsts.select("uid", F.posexplode("keys").alias("probe", "key")).where("key is not null")
+    members = members.select("key", "uid", (F.col("probe") <= edits).alias("host"), F.col("probe").cast("byte").alias("probe"))
+    found = buckets(members)
     wanted = materialize(firsts.join(found.select("uid").distinct(), "uid").select("uid", "at.k1", "at.k2", "at.pos"), "wanted")
     texts = materialize(line_texts(docs, wanted), "texts")
-    pairs = small_pairs(found)
-    hot = found.where(F.col("n") > SMALL)
+    pairs, used = small_pairs(found), [found, wanted, texts]
+    hot = found.where(F.col("n") > SMALL).withColumn("parts", F.lit(None).cast("array<int>"))
     while not hot.isEmpty():
-        parts = materialize(split_members(hot, texts), "parts")
-        pairs = pairs.union(leaf_pairs(parts.where("leaf").drop("leaf")))
-        inner = buckets(parts.where("not leaf").drop("leaf"))
+        parts = materialize(split_members(hot, texts, edits), "parts")
+        pairs = pairs.union(leaf_pairs(parts.where("leaf")))
+        inner = buckets(parts.where("not leaf").drop("leaf").distinct())
         pairs = pairs.union(small_pairs(inner))
-        hot = inner.where(F.col("n") > SMALL)
-    labels = components(verified(pairs, texts, EDITS))
+        hot = inner.where(F.col("n") > SMALL).withColumn("probe", F.lit(None).cast("byte"))
+        used += [parts, inner]
+    labels = components(verified(pairs, texts, edits))
+    forget(*used)
     named = firsts.select("uid", "at").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
     return named.select("uid", "at", F.coalesce("label", "uid").alias("label"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with repeated lines taken out of text, and columns n_lines and n_removed of struct line_dedup.
 
-    Of each class of lines that are equal or linked by one edit, the first in the corpus stays (by doc_id,
-    nulls last, then the text's hash and the line's number). Lines under min_chars code points always stay.
-    Lines end at a line feed. All rows stay; a row whose lines all went has an empty text. Null text stays
-    null. Rows equal in doc_id and text count as one document, so each of them gets the same text. Other
-    columns pass through as they are; an empty table gives an empty result.
+    Of each class of lines that are equal, or of at least min_chars code points and linked by so many edits,
+    the first in the corpus stays (by doc_id, nulls last, then the text's hash and the line's number). Links
+    make chains: ends of a chain may differ by more. Lines under exact_chars code points always stay. Lines
+    end at a line feed. All rows stay; a row whose lines all went has an empty text. Null text stays null.
+    Rows equal in doc_id and text count as one document, so each of them gets the same text. Other columns
+    pass through as they are, one named line_dedup as line_dedup_input; an empty table gives an empty result.
 
     A hot line costs one row after partial aggregation. Buckets of more than SMALL lines are never
-    expanded into pairs but split by further segments until they are small or differ in one character.
+    expanded into pairs but split by further segments until they are small or differ in a few characters.
+    With one edit that stays linear; with more, a family of lines meets again in several segments' buckets.
     """
+    docs = renamed(docs, "line_dedup")
     names = docs.columns
     keyed = document_keys(docs.select("doc_id", "text"))
-    lines = line_classes(keyed, min_chars)
+    lines = line_classes(keyed, edits, min_chars, exact_chars)
     first = lines.groupBy("label").agg(F.min("at").alias("at"))
     kept = materialize(first.groupBy("at.k1", "at.k2").agg(F.collect_list("at.pos").alias("kept")), "kept")
     whole = document_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")))
     joined = whole.join(kept, ["k1", "k2"], "left").withColumn("s", F.split("text", "\n"))
-    held = F.coalesce("kept", F.array().cast("array<int>"))
-    stays = F.filter("s", lambda x, i: (F.char_length(x) < min_chars) | F.array_contains(F.col("held"), i))
-    out = joined.withColumn("held", held).withColumn("stays", stays)
-    text = F.array_join("stays", "\n")
+    short = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.char_length(F.get("s", i)) < exact_chars)
+    out = joined.withColumn("stays", F.when(F.col("s").isNotNull(), F.array_sort(F.concat(short, F.coalesce("kept", F.array().cast("array<int>"))))))
+    text = F.array_join(F.transform("stays", lambda i: F.get("s", i)), "\n")
     counts = F.struct(F.size("s").alias("n_lines"), (F.size("s") - F.size("stays")).alias("n_removed"))
     return out.select(*[(text if c == "text" else F.col(f"r.`{c}`")).alias(c) for c in names], counts.alias("line_dedup"))

@@ -640,12 +640,12 @@ def test_banded_edit_distance():
             assert linededup.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
 
 
-def lines_by_hand(docs, least=linededup.MIN_CHARS):
+def lines_by_hand(docs, edits=1, least=linededup.MIN_CHARS, exact=linededup.EXACT_CHARS):
     """Texts after deduplication; docs in order."""
     lines = {}
     for t in docs:
         for x in (t or "").split("\n"):
-            if len(x) >= least:
+            if len(x) >= exact:
                 lines.setdefault(x, len(lines))
     order = list(lines)
     parent = list(range(len(order)))
@@ -657,7 +657,7 @@ def lines_by_hand(docs, least=linededup.MIN_CHARS):
 
     for i, a in enumerate(order):
         for j, b in enumerate(order[:i]):
-            if abs(len(a) - len(b)) <= 1 and levenshtein(a, b) <= 1:
+            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and levenshtein(a, b) <= edits:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     seen, out = set(), []
     for t in docs:
@@ -666,7 +666,7 @@ def lines_by_hand(docs, least=linededup.MIN_CHARS):
             continue
         kept = []
         for x in t.split("\n"):
-            if len(x) < least:
+            if len(x) < exact:
                 kept.append(x)
             elif root(lines[x]) == lines[x] and x not in seen:
                 seen.add(x)
@@ -680,19 +680,75 @@ def typo(line):
     return rng.choice([line[:k] + line[k + 1 :], line[:k] + "z" + line[k:], line[:k] + "q" + line[k + 1 :], line])
 
 
-@pytest.mark.parametrize("small", [2, 32])
-def test_lines_equal_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("edits", "small"), [(1, 2), (1, 32), (2, 2), (2, 32), (3, 3)])
+def test_lines_equal_brute_force(spark, monkeypatch, edits, small):
     """Also with tiny buckets, so that hot ones are split again and again."""
     monkeypatch.setattr(linededup, "SMALL", small)
-    base = [prose(rng.randint(3, 7)) for _ in range(12)]
-    texts = ["\n".join(typo(typo(rng.choice(base)) if rng.random() < 0.4 else rng.choice(base)) if rng.random() < 0.8 else rng.choice(["", "short"]) for _ in range(rng.randint(1, 6))) for _ in range(45)] + [None, "", base[0][:16], base[0][:15]]
-    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.text for r in got} == dict(enumerate(lines_by_hand(texts)))
+    base = [prose(rng.randint(3, 5)) for _ in range(9)] + ["abababababababababab", "item 0000 of the list"]
+
+    def line():
+        x = rng.choice(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, edits, edits + 1])):
+            x = typo(x)
+        return x
+
+    texts = ["\n".join(line() if rng.random() < 0.8 else rng.choice(["", "short", "nine char"]) for _ in range(rng.randint(1, 6))) for _ in range(35)] + [None, "", base[0][:16], base[0][:15], base[0][:15], base[0][:8], base[0][:7]]
+    texts += [f"item {k:04d} of the list" for k in range(0, 400, 37)]
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), edits).collect()
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(lines_by_hand(texts, edits)))
+
+
+def test_segments_find_all_pairs_within_the_edits():
+    """Two lines within the edits share a key, and go on sharing one down to the leaf."""
+    for _ in range(60):
+        edits = rng.randint(1, 3)
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(8, 12)))
+        b = a
+        for _ in range(edits):
+            b = typo(b) if len(b) > 8 else b + "a"
+        if len(b) < len(a):
+            a, b = b, a
+
+        def names(line, host, pairs):
+            out, todo = set(), pairs
+            while todo:
+                key, parts, as_host = todo.pop()
+                found = linededup.split(parts, as_host)
+                if found is None:
+                    out |= {(key, n, as_host) for n in linededup.leaf_names(line, parts, as_host)}
+                else:
+                    todo += [((*key, tag, line[x:y]), rest, h) for tag, x, y, h, rest in found]
+            return out
+
+        every = linededup.probes(edits)
+        starts = []
+        for line in (a, b):
+            here = []
+            for longer, j, shift in every:
+                n = len(line) - longer
+                x, y = j * n // (edits + 1) + shift, (j + 1) * n // (edits + 1) + shift
+                if n > edits and x >= 0 and y <= len(line):
+                    here.append(((n, j, line[x:y]), linededup.first_parts((longer, j, shift), len(line), edits), longer == 0 and shift == 0))
+            starts.append(here)
+        hosts = {(k, n) for k, n, h in names(a, True, starts[0]) if h}
+        others = {(k, n) for k, n, _ in names(b, False, starts[1])}
+        near = levenshtein(a, b) <= edits
+        assert bool(hosts & others) == near, (a, b, edits)
+
+
+def test_lines_of_a_very_long_document(spark):
+    """80,000 lines in one text: time follows their number."""
+    text = "\n".join(f"{k:06d} {hashlib.md5(str(k).encode()).hexdigest()}" for k in range(80_000))
+    began = time.perf_counter()
+    got = linededup.dedup_lines(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).select("doc_id", F.length("text").alias("n"), "line_dedup.*").collect()
+    assert {r.doc_id: (r.n, r.n_lines, r.n_removed) for r in got} == {1: (len(text), 80_000, 0), 2: (0, 80_000, 80_000)}
+    assert time.perf_counter() - began < 60
 
 
 def test_lines_of_edge_cases(edges, nothing):
     got = linededup.dedup_lines(edges)
     assert got.columns == [*edges.columns, "line_dedup"] and got.count() == len(EDGES)
+    assert linededup.dedup_lines(edges.withColumn("line_dedup", F.lit(1))).columns == [*edges.columns, "line_dedup_input", "line_dedup"]
     assert {r.doc_id: r.text for r in got.collect() if r.doc_id != 8} == {i: t for i, t in EDGES if i != 8}
     assert linededup.dedup_lines(nothing).count() == 0
 
