@@ -74,7 +74,7 @@ def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture of all sources."""
     docs = documents(spark, sf_dir).select("doc_id", "source")
-    return mix(docs).select("doc_id", "source", "mix_at.slot", "mix_at.block", "mix_at.release", "mix_at.due", "mix_at.offset", "mix_at.quota", "mix_at.round_slots")
+    return mix(docs).select("doc_id", "source", "mix_at.slot", "mix_at.block", "mix_at.release", "mix_at.due", "mix_at.offset", "mix_at.weight", "mix_at.total")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,19 +131,19 @@ c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_transfor
 d AS (SELECT *, CAST(least(7, ((2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size) * 8) // (2 * sum(size) OVER ())) AS INT) AS shard FROM c)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM d"""
 
-#: Quotas by largest remainders, earliest-deadline-first slot by slot, then each source's blocks by the MD5 of doc_id.
+#: Whole weights, earliest-deadline-first slot by slot over the whole run, then each source's blocks by the MD5 of doc_id.
 MIX_SQL = """WITH RECURSIVE c AS (SELECT coalesce('=' || source, 'null') AS key, count(*) AS n FROM documents GROUP BY ALL),
-s AS (SELECT key, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * (1024 - count(*) OVER ()) AS exact FROM c),
-q AS (SELECT key, CAST(1 + floor(exact) + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, key) <= 1024 - count(*) OVER () - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM s),
-a AS (SELECT list(quota ORDER BY key) AS quota FROM q),
-e AS (SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(quota, lambda x: CAST(0 AS BIGINT)) AS done FROM a
+s AS (SELECT key, n, greatest(256, CAST(floor(pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * 1048576 + 0.5) AS BIGINT)) AS w FROM c),
+a AS (SELECT list(w ORDER BY key) AS w, CAST(sum(w) AS BIGINT) AS u FROM s),
+z AS (SELECT max(((n + 63) // 64 * u + s.w - 1) // s.w) AS slots FROM s, a),
+e AS (SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done FROM a
     UNION ALL SELECT t, pick, list_transform(done, lambda d, i: d + CASE WHEN i = pick THEN 1 ELSE 0 END) FROM (
-        SELECT e.t + 1 AS t, done, list_min(list_filter(list_transform(range(1, len(quota) + 1), lambda i: {'due': ((done[i] + 1) * 1024 + quota[i] - 1) // quota[i], 'i': i,
-            'rel': CASE WHEN done[i] < quota[i] THEN done[i] * 1024 // quota[i] ELSE 1024 END}), lambda j: j.rel <= e.t + 1)).i AS pick FROM e, a WHERE e.t < 1023)),
-k AS (SELECT key, quota, row_number() OVER (ORDER BY key) AS i FROM q),
-p AS (SELECT key, quota, list(t ORDER BY t) AS slots FROM e JOIN k ON i = pick WHERE t >= 0 GROUP BY ALL),
+        SELECT e.t + 1 AS t, done, list_min(list_filter(list_transform(range(1, len(w) + 1), lambda i: {'due': ((done[i] + 1) * u + w[i] - 1) // w[i], 'i': i,
+            'rel': done[i] * u // w[i]}), lambda j: j.rel <= e.t + 1)).i AS pick FROM e, a, z WHERE e.t < slots - 1)),
+k AS (SELECT key, w, row_number() OVER (ORDER BY key) AS i FROM s),
+p AS (SELECT key, w, list(t ORDER BY t) AS slots FROM e JOIN k ON i = pick WHERE t >= 0 GROUP BY ALL),
 r AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, row_number() OVER (PARTITION BY source ORDER BY md5('mix' || coalesce(CAST(doc_id AS STRING), 'null'))) - 1 AS rank FROM documents)
-SELECT doc_id, source, (rank // 64 // quota) * 1024 + slots[(rank // 64) % quota + 1] AS slot, rank // 64 AS block, (rank // 64) * 1024 // quota AS release,
-    ((rank // 64 + 1) * 1024 + quota - 1) // quota AS due, CAST(rank % 64 AS INT) AS offset, quota, CAST(1024 AS BIGINT) AS round_slots FROM r JOIN p USING (key)"""
+SELECT doc_id, source, slots[rank // 64 + 1] AS slot, rank // 64 AS block, (rank // 64) * u // p.w AS release, ((rank // 64 + 1) * u + p.w - 1) // p.w AS due,
+    CAST(rank % 64 AS INT) AS offset, p.w AS weight, u AS total FROM r JOIN p USING (key), a"""
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op10_sharding": SHARDS_SQL}

@@ -76,50 +76,73 @@ def test_shards_of_edge_cases(spark, edges, nothing):
 # Mixing
 
 
-def edf(quota):
+def edf(weights, slots):
     """Pfair by hand: at each slot the released block that is due first."""
-    total, done, out = sum(quota), [0] * len(quota), []
-    for t in range(total):
-        ready = [(-(-(done[i] + 1) * total // q), i) for i, q in enumerate(quota) if done[i] < q and done[i] * total // q <= t]
-        i = min(ready)[1]
-        out.append(i)
+    total, done, out = sum(weights), [0] * len(weights), []
+    for t in range(slots):
+        i = min((-(-(done[i] + 1) * total // w), i) for i, w in enumerate(weights) if done[i] * total // w <= t)[1]
+        out.append((i, done[i]))
         done[i] += 1
     return out
 
 
-@pytest.mark.parametrize("quota", [[1], [3, 1], [5, 3, 2, 1, 1], [40, 7, 7, 5, 5], [1] * 9])
-def test_schedule_is_earliest_deadline_first(spark, quota):
-    frame = spark.createDataFrame([([(f"s{i:02d}", q) for i, q in enumerate(quota)],)], "all array<struct<key: string, quota: bigint>>")
-    got = {r.key: r.slots for r in mixing.schedule(frame).collect()}
-    want = edf(quota)
-    assert got == {f"s{i:02d}": [t for t, x in enumerate(want) if x == i] for i in range(len(quota))}
-    for i, q in enumerate(quota):  # less than one block off after any number of slots
-        assert all(abs(want[:t].count(i) - q * t / sum(quota)) < 1 for t in range(sum(quota) + 1))
+@pytest.mark.parametrize("length", [5, 32])
+def test_schedule_is_earliest_deadline_first_over_the_whole_run(spark, monkeypatch, length):
+    """Rounds that are worked out on their own join to the schedule of the whole run."""
+    monkeypatch.setattr(mixing, "ROUND", length)
+    for weights in ([1], [3, 1], [5, 3, 2, 1, 1], [40, 7, 7, 5, 5], [1] * 9, [997, 31, 5, 2], *([rng.choice([1, 2, 7, 30, 400]) for _ in range(rng.randint(2, 14))] for _ in range(6))):
+        total = sum(weights)
+        blocks = [max(1, 130 * w // total) for w in weights]
+        slots = max(-(-b * total // w) for b, w in zip(blocks, weights, strict=True))
+        want = edf(weights, slots)
+        got = mixing.schedule(spark, [mixing.Lane(f"s{i:02d}", w, b) for i, (w, b) in enumerate(zip(weights, blocks, strict=True))]).collect()
+        assert {(r.lane, r.block): r.slot for r in got} == {(f"s{i:02d}", k): t for t, (i, k) in enumerate(want) if k < blocks[i]}
+        for i, w in enumerate(weights):  # less than one block off after any number of slots
+            count = 0
+            for t, (x, _) in enumerate(want, 1):
+                count += x == i
+                assert abs(count * total - w * t) < total
 
 
 def test_mix_keeps_all_rows_and_targets(spark):
     rows = [(k, "hot" if k % 3 == 0 else f"s{k % 5}" if k % 7 else None, k) for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text long").withColumn("text", F.col("text").cast("string"))
-    got = mixing.mix(docs, block_rows=4, slots=64).select("doc_id", "source", "mix_at.*").collect()
+    got = mixing.mix(docs, block_rows=4).select("doc_id", "source", "mix_at.*").collect()
     assert sorted(r.doc_id for r in got) == list(range(900))
-    places = {(r.slot, r.offset) for r in got}
-    assert len(places) == 900
+    assert len({(r.slot, r.offset) for r in got}) == 900
     by = {}
     for r in got:
         by.setdefault(r.source, []).append(r)
         assert r.release <= r.slot < r.due
-    assert sum(x[0].quota for x in by.values()) == 64
+    total = sum(len(x) ** 0.5 for x in by.values())
     for x in by.values():
+        assert abs(x[0].weight / x[0].total - len(x) ** 0.5 / total) < 1e-5
         blocks = Counter(r.block for r in x)
         assert sorted(blocks) == list(range(len(blocks))) and all(n == 4 for b, n in blocks.items() if b < len(blocks) - 1)
-    weighted = mixing.mix(docs, 4, {"hot": 3.0, "s1": 1.0}, slots=100).select("source", "mix_at.quota").distinct().collect()
-    shares = {r.source: r.quota for r in weighted}
-    assert shares["hot"] > 2.5 * shares["s1"] and shares[None] == 1 and sum(shares.values()) == 100
+        assert all(len({r.slot for r in x if r.block == b}) == 1 for b in blocks)
+    weighted = mixing.mix(docs, 4, {"hot": 3.0, "s1": 1.0}).select("source", "mix_at.weight", "mix_at.total").distinct().collect()
+    shares = {r.source: r.weight / r.total for r in weighted}
+    assert abs(shares["hot"] / shares["s1"] - 3) < 0.01 and abs(shares[None] - 1 / 4096) < 1e-5
+
+
+def test_many_sources_share_lanes(spark, monkeypatch):
+    """Sources beyond the lanes: all rows stay, and each source is within three blocks of its share."""
+    monkeypatch.setattr(mixing, "LANES", 3)
+    sizes = [200, 150, 90] + [rng.randint(20, 70) for _ in range(30)]
+    rows = [(s, k) for s, n in enumerate(sizes) for k in range(n)]
+    docs = spark.createDataFrame([(i, f"s{s}", "t") for i, (s, _) in enumerate(rows)], "doc_id long, source string, text string")
+    got = mixing.mix(docs, block_rows=2).select("doc_id", "source", "mix_at.*").collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(rows))) and len({(r.slot, r.offset) for r in got}) == len(rows)
+    first_end = min(r.due for r in got if r.block == max(x.block for x in got if x.source == r.source))
+    for s in range(len(sizes)):
+        own = {r.block: r for r in got if r.source == f"s{s}"}
+        assert all(abs(b - r.slot * r.weight / r.total) < 3 for b, r in own.items() if r.slot < first_end)
 
 
 def test_mix_edge_cases(edges, nothing):
     assert mixing.mix(edges).count() == len(EDGES) and mixing.mix(nothing).count() == 0
-    assert set(mixing.mix(edges).columns) == {*edges.columns, "mix_at"}
+    assert mixing.mix(edges.withColumn("mix_at", F.lit(1))).columns == [*edges.columns, "mix_at_input", "mix_at"]
+    assert mixing.mix(nothing).columns == [*edges.columns, "mix_at"]
 
 
 # SentencePiece
