@@ -85,6 +85,11 @@ def confidence(sources: Column) -> Column:
     return F.when(n >= 3, "high").when(n == 2, "medium").otherwise("low")
 
 
+def halves_to_even(x: Column) -> Column:
+    """x at one decimal where it lies exactly between two of them (it is then a multiple of a quarter), else x as it is."""
+    return F.when(x * 4 == F.floor(x * 4), F.bround(x, 1)).otherwise(x)
+
+
 def final_score(venue: Column, code: Column, citation: Column, institution: Column, metadata: Column, sources: Column) -> Column:
     """QS-07: the weighted sum with floors, one decimal; null without sources. Halves round away from zero."""
     parts = {"venue": venue, "code": code, "citation": citation, "institution": institution, "metadata": metadata}
@@ -100,7 +105,7 @@ def reasons(review: Column, s2: Column, code: Column, graph: Column, venue: Colu
     accepted = F.contains(decision, F.lit("accept")) | F.contains(decision, F.lit("spotlight")) | F.contains(decision, F.lit("oral"))
     first = (
         F.when(accepted, F.concat(F.lit("OpenReview decision: "), review["decision"]))
-        .when(review["rating_avg"].isNotNull(), F.format_string("OpenReview avg rating %.1f", review["rating_avg"]))
+        .when(review["rating_avg"].isNotNull(), F.format_string("OpenReview avg rating %.1f", halves_to_even(review["rating_avg"])))
         .when(venue == 85, F.lit("top-tier venue signal"))
         .when(venue == 55, F.lit("conference publication signal"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -49,27 +50,39 @@ def truncate(c: Column, n: int) -> Column:
 BADGES = ("shields.io", "badge", "github.com/actions", "github/workflows", "codecov")
 
 
+#: Stands for a line that was blank from the start; no character of any text.
+BLANK = "\ufdd0"
+
+
 def clean_readme(c: Column, n: int = 8000) -> Column:
-    """FN-03: prose of a Markdown README: no code blocks, badges, images, link targets, tags or line prefixes."""
-    text = F.regexp_replace(c, r"\r\n?", "\n")
-    for fence in ("```", "~~~"):
-        text = F.regexp_replace(text, f"(?s){fence}.*?{fence}", "\n")
-    lines = F.transform(F.split(text, r"[\n\x0B\f\x1C-\x1E\x85  ]"), strip)
-
-    def badge(x: Column) -> Column:
-        low, found = F.lower(x), F.lower(x).startswith("![")
-        for b in BADGES:
-            found = found | F.contains(low, F.lit(b))
-        return found
-
-    def plain(x: Column) -> Column:
-        for pattern, to in ((r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", " "), ("`", ""), (r"(?U)^[#>*\-\s]+", ""), (r"(?U)\s+", " ")):
-            x = F.regexp_replace(x, pattern, to)
-        return strip(x)
-
-    marked = F.transform(F.filter(lines, lambda x: ~badge(x)), lambda x: F.struct((x == "").alias("blank"), plain(x).alias("text")))
-    kept = F.transform(F.filter(marked, lambda m: m["blank"] | (m["text"] != "")), lambda m: m["text"])
-    joined = strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    """FN-03: prose of a Markdown README: no code blocks, badges, images, link targets, tags or line prefixes.
+
+    Each pattern runs once over the whole text, line by line through its flags. Lines that become empty
+    go, lines that were blank stay.
+    """
+    badges = "|".join(re.escape(b) for b in BADGES)
+    steps = [
+        (r"\r\n?", "\n"),
+        ("(?s)```.*?```", "\n"),
+        ("(?s)~~~.*?~~~", "\n"),
+        ("[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"),
+        (r"(?dUm)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""),
+        ("(?dm)^$", BLANK),
+        (rf"(?dim)^(?:!\[.*|.*(?:{badges}).*)$", ""),
+        (r"!\[[^\]\n]*\]\([^)\n]+\)", ""),
+        (r"\[([^\]\n]+)\]\([^)\n]+\)", "$1"),
+        (r"<[^>\n]+>", " "),
+        ("`", ""),
+        (r"(?dUm)^[#>*\-\s&&[^\n]]+", ""),
+        (r"(?U)[\s&&[^\n]]+", " "),
+        ("(?dm)^ +| +$", ""),
+        (r"\n{2,}", "\n"),
+        (BLANK, ""),
+    ]
+    text = c
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    joined = strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
     return F.when(F.char_length(joined) > n, F.regexp_replace(F.substring(joined, 1, n), r"(?U)\s+$", "")).otherwise(joined) if n > 0 else joined
 
 

@@ -91,25 +91,30 @@ def fulltext_stats(sections: DataFrame) -> DataFrame:
     return counted.withColumn("blocks", F.col("n_sections") + F.col("n_paragraphs"))
 
 
-def category_context(papers: DataFrame, cut: int = 2000) -> DataFrame:
-    """AG-11: per day and category, the blocks of analysed papers in report order; overviews are cut before they are gathered.
+#: Ranks per chunk of a context: a hot day then is several rows, none of which grows with the day.
+CHUNK = 200
+
+
+def category_context(papers: DataFrame) -> DataFrame:
+    """AG-11: per day, category and chunk of ranks, the blocks of analysed papers in report order.
 
     papers: report_date, primary_category, rank, title, id, overview, tags. Categories are the configured ones already.
+    Chunks joined in order by the same separator are the whole context.
     """
-    block = F.concat(F.lit("Title: "), "title", F.lit("\nID: "), "id", F.lit("\nOverview: "), F.substring("overview", 1, cut), F.lit("\nTags: "), F.array_join("tags", ", "), F.lit("\n"))
+    block = F.concat(F.lit("Title: "), "title", F.lit("\nID: "), "id", F.lit("\nOverview: "), "overview", F.lit("\nTags: "), F.array_join("tags", ", "), F.lit("\n"))
     return joined_blocks(papers.select("report_date", "primary_category", "rank", block.alias("block")), ["report_date", "primary_category"])
 
 
-def news_context(news: DataFrame, days: DataFrame, cut: int = 2000) -> DataFrame:
-    """AG-12: per day, the blocks of analysed news; a fixed text on days without news."""
-    block = F.concat(F.lit("Title: "), "title", F.lit("\nSource: "), "source_name", F.lit("\nSummary: "), F.substring("summary", 1, cut), F.lit("\nCategory: "), "category", F.lit("\n"))
-    made = joined_blocks(news.select("report_date", "rank", block.alias("block")), ["report_date"])
-    return days.select("report_date").distinct().join(made, "report_date", "left").withColumn("context", F.coalesce("context", F.lit("今日暂无重大热点新闻。")))
+def news_context(news: DataFrame, days: DataFrame) -> DataFrame:
+    """AG-12: per day and chunk of ranks, the blocks of analysed news; chunk 0 with a fixed text on days without news."""
+    block = F.concat(F.lit("Title: "), "title", F.lit("\nSource: "), "source_name", F.lit("\nSummary: "), "summary", F.lit("\nCategory: "), "category", F.lit("\n"))
+    made = joined_blocks(news.select(F.col("report_date").alias("day"), "rank", block.alias("block")), ["day"])
+    return days.select("report_date").distinct().join(made, F.col("report_date").eqNullSafe(F.col("day")), "left").select("report_date", F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"), F.coalesce("context", F.lit("今日暂无重大热点新闻。")).alias("context"))
 
 
 def joined_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    found = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
-    return found.select(*keys, F.array_join(F.transform("b", lambda x: x["block"]), "\n---\n").alias("context"))
+    found = rows.groupBy(*keys, F.expr(f"cast((rank - 1) div {CHUNK} as bigint)").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    return found.select(*keys, "chunk", F.array_join(F.transform("b", lambda x: x["block"]), "\n---\n").alias("context"))
 
 
 def activity_trend(papers: DataFrame, news: DataFrame, last: Column, days: int = 7) -> DataFrame:

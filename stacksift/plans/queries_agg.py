@@ -48,7 +48,7 @@ def keyword_rows(x: Inputs) -> DataFrame:
     n = ranking.ranked(news(x), ranking.news_order(), "report_date").where("analysis_status = 'success'")
     tags = F.expr("array(primary_category, concat('t', cast(cast(id as bigint) % 7 as string)), source)")
     return p.select("report_date", F.lit(0).alias("kind_order"), F.col("rank_in_day").alias("rank"), tags.alias("keywords")).unionByName(
-        n.select("report_date", F.lit(1).alias("kind_order"), F.col("rank_in_day").alias("rank"), F.slice(F.split("content", " "), 1, 5).alias("keywords"))
+        n.select("report_date", F.lit(1).alias("kind_order"), F.col("rank_in_day").alias("rank"), F.split("content", " ").alias("keywords"))
     )
 
 
@@ -57,7 +57,7 @@ NEWS_RANK = f"SELECT *, {DAY} AS report_date, row_number() OVER (PARTITION BY {D
 KEYWORDS = f"""SELECT report_date, keyword, n, place FROM (SELECT *, row_number() OVER (PARTITION BY report_date ORDER BY n DESC, first, keyword) AS place FROM (
     SELECT report_date, keyword, count(*) AS n, min((k, rank, pos)) AS first FROM (
         SELECT report_date, 0 AS k, rank, unnest([primary_category, concat('t', CAST(CAST(id AS BIGINT) % 7 AS STRING)), source]) AS keyword, unnest([0, 1, 2]) AS pos FROM ({PAPER_RANK}) WHERE analysis_status = 'success'
-        UNION ALL SELECT report_date, 1 AS k, rank, unnest(string_split(content, ' ')[1:5]) AS keyword, generate_subscripts(string_split(content, ' ')[1:5], 1) - 1 AS pos FROM ({NEWS_RANK}) WHERE analysis_status = 'success')
+        UNION ALL SELECT report_date, 1 AS k, rank, unnest(string_split(content, ' ')) AS keyword, generate_subscripts(string_split(content, ' '), 1) - 1 AS pos FROM ({NEWS_RANK}) WHERE analysis_status = 'success')
     GROUP BY report_date, keyword)) WHERE place <= 10"""
 
 
@@ -118,21 +118,21 @@ def ag10(x):
     return agg.fulltext_stats(x.view("f_section").withColumn("paragraphs", F.split("body", "\n")))
 
 
-@R.add("ag11_category_context", f"""SELECT report_date, primary_category, string_agg(concat('Title: ', title, chr(10), 'ID: ', id, chr(10), 'Overview: ', source, chr(10), 'Tags: ', primary_category, ', ', source, chr(10)), chr(10) || '---' || chr(10) ORDER BY rank) AS context
-    FROM ({PAPER_RANK}) WHERE analysis_status = 'success' AND primary_category IN ('cs.AI', 'cs.CL', 'cs.CV') GROUP BY report_date, primary_category""")
+@R.add("ag11_category_context", f"""SELECT report_date, primary_category, (rank - 1) // 200 AS chunk, string_agg(concat('Title: ', title, chr(10), 'ID: ', id, chr(10), 'Overview: ', source, chr(10), 'Tags: ', primary_category, ', ', source, chr(10)), chr(10) || '---' || chr(10) ORDER BY rank) AS context
+    FROM ({PAPER_RANK}) WHERE analysis_status = 'success' AND primary_category IN ('cs.AI', 'cs.CL', 'cs.CV') GROUP BY ALL""")
 def ag11(x):
     ranked = ranking.ranked(papers(x), ranking.paper_order(), "report_date").withColumnRenamed("rank_in_day", "rank").where("analysis_status = 'success'")
     rows = ranked.select("report_date", "primary_category", "rank", "title", "id", F.col("source").alias("overview"), F.array("primary_category", "source").alias("tags"))
     return agg.category_context(joins.papers_in_config(rows, ["cs.AI", "cs.CL", "cs.CV"]))
 
 
-@R.add("ag12_news_context", f"""SELECT d.report_date, coalesce(context, '今日暂无重大热点新闻。') AS context FROM (SELECT DISTINCT report_date FROM ({NEWS_RANK})) d LEFT JOIN (
-    SELECT report_date, string_agg(concat('Title: ', id, chr(10), 'Source: ', source_name, chr(10), 'Summary: ', substring(content, 1, 50), chr(10), 'Category: ', analysis_category, chr(10)), chr(10) || '---' || chr(10) ORDER BY rank) AS context
-    FROM ({NEWS_RANK}) WHERE analysis_category IS NOT NULL GROUP BY report_date) c ON c.report_date = d.report_date""")
+@R.add("ag12_news_context", f"""SELECT d.report_date, coalesce(chunk, 0) AS chunk, coalesce(context, '今日暂无重大热点新闻。') AS context FROM (SELECT DISTINCT report_date FROM ({NEWS_RANK})) d LEFT JOIN (
+    SELECT report_date, (rank - 1) // 200 AS chunk, string_agg(concat('Title: ', id, chr(10), 'Source: ', source_name, chr(10), 'Summary: ', content, chr(10), 'Category: ', analysis_category, chr(10)), chr(10) || '---' || chr(10) ORDER BY rank) AS context
+    FROM ({NEWS_RANK}) WHERE analysis_category IS NOT NULL GROUP BY ALL) c ON c.report_date IS NOT DISTINCT FROM d.report_date""")
 def ag12(x):
     rows = ranking.ranked(news(x), ranking.news_order(), "report_date").withColumnRenamed("rank_in_day", "rank")
     done = rows.where("analysis_category is not null").select("report_date", "rank", F.col("id").alias("title"), "source_name", F.col("content").alias("summary"), F.col("analysis_category").alias("category"))
-    return agg.news_context(done, rows, 50)
+    return agg.news_context(done, rows)
 
 
 @R.add("ag13_activity_trend", f"""SELECT report_date, (SELECT count(*) FROM f_paper WHERE analysis_status = 'success' AND {DAY} = report_date) AS papers, (SELECT count(*) FROM f_news WHERE analysis_status = 'success' AND {DAY} = report_date) AS news
@@ -178,9 +178,9 @@ ENRICHED = f"""SELECT p.id, p.published, CASE WHEN p.source = 'openreview' THEN
     CASE WHEN g.paper_id IS NOT NULL THEN CAST(p.id AS BIGINT) % 9 END AS graph_cites, g.names, CASE WHEN g.paper_id IS NOT NULL AND CAST(p.id AS BIGINT) % 11 = 0 THEN 'Proc. ICLR' END AS gsource,
     concat_ws(', ', CASE WHEN s.paper_id IS NOT NULL THEN 'semantic_scholar' END, CASE WHEN r.paper_id IS NOT NULL THEN 'papers_with_code' END, CASE WHEN g.paper_id IS NOT NULL THEN 'openalex' END) AS sources,
     CAST(s.paper_id IS NOT NULL AS INT) + CAST(r.paper_id IS NOT NULL AS INT) + CAST(g.paper_id IS NOT NULL AS INT) AS n_sources
-    FROM f_paper p LEFT JOIN f_signal s ON s.paper_id = p.id AND p.source = 'arxiv' AND CAST(p.id AS BIGINT) % 4 <> 0
-    LEFT JOIN (SELECT paper_id, count(*) AS repos, max(stars) AS max_stars, bool_or(is_official) AS any_official FROM f_repo GROUP BY paper_id) r ON r.paper_id = p.id AND p.source = 'arxiv' AND CAST(p.id AS BIGINT) % 3 <> 0
-    LEFT JOIN (SELECT paper_id, lower(string_agg(DISTINCT institution, ' ' ORDER BY institution)) AS names FROM f_institution GROUP BY paper_id) g ON g.paper_id = p.id AND CAST(p.id AS BIGINT) % 2 <> 0
+    FROM f_paper p LEFT JOIN f_signal s ON s.paper_id = p.id AND p.source = 'arxiv'
+    LEFT JOIN (SELECT paper_id, count(*) AS repos, max(stars) AS max_stars, bool_or(is_official) AS any_official FROM f_repo GROUP BY paper_id) r ON r.paper_id = p.id AND p.source = 'arxiv'
+    LEFT JOIN (SELECT paper_id, lower(string_agg(DISTINCT institution, ' ' ORDER BY institution)) AS names FROM f_institution GROUP BY paper_id) g ON g.paper_id = p.id
     LEFT JOIN (SELECT forum_id, arg_min(decision, (reply_pos, p1, p2, decision)) AS decision FROM f_reply WHERE kind = 'Decision' GROUP BY forum_id) d ON d.forum_id = p.id
     LEFT JOIN (SELECT forum_id, avg({NUMBER}) AS rating_avg FROM f_reply WHERE kind = 'Official_Review' GROUP BY forum_id) v ON v.forum_id = p.id"""
 PARTS = f"""SELECT *, CASE WHEN regexp_matches(lower(coalesce(decision, '')), 'accept|spotlight|oral') THEN 100.0 WHEN rating_avg IS NOT NULL THEN least(greatest(rating_avg / 10.0 * 100.0, 0.0), 100.0)

@@ -14,7 +14,7 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 NOW = "1998-06-01 00:00:00"
-NEWS_NOW = "2024-01-20 00:00:00"
+NEWS_NOW = "2024-01-09 00:00:00"
 CATEGORIES = ["cs.AI", "cs.CL", "cs.CV"]
 IN_CATEGORIES = "('cs.AI', 'cs.CL', 'cs.CV')"
 SHANGHAI = "CAST(published + INTERVAL 8 HOUR AS DATE)"
@@ -136,14 +136,14 @@ def signals(x: Inputs):
     review = aggregates.first_decision(replies, "reply_pos", "p1", "p2", "decision").join(aggregates.review_averages(replies), "forum_id", "full_outer")
     reviewed = x.view("f_paper").join(review.select(F.col("forum_id").alias("id"), F.struct("decision", "rating_avg").alias("review")), "id", "left")
     papers = reviewed.withColumn("review", F.when(F.col("source") == "openreview", F.col("review")))
-    return papers, s2.where(F.expr("cast(paper_id as bigint) % 4 <> 0")), code.where(F.expr("cast(paper_id as bigint) % 3 <> 0")), graph.where(F.expr("cast(paper_id as bigint) % 2 <> 0"))
+    return papers, s2, code, graph
 
 
 @R.add("jn03_enrich_signals", """SELECT p.id, concat_ws(',', CASE WHEN p.source = 'arxiv' AND s.paper_id IS NOT NULL THEN 'semantic_scholar' END,
     CASE WHEN p.source = 'arxiv' AND r.paper_id IS NOT NULL THEN 'papers_with_code' END, CASE WHEN g.paper_id IS NOT NULL THEN 'openalex' END) AS sources
-    FROM f_paper p LEFT JOIN (SELECT * FROM f_signal WHERE CAST(paper_id AS BIGINT) % 4 <> 0) s ON s.paper_id = p.id
-    LEFT JOIN (SELECT DISTINCT paper_id FROM f_repo WHERE CAST(paper_id AS BIGINT) % 3 <> 0) r ON r.paper_id = p.id
-    LEFT JOIN (SELECT DISTINCT paper_id FROM f_institution WHERE CAST(paper_id AS BIGINT) % 2 <> 0) g ON g.paper_id = p.id""")
+    FROM f_paper p LEFT JOIN f_signal s ON s.paper_id = p.id
+    LEFT JOIN (SELECT DISTINCT paper_id FROM f_repo) r ON r.paper_id = p.id
+    LEFT JOIN (SELECT DISTINCT paper_id FROM f_institution) g ON g.paper_id = p.id""")
 def jn03(x):
     return joins.enrich_signals(*signals(x)).select("id", F.array_join("sources", ",").alias("sources"))
 
@@ -159,18 +159,18 @@ def jn04(x):
 
 @R.add("jn05_upsert_keep_success", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.analysis_status = 'success' THEN o.tracking_score ELSE n.tracking_score END AS tracking_score,
     CASE WHEN o.id IS NULL THEN 'pending' ELSE o.analysis_status END AS analysis_status
-    FROM (SELECT * FROM f_paper WHERE CAST(id AS BIGINT) % 3 <> 0) o FULL OUTER JOIN (SELECT id, tracking_score + 1 AS tracking_score FROM f_paper WHERE CAST(id AS BIGINT) % 2 = 0) n ON n.id = o.id""")
+    FROM (SELECT * FROM f_paper WHERE primary_category <> 'cs.CV') o FULL OUTER JOIN (SELECT id, tracking_score + 1 AS tracking_score FROM f_paper WHERE primary_category <> 'cs.AI') n ON n.id = o.id""")
 def jn05(x):
-    old = x.view("f_paper").where("cast(id as bigint) % 3 <> 0").select("id", "tracking_score", "analysis_status")
-    return joins.upsert_keep_success(old, x.view("f_paper").where("cast(id as bigint) % 2 = 0").select("id", (F.col("tracking_score") + 1).alias("tracking_score")))
+    old = x.view("f_paper").where("primary_category <> 'cs.CV'").select("id", "tracking_score", "analysis_status")
+    return joins.upsert_keep_success(old, x.view("f_paper").where("primary_category <> 'cs.AI'").select("id", (F.col("tracking_score") + 1).alias("tracking_score")))
 
 
-@R.add("jn06_overlay_results", """SELECT id, tracking_score, analysis_status FROM f_paper WHERE CAST(id AS BIGINT) % 3 <> 0 AND CAST(id AS BIGINT) % 2 <> 0
-    UNION ALL SELECT id, tracking_score, 'success' FROM f_paper WHERE CAST(id AS BIGINT) % 2 = 0""")
+@R.add("jn06_overlay_results", """SELECT id, tracking_score, analysis_status FROM f_paper WHERE primary_category <> 'cs.CV' AND source <> 'openreview'
+    UNION ALL SELECT id, tracking_score, 'success' FROM f_paper WHERE source = 'openreview'""")
 def jn06(x):
     c = ["id", "tracking_score", "analysis_status"]
-    done = x.view("f_paper").where("cast(id as bigint) % 2 = 0").withColumn("analysis_status", F.lit("success"))
-    return joins.overlay_results(x.view("f_paper").where("cast(id as bigint) % 3 <> 0").select(*c), done)
+    done = x.view("f_paper").where("source = 'openreview'").withColumn("analysis_status", F.lit("success"))
+    return joins.overlay_results(x.view("f_paper").where("primary_category <> 'cs.CV'").select(*c), done)
 
 
 @R.add("jn07_attach_source", "SELECT id, source_name, CASE source_name WHEN 'src0' THEN 'Zero' WHEN 'src1' THEN 'One' END AS company, CASE source_name WHEN 'src0' THEN 'rss' WHEN 'src1' THEN 'crawler' END AS fetch_type FROM f_news")
@@ -262,9 +262,9 @@ def so03(x):
     return ranking.ranked(x.view("f_news").withColumn("day", F.to_date("published")), ranking.fetch_order(), "day").select("id", "rank_in_day")
 
 
-@R.add("so04_latest_first", RANKED.format(day="primary_category, source", view="f_paper", order="published DESC NULLS LAST, id"))
+@R.add("so04_latest_first", RANKED.format(day="primary_category, source, strftime(published, '%Y-%m')", view="f_paper", order="published DESC NULLS LAST, id"))
 def so04(x):
-    return ranking.ranked(x.view("f_paper").withColumn("part", F.concat_ws("|", "primary_category", "source")), ranking.latest_order(), "part").select("id", "rank_in_day")
+    return ranking.ranked(x.view("f_paper").withColumn("part", F.concat_ws("|", "primary_category", "source", F.date_format("published", "yyyy-MM"))), ranking.latest_order(), "part").select("id", "rank_in_day")
 
 
 @R.add("so05_page", f"""SELECT id, rank_in_day, n_pages FROM (SELECT id, row_number() OVER (PARTITION BY published ORDER BY {PAPER_ORDER}) AS rank_in_day,
@@ -298,9 +298,9 @@ def st03(x):
     return sets.mark_seen(tracker, filters.score_gate(x.view("f_paper")), "papers", at("2030-01-01 00:00:00"))
 
 
-@R.add("st04_expire_seen", "SELECT id, first_seen FROM f_fetched WHERE first_seen >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY")
+@R.add("st04_expire_seen", "SELECT id, first_seen FROM f_fetched WHERE first_seen >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY")
 def st04(x):
-    return sets.expire_seen(x.view("f_fetched"), at("2024-02-10 00:00:00")).select("id", "first_seen")
+    return sets.expire_seen(x.view("f_fetched"), at("2024-02-01 00:00:00")).select("id", "first_seen")
 
 
 @R.add("st05_rejected", f"""SELECT id, tracking_score FROM f_paper WHERE id NOT IN (SELECT id FROM (

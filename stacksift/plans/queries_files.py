@@ -53,7 +53,7 @@ def src02(x):
     return found.select("id", "title", "abstract", F.array_join("authors", ",").alias("authors"), "primary_category", F.col("published").cast("timestamp_ntz").alias("published"), "abs_url")
 
 
-@R.add("src03_read_rss_items", """SELECT id, id AS title, url, concat(source_name, ' & ', language) AS summary, date_trunc('second', published) AS published FROM f_news WHERE doc_id % 9 <> 0""")
+@R.add("src03_read_rss_items", """SELECT id, id AS title, url, concat(source_name, ' & ', language) AS summary, coalesce(date_trunc('second', published), TIMESTAMP '2000-01-01') AS published FROM f_news WHERE doc_id % 9 <> 0""")
 def src03(x):
     item = x.view("f_news").select(
         F.expr("CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE id END").alias("title"), F.col("url").alias("link"), F.format_string("<p>%s &amp; %s</p>", "source_name", "language").alias("description"),
@@ -124,7 +124,7 @@ SELECTORS = [{"source_name": "even", "base": "a[href*='/p/']", "title": "h3, h2"
 
 
 @R.add("tx02_listing_records", """SELECT page_id, substring(md5(url), 1, 16) AS id, title, url, published, summary FROM (SELECT doc_id // 20 AS page_id, id AS title, concat('https://x.example/p/', CAST(doc_id // 2 AS STRING)) AS url,
-    CAST(CAST(published AS DATE) AS TIMESTAMP) AS published, source_name AS summary FROM f_news WHERE doc_id % 2 = 0 AND (doc_id // 20) % 2 = 0)""")
+    coalesce(CAST(CAST(published AS DATE) AS TIMESTAMP), TIMESTAMP '2000-01-01') AS published, source_name AS summary FROM f_news WHERE doc_id % 2 = 0 AND (doc_id // 20) % 2 = 0)""")
 def tx02(x):
     links = x.view("f_news").select(F.expr("doc_id div 20").alias("page_id"), "doc_id", F.expr(LINK).alias("link"))
     pages = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "link"))).alias("c"))
@@ -133,10 +133,45 @@ def tx02(x):
     return found.select("page_id", "id", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "summary")
 
 
-@R.add("ag15_fulltext_context", """SELECT paper_id, CASE WHEN length(t) > 3000 THEN concat(substring(t, 1, 3000), chr(10), chr(10), '...(内容已截断)') ELSE t END AS context FROM (
-    SELECT paper_id, regexp_replace(string_agg(concat('## ', heading, chr(10), array_to_string(string_split(body, chr(10))[1:5], chr(10)), chr(10)), chr(10) ORDER BY sec_idx), '^\\s+|\\s+$', '', 'g') AS t
-    FROM (SELECT doc_id // 4 AS paper_id, doc_id AS sec_idx, concat('H', CAST(doc_id AS STRING)) AS heading, text AS body FROM documents) GROUP BY paper_id)""")
+@R.add("ag15_fulltext_context", """SELECT paper_id, CASE WHEN length(t) > 20000 THEN concat(substring(t, 1, 20000), chr(10), chr(10), '...(内容已截断)') ELSE t END AS context FROM (
+    SELECT paper_id, regexp_replace(string_agg(CASE WHEN doc_id % 4 = 0 THEN concat('## Front Matter', chr(10), chr(10), array_to_string(list_transform(string_split(text, chr(10))[1:10], lambda p: p || chr(10)), chr(10)))
+        ELSE concat('## H', CAST(doc_id AS STRING), chr(10), array_to_string(string_split(text, chr(10))[1:5], chr(10)), chr(10)) END, chr(10) ORDER BY doc_id), '^\\s+|\\s+$', '', 'g') AS t
+    FROM (SELECT *, doc_id // 4 AS paper_id FROM documents) GROUP BY paper_id)""")
 def ag15(x):
+    """Of four documents in a row, the first is a paper's front matter and the others are its sections."""
     rows = x.table("documents").select(F.expr("doc_id div 4").alias("paper_id"), F.col("doc_id").alias("sec_idx"), F.concat(F.lit("H"), "doc_id").alias("heading"), F.split("text", "\n").alias("paragraphs"))
-    front = rows.select("paper_id", "paragraphs").limit(0)
-    return aggregates.fulltext_context(rows, front, 3000)
+    return aggregates.fulltext_context(rows.where("sec_idx % 4 <> 0"), rows.where("sec_idx % 4 = 0").select("paper_id", "paragraphs"))
+
+
+# Pages that are made of the documents, so that SQL knows what is in them.
+PARAGRAPHS = "list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '[\\s ]+', ' ', 'g'))), lambda p: p <> '')"
+
+
+def made_pages(x: Inputs) -> DataFrame:
+    """(page_id, html): of four documents in a row, the first stands before the first heading, the others are sections of levels 2 to 4."""
+    body = F.concat(F.lit("<p>"), F.array_join(F.transform(F.split("text", "\n"), lambda p: F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))), "</p>\n<p>"), F.lit("</p>"))
+    heading = F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('<h', doc_id % 4 + 1, '>', doc_id % 4, '.1  Part <i>', doc_id, '</i></h', doc_id % 4 + 1, '>') END")
+    parts = x.table("documents").select(F.expr("doc_id div 4").alias("page_id"), "doc_id", F.concat(heading, body).alias("part"))
+    pages = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("c"))
+    filler = F.lit("<!-- " + "x" * 1000 + " -->")  # short pages count as failed
+    return pages.select("page_id", F.concat(F.lit("<html><body><nav>menu</nav><article><h1>Page "), F.col("page_id").cast("string"), F.lit("</h1><time> Jan 2, 2024 </time>"), filler, F.array_join(F.transform("c", lambda c: c["part"]), "\n"), F.lit("</article></body></html>")).alias("html"))
+
+
+SECTIONED = f"""SELECT *, doc_id // 4 AS page_id, doc_id % 4 AS level, {PARAGRAPHS} AS ps FROM documents"""
+
+
+@R.add("tx03_fields_of_made_pages", "SELECT doc_id // 4 AS page_id, concat('Page ', CAST(doc_id // 4 AS STRING)) AS title, 'Jan 2, 2024' AS date FROM documents GROUP BY 1")
+def tx03_made(x):
+    return sections.detail_fields(made_pages(x)).select("page_id", "title", "date")
+
+
+@R.add("tx04_sections_of_made_pages", f"""SELECT a.page_id, a.level - 1 AS sec_idx, CASE WHEN a.level > 1 THEN a.level - 2 END AS parent_idx, a.level + 1 AS level, concat(CAST(a.level AS STRING), '.1') AS number, concat('Part ', CAST(a.doc_id AS STRING)) AS title,
+    array_to_string(flatten(list(b.ps ORDER BY b.doc_id)), '|') AS paragraphs FROM ({SECTIONED}) a JOIN ({SECTIONED}) b ON a.page_id = b.page_id AND b.level >= a.level WHERE a.level > 0 GROUP BY a.page_id, a.level, a.doc_id""")
+def tx04_made(x):
+    found = sections.section_rows(made_pages(x)).where("not failed")
+    return found.select("page_id", "sec_idx", "parent_idx", "level", "number", "title", F.array_join("paragraphs", "|").alias("paragraphs"))
+
+
+@R.add("tx05_front_of_made_pages", f"SELECT page_id, array_to_string(ps[1:30], '|') AS front FROM ({SECTIONED}) WHERE level = 0")
+def tx05_made(x):
+    return sections.front_matter(made_pages(x)).select("page_id", F.array_join("paragraphs", "|").alias("front"))

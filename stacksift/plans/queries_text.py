@@ -33,12 +33,21 @@ def fn02(x):
     return x.table("documents").select("doc_id", text.truncate(F.col("text"), 100).alias("short"))
 
 
-MARKDOWN = "concat('# ', substring(text, 1, 40), chr(10), chr(10), chr(10), '```', chr(10), 'code', chr(10), '```', chr(10), '[![badge](x)](y)', chr(10), '- see [the docs](https://a/b) and `run` <b>now</b>', chr(10), text)"
+MARKDOWN = "concat('# ', split_part(text, chr(10), 1), chr(10), chr(10), chr(10), '```', chr(10), 'code', chr(10), '```', chr(10), '[![badge](x)](y)', chr(10), '- see [the docs](https://a/b) and `run` <b>now</b>', chr(10), text)"
 
 
-@R.add("fn03_clean_readme")
+README_LINE = "l"
+for pattern, to in (("!\\[[^\\]]*\\]\\([^)]+\\)", ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "\\1"), ("<[^>]+>", " "), ("`", ""), ("^[#>*\\-\\s]+", ""), ("\\s+", " "), ("^\\s+|\\s+$", "")):
+    README_LINE = sub(README_LINE, pattern, to)
+README_SQL = f"""SELECT doc_id, CASE WHEN length(t) > 8000 THEN regexp_replace(substring(t, 1, 8000), '\\s+$', '') ELSE t END AS prose FROM (
+    SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(list_transform(list_filter(ls, lambda l: NOT starts_with(l, '![') AND NOT regexp_matches(lower(l), 'shields\\.io|badge|github\\.com/actions|github/workflows|codecov')),
+        lambda l: {{'blank': l = '', 'text': {README_LINE}}}), lambda m: m.blank OR m.text <> ''), lambda m: m.text), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t
+    FROM (SELECT doc_id, list_transform(string_split(regexp_replace({MARKDOWN}, '(?s)```.*?```', chr(10), 'g'), chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents))"""
+
+
+@R.add("fn03_clean_readme", README_SQL)
 def fn03(x):
-    return x.table("documents").select("doc_id", text.clean_readme(F.expr(MARKDOWN.replace("'```'", "'```'"))).alias("prose"))
+    return x.table("documents").select("doc_id", text.clean_readme(F.expr(MARKDOWN)).alias("prose"))
 
 
 STARS = "CASE user_id % 4 WHEN 0 THEN concat(CAST(floor(value * 10) AS STRING), ' stars') WHEN 1 THEN concat(CAST(event_id % 90 AS STRING), '.5k stars this week') WHEN 2 THEN concat('1,', lpad(CAST(event_id % 1000 AS STRING), 3, '0')) ELSE 'no stars' END"
@@ -132,7 +141,7 @@ def fn15(x):
     return x.table("documents").select("doc_id", found["title"].alias("title"), found["summary"].alias("summary"))
 
 
-HEADING = "CASE doc_id % 3 WHEN 0 THEN concat(CAST(doc_id AS STRING), '.2  ', substring(text, 1, 20)) WHEN 1 THEN concat(CAST(doc_id AS STRING), '. ', substring(text, 1, 20)) ELSE substring(text, 1, 20) END"
+HEADING = "CASE doc_id % 3 WHEN 0 THEN concat(CAST(doc_id AS STRING), '.2  ', text) WHEN 1 THEN concat(CAST(doc_id AS STRING), '. ', text) ELSE text END"
 ONE_LINE = f"trim(regexp_replace({HEADING}, '\\s+', ' ', 'g'))"
 PARTS = "^(\\d+(?:\\.\\d+)*)\\.?\\s+(.*)$"
 
@@ -170,7 +179,12 @@ def tx06(x):
     return sections.find_sections(rows, "results", extra=["the re"]).select("paper_id", "sec_idx", "heading", "content")
 
 
-@R.add("tx07_keyword_contexts")
+FOLLOWED = "CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) AS BIGINT) + 3 * (k - 1)"  # characters in front of the k-th hit
+WINDOW = f"""concat(CASE WHEN {FOLLOWED} > 250 THEN '...' ELSE '' END, substring(body, greatest(0, {FOLLOWED} - 250) + 1, {FOLLOWED} + 253 - greatest(0, {FOLLOWED} - 250)), CASE WHEN {FOLLOWED} + 253 < length(body) THEN '...' ELSE '' END)"""
+
+
+@R.add("tx07_keyword_contexts", f"""SELECT paper_id, sec_idx, heading, array_to_string(list_transform(range(1, CAST(least(3, len(parts) - 1) AS BIGINT) + 1), lambda k: {WINDOW}), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context
+    FROM (SELECT *, string_split(lower(body), 'the') AS parts, row_number() OVER (PARTITION BY paper_id ORDER BY sec_idx) AS rn FROM f_section WHERE contains(lower(body), 'the')) WHERE rn <= 5""")
 def tx07(x):
     rows = x.view("f_section").withColumn("paragraphs", F.array("body"))
     return sections.keyword_contexts(rows, "the").select("paper_id", "sec_idx", "heading", "context")

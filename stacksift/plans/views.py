@@ -16,8 +16,8 @@ VIEWS = {
         CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending' ELSE 'failed' END AS analysis_status,
         concat('Paper ', CAST(o_orderkey AS STRING)) AS title FROM orders""",
     "f_signal": """SELECT CAST(l_orderkey AS STRING) AS paper_id, max(CAST(l_quantity AS BIGINT)) AS citation_count,
-        CAST(max(l_linenumber) AS BIGINT) AS influential_citation_count FROM lineitem GROUP BY l_orderkey""",
-    "f_repo": """SELECT CAST(l_orderkey AS STRING) AS paper_id, CAST(floor(l_extendedprice) AS BIGINT) AS stars, l_returnflag = 'A' AS is_official FROM lineitem WHERE l_linenumber > 1""",
+        CAST(max(l_linenumber) AS BIGINT) AS influential_citation_count FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey""",
+    "f_repo": """SELECT CAST(l_orderkey AS STRING) AS paper_id, CAST(floor(l_extendedprice) AS BIGINT) AS stars, l_returnflag = 'A' AS is_official FROM lineitem WHERE l_returnflag <> 'R'""",
     "f_reply": """SELECT CAST(l_orderkey AS STRING) AS forum_id, l_linenumber AS reply_pos, l_partkey AS p1, l_suppkey AS p2,
         CASE WHEN l_linenumber = 1 THEN 'Decision' ELSE 'Official_Review' END AS kind,
         CASE l_returnflag WHEN 'A' THEN 'Accept (oral)' WHEN 'R' THEN 'Reject' ELSE 'Accept (poster)' END AS decision,
@@ -28,15 +28,15 @@ VIEWS = {
         CAST(CASE WHEN d.source IN ('src0','src1') THEN 1.0 WHEN d.source IN ('src2','src3') THEN 0.9 ELSE 0.85 END AS DOUBLE) AS weight,
         CASE WHEN l.quality = 1 THEN 'success' WHEN l.quality = 0 THEN 'failed' ELSE 'pending' END AS analysis_status,
         CASE WHEN l.quality = 1 THEN concat('topic', CAST(d.doc_id % 6 AS STRING)) END AS analysis_category, concat('cat-', d.lang) AS source_category
-        FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+        FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "f_fetched": """SELECT CAST(l.doc_id AS STRING) AS id, e.ts AS first_seen FROM labels l JOIN events e ON e.event_id = l.doc_id""",
-    "f_request": """SELECT conv_id AS issue_no, concat('[Analysis] 2501.', lpad(CAST(conv_id AS STRING), 5, '0'), CASE WHEN conv_id % 2 = 0 THEN 'v2' ELSE '' END, ': ', substring(text, 1, 40)) AS title
+    "f_request": """SELECT conv_id AS issue_no, concat('[Analysis] 2501.', lpad(CAST(conv_id AS STRING), 5, '0'), CASE WHEN conv_id % 2 = 0 THEN 'v2' ELSE '' END, ': ', replace(text, chr(10), ' ')) AS title
         FROM conversations WHERE turn = 0""",
-    "f_section": """SELECT source AS paper_id, doc_id AS sec_idx, 2 AS level, substring(text, 1, 60) AS heading, text AS body FROM documents""",
-    "f_title": """SELECT doc_id, substring(text, 1, 80) AS title FROM documents WHERE doc_id % 2 = 0""",
-    "f_work": """SELECT doc_id AS work_id, substring(text, 1, 40) AS title FROM documents""",
+    "f_section": """SELECT CAST(floor(doc_id / 7) AS BIGINT) AS paper_id, doc_id AS sec_idx, 2 AS level, split_part(text, chr(10), 1) AS heading, text AS body FROM documents""",
+    "f_title": """SELECT doc_id, text AS title FROM documents""",
+    "f_work": """SELECT item_id AS work_id, text AS title FROM benchmark""",
     "f_institution": """SELECT CAST(l_orderkey AS STRING) AS paper_id, CASE n_regionkey WHEN 0 THEN 'Google Research' WHEN 1 THEN 'Smith College' WHEN 2 THEN 'Tsinghua University' ELSE n_name END AS institution
-        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""",
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_quantity >= 25""",
     "f_day": """SELECT 'papers' AS dataset, CAST(o_orderdate AS DATE) AS report_date FROM orders UNION ALL SELECT 'news' AS dataset, CAST(ts AS DATE) AS report_date FROM events""",
 }
 
