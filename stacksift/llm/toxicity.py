@@ -11,11 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stacksift.llm.common import bounded_sample, renamed, slices, tidy
+from stacksift.llm.common import bounded_sample, forget, materialize, renamed, slices, tidy
 
 #: Most training texts of each label.
 SAMPLE = 6000
@@ -23,11 +23,11 @@ SAMPLE = 6000
 FEATURES = 4000
 #: A feature must be this many times as frequent in toxic texts, with this log-likelihood ratio (G squared).
 LIFT, EVIDENCE = 6.0, 25.0
-#: Toxic texts with at most so many marked words have grade 1 and 2; the others have grade 3.
+#: Toxic texts with at most so many marked words have grade 1 and 2; the others have grade 3. See fit().
 GRADE_BOUNDS = (2, 5)
 PREFIXES = (4, 5, 6)
-#: A text is called toxic from this probability of a grade above 0.
-CUTOFF = 0.25
+#: Words whose weights one Python worker keeps; a full memory is emptied.
+MEMORY = 100_000
 
 words = re.compile(r"[^\W\d_]+").findall
 
@@ -48,21 +48,32 @@ def weighted_features(text: str | None) -> dict[str, float]:
 
 @dataclass
 class OrdinalModel:
-    """P(grade > k) = sigmoid(w . x - thresholds[k]), with one weight vector and ascending thresholds."""
+    """P(grade > k) = sigmoid(w . x - thresholds[k]), with one weight vector and ascending thresholds.
+
+    A text is called toxic where P(grade > 0) is cutoff or more.
+    """
 
     weights: dict[str, float]
     thresholds: list[float]
+    cutoff: float = 0.5
 
     def __post_init__(self) -> None:
         self.lengths = sorted({len(f) - 1 for f in self.weights if f.endswith("*")})
+        self.memo: dict[str, float] = {}
+
+    def weight(self, word: str) -> float:
+        """Sum of the weights of a word's features."""
+        get = self.weights.get
+        return get(word, 0.0) + sum(get(word[:k] + "*", 0.0) for k in self.lengths if len(word) >= k)
 
     def link(self, text: str | None) -> float:
-        total, get = 0.0, self.weights.get
+        if len(self.memo) > MEMORY:
+            self.memo.clear()
+        total, memo = 0.0, self.memo
         for w, n in Counter(words((text or "").lower())).items():
-            found = get(w, 0.0)
-            for k in self.lengths:
-                if len(w) >= k:
-                    found += get(w[:k] + "*", 0.0)
+            found = memo.get(w)
+            if found is None:
+                found = memo[w] = self.weight(w)
             if found:
                 total += found * math.log1p(n)
         return total
@@ -102,64 +113,96 @@ def fit_ordinal(x: list[dict[int, float]], grade: np.ndarray, width: int, levels
     return p[:width], p[width] + np.concatenate([[0.0], np.exp(p[width + 1 :]).cumsum()])
 
 
+def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability that tells the two labels best, both weighing alike: the middle, in log odds, of the widest best gap."""
+    order = np.argsort(p, kind="stable")
+    p, toxic = np.clip(p[order], 1e-9, 1 - 1e-9), toxic[order]
+    missed, flagged = np.concatenate([[0], (toxic == 1).cumsum()]), np.concatenate([[0], (toxic == 0).cumsum()])
+    right = (1 - missed / max(1, missed[-1])) + flagged / max(1, flagged[-1])  # with the first i texts called clean
+    odds = np.concatenate([[-25.0], np.log(p / (1 - p)), [25.0]])
+    gap = np.diff(odds)
+    right[gap <= 0] = -1
+    i = max(np.flatnonzero(right >= right.max() - 1e-12), key=lambda k: gap[k])
+    return float(1 / (1 + np.exp(-(odds[i] + odds[i + 1]) / 2)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """Learns from a bounded sample: at most `sample` texts of each label (the first by a hash of doc_id).
 
-    Severity grades: 0 for label 0; texts of label 1 by how many of their words carry a marking feature
-    (one that is LIFT times as frequent in toxic texts): GRADE_BOUNDS. A doc_id with both labels counts
-    as toxic; null labels and texts are left out. Without toxic texts the model finds nothing toxic.
-    Features are extracted on the executors; the driver gets the sample's features, bounded as it is.
+    Features are those that are LIFT times as frequent in toxic texts. Labels say toxic or not; severity
+    grades of toxic texts come from how many of their words carry a marking feature: GRADE_BOUNDS. The
+    sample is halved by a hash of the text, and a text's words are counted with the features that mark
+    toxicity in the other half, so a text never grades itself. The cutoff is the one that tells the labels best.
+
+    A doc_id with both labels counts as toxic; null labels and texts are left out. Without toxic texts the
+    model finds nothing toxic. The sample's texts are fetched once and their features are taken on the
+    executors; the driver gets their counts and the sample's features, bounded as it is.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = F.broadcast(bounded_sample(known, "toxic", "doc_id", sample).select("doc_id", "toxic"))  # at most 2 * sample rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).select("toxic", "text").withColumn("key", F.xxhash64("text"))
+    chosen = F.broadcast(bounded_sample(known, "toxic", "doc_id", sample).drop("rn"))  # at most 2 * sample rows
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).select("toxic", "text")
+    rows = materialize(rows.withColumn("key", F.xxhash64("text")).dropDuplicates(["toxic", "key"]).withColumn("half", F.pmod("key", F.lit(2)).cast("int")), "sample")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "key": b["key"], "f": [sorted(weighted_features(t)) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "half": b["half"], "f": [sorted(weighted_features(t)) for t in b["text"]]})
 
-    each = rows.mapInPandas(extract, "toxic int, key long, f array<string>").dropDuplicates(["toxic", "key"])
-    size = {r["toxic"]: r["n"] for r in each.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
-    if not bad:
+    size = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    if not any(toxic for toxic, _ in size):
+        forget(rows)
         return OrdinalModel({}, [30.0] * (len(GRADE_BOUNDS) + 1))
-    seen = each.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    lift = (F.col("a") + 0.5) / (bad + 1) / ((F.col("b") + 0.5) / (good + 1))
-    rate = (F.col("a") + F.col("b")) / (bad + good)
-    part = lambda n, of: n * F.log(F.greatest(n, F.lit(1e-9)) / (rate * max(of, 1)))
-    top = seen.where((2 * (part(F.col("a"), bad) + part(F.col("b"), good)) >= EVIDENCE) & (lift >= LIFT))
-    top = top.orderBy(F.desc(F.col("a") * F.log(lift)), "f").limit(FEATURES).select("f")
-    names = sorted(r["f"] for r in top.collect())
-    place = {f: i for i, f in enumerate(names)}
+    each = rows.select("toxic", "half", "text").mapInPandas(extract, "toxic int, half int, f array<string>")
+    cells = [(toxic, half) for toxic in (1, 0) for half in (0, 1)]
+    seen = each.select("toxic", "half", F.explode("f").alias("f")).groupBy("f").agg(*[F.count_if((F.col("toxic") == t) & (F.col("half") == h)).alias(f"n{t}{h}") for t, h in cells])
+
+    def marks(halves: tuple[int, ...]) -> tuple[Column, Column]:
+        """Whether a feature marks toxic texts in these halves, and how much it tells."""
+        bad, good = (sum(size.get((t, h), 0) for h in halves) for t in (1, 0))
+        a, b = (sum((F.col(f"n{t}{h}") for h in halves), F.lit(0)) for t in (1, 0))
+        lift = (a + 0.5) / (bad + 1) / ((b + 0.5) / (good + 1))
+        rate = F.greatest(a + b, F.lit(1e-9)) / max(1, bad + good)
+        part = lambda n, of: n * F.log(F.greatest(n, F.lit(1e-9)) / (rate * max(of, 1)))
+        return (2 * (part(a, bad) + part(b, good)) >= EVIDENCE * len(halves) / 2) & (lift >= LIFT), a * F.log(lift)
+
+    top = seen.where(marks((0, 1))[0]).orderBy(F.desc(marks((0, 1))[1]), "f").limit(FEATURES)
+    found = sorted((r["f"], r["m0"], r["m1"]) for r in top.select("f", marks((0,))[0].alias("m0"), marks((1,))[0].alias("m1")).collect())
+    place = {f: i for i, (f, _, _) in enumerate(found)}
+    marking = [{f for f, *m in found if m[half]} for half in (0, 1)]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = [{place[f]: v for f, v in weighted_features(t).items() if f in place} for t in b["text"]]
-            marked = [sum(n for w, n in Counter(words(t.lower())).items() if any(f in place for f in features_of(w))) for t in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "marked": marked, "k": [list(d) for d in kept], "v": [list(d.values()) for d in kept]})
+            marked = [sum(n for w, n in Counter(words(t.lower())).items() if any(f in marking[1 - h] for f in features_of(w))) for t, h in zip(b["text"], b["half"], strict=True)]
+            yield pd.DataFrame({"toxic": b["toxic"], "key": b["key"], "marked": marked, "k": [list(d) for d in kept], "v": [list(d.values()) for d in kept]})
 
-    data = rows.mapInPandas(encode, "toxic int, marked int, k array<int>, v array<double>").toPandas()
-    grade = np.where(data["toxic"] == 1, 1 + sum((data["marked"] > b).astype(int) for b in GRADE_BOUNDS), 0)
-    w, theta = fit_ordinal([dict(zip(k, v, strict=True)) for k, v in zip(data["k"], data["v"], strict=True)], grade, len(names), len(GRADE_BOUNDS) + 2)
-    return OrdinalModel({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, theta.tolist())
+    data = rows.mapInPandas(encode, "toxic int, key long, marked int, k array<int>, v array<double>").toPandas().sort_values(["toxic", "key"])
+    forget(rows)
+    toxic = data["toxic"].to_numpy()
+    grade = np.where(toxic == 1, 1 + sum((data["marked"].to_numpy() > b).astype(int) for b in GRADE_BOUNDS), 0)
+    x = [dict(zip(k, v, strict=True)) for k, v in zip(data["k"], data["v"], strict=True)]
+    w, theta = fit_ordinal(x, grade, len(found), len(GRADE_BOUNDS) + 2)
+    eta = np.array([sum(w[i] * v for i, v in d.items()) for d in x])
+    cutoff = best_cutoff(1 / (1 + np.exp(-np.clip(eta - theta[0], -30, 30))), toxic)
+    return OrdinalModel({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, theta.tolist(), cutoff)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs with p_toxic = P(grade > 0), severity = expected grade, grade (the likeliest) and toxic (p_toxic >= CUTOFF).
+    """docs with p_toxic = P(grade > 0), severity = expected grade, toxic (p_toxic of the model's cutoff or more) and grade: 0
+    where not toxic, else the median grade (all k with P(grade > k) of a half or more), 1 at least.
 
     Null and empty texts get the scores of a text without features. Equal texts get equal scores; other
-    columns, repeated rows and empty tables pass through. Nothing is shuffled; the model has a fixed size.
+    columns, repeated rows and empty tables pass through, input columns named as the results as
+    <name>_input. Nothing is shuffled; the model has a bounded size.
     """
+    docs = renamed(docs, "p_toxic", "severity", "grade", "toxic")
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 up = np.array([shared.value.above(t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
-                n = len(up)
-                each = -np.diff(np.hstack([np.ones((n, 1)), up, np.zeros((n, 1))]), axis=1)
-                found = [pa.array(up[:, 0]), pa.array(up.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(up[:, 0] >= CUTOFF)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *found], [*names, "p_toxic", "severity", "grade", "toxic"])
+                grade = np.where(up[:, 0] >= shared.value.cutoff, np.maximum(1, (up >= 0.5).sum(axis=1)), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(up[:, 0]), pa.array(up.sum(axis=1)), pa.array(grade), pa.array(grade > 0)], [*names, "p_toxic", "severity", "grade", "toxic"])
 
     fields = [("p_toxic", T.DoubleType()), ("severity", T.DoubleType()), ("grade", T.IntegerType()), ("toxic", T.BooleanType())]
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(*f) for f in fields)]))

@@ -514,6 +514,38 @@ def test_toxicity_on_held_out_rows(spark, edges, nothing):
     assert not any(r.toxic for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).take(20))
 
 
+def test_toxicity_query_equals_brute_force(spark, tmp_path):
+    """All columns by hand from the model's weights; ties, repeats, very long, empty and null texts, clashing names."""
+    vile = ["grumf", "snarkle"]
+    texts = [" ".join(prose(20).split() + [rng.choice(vile)] * rng.randint(1, 9)) if k % 3 == 0 else prose(20) for k in range(240)]
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, (_, t) in enumerate(EDGES)] + [(2000, "grumf " * 50_000), (2001, "Grumf"), (2001, "Grumf"), (2002, "grumfing SNARKLES")]
+    spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, grade int, severity string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["op2_toxicity"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "p_toxic", "severity", "grade", "toxic"]
+    found = {r.doc_id: r for r in got.collect()}
+    assert got.count() == len(rows)
+    docs, labels = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(docs, labels)
+    for i, t in rows:
+        total = 0.0
+        for w, n in Counter(re.findall(r"[^\W\d_]+", (t or "").lower())).items():
+            total += np.log1p(n) * sum(model.weights.get(f, 0.0) for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)])
+        above = [1 / (1 + np.exp(-min(30, max(-30, total - x)))) for x in model.thresholds]
+        toxic = above[0] >= model.cutoff
+        want = (above[0], sum(above), max(1, sum(a >= 0.5 for a in above)) if toxic else 0)
+        r = found[i]
+        assert abs(r.p_toxic - want[0]) < 1e-9 and abs(r.severity - want[1]) < 1e-9 and (r.grade, r.toxic) == (want[2], toxic)
+    assert all(found[k].toxic == (k % 3 == 0) for k in range(240)) and found[2000].grade == 3 and found[2001].toxic and found[1000].grade == 0
+    assert toxicity.score(docs, model).columns == ["doc_id", "text", "grade_input", "severity_input", "p_toxic", "severity", "grade", "toxic"]
+
+
+def test_best_cutoff():
+    p, toxic = np.array([0.01, 0.02, 0.2, 0.9, 0.2]), np.array([0, 0, 1, 1, 1])
+    assert 0.02 < toxicity.best_cutoff(p, toxic) < 0.2
+    assert 0.4 < toxicity.best_cutoff(np.array([0.1, 0.5, 0.5, 0.9]), np.array([0, 0, 1, 1])) < 0.9
+
+
 def test_ordinal_regression_shares_weights_and_orders_thresholds():
     r = np.random.default_rng(1)
     x = [{0: float(v)} for v in r.normal(0, 2, 600)]
