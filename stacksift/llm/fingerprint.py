@@ -12,7 +12,7 @@ WORDS = 5
 #: Share of the hash range that is kept.
 FRACTION = 0.25
 #: Letters of scripts that are written without spaces; each is a word of its own.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+UNSPACED = r"[\u0e01-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
 
 
 def shingle_hashes(df: DataFrame, text: str, out: str) -> DataFrame:
