@@ -26,4 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved
         if moved.where("moved").isEmpty():
             forget(both)
-            return moved.select("node", "label")
+            labels = materialize(moved.select("node", "label"), "components")
+            forget(moved)
+            return labels

@@ -46,11 +46,10 @@ class Characters:
     def get(cls) -> np.ndarray:
         if cls.table is None:
             t = np.zeros(0x110000, dtype=np.uint32)
-            for c in range(0x32000):
-                s = chr(c)
-                if s.isalnum() or s == "_":
-                    low = s.lower()
-                    t[c] = ord(low) if len(low) == 1 else c
+            inside = np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), dtype=bool, count=0x110000)
+            for c in np.flatnonzero(inside).tolist():
+                low = chr(c).lower()
+                t[c] = ord(low) if len(low) == 1 else c
             cls.table = t
         return cls.table
 
@@ -221,6 +220,7 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, simi
     open_ones = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("n") > most) & (F.col("x") != F.col("y"))).select("key")
     open_ones = materialize(open_ones, "several")
     if open_ones.isEmpty():
+        forget(open_ones)
         return None
     named = materialize(named.join(open_ones, "key").join(sets.select("uid", F.size("shingles").alias("w")), "uid"), "open")
     per = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
@@ -236,7 +236,9 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, simi
     placed = materialize(placed.select("key", "uid", "label", at.alias("at")), "placed")
     sides = pairs.select("key", "block", F.explode(F.array_distinct(F.array("one", "other"))).alias("at"))
     blocks = sides.join(placed, ["key", "at"]).join(sets, "uid").select("block", "uid", "label", "shingles")
-    return materialize(blocks.groupBy("block").applyInPandas(block_links(similarity), "a long, b long").distinct(), "links")
+    found = materialize(blocks.groupBy("block").applyInPandas(block_links(similarity), "a long, b long").distinct(), "links")
+    forget(open_ones, named, per, sizes, pairs, placed)
+    return found
 
 
 def links(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, ranks: tuple[int, ...] = RANKS) -> DataFrame:
@@ -249,14 +251,20 @@ def links(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, ran
     are resolved in full. In larger ones that still hold several classes, all texts of different classes
     are compared, in blocks (remaining_links).
     """
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(materialize(df, name))
+        return used[-1]
+
     bands = texts.select("uid", F.explode("bands").alias("key"))
-    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = materialize(bands.join(shared.hint("merge"), "key"), "members")  # both grow with the corpus: one plan for every size
+    shared = keep(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = keep(bands.join(shared.hint("merge"), "key"), "members")  # both grow with the corpus: one plan for every size
     degree = members.groupBy("uid").agg(F.sum("n").alias("degree"))
-    members = materialize(members.select("key", "uid").join(degree, "uid"), "members")
+    members = keep(members.select("key", "uid").join(degree, "uid"), "members")
     wanted = members.select("uid").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    texts = materialize(sets.join(wanted, "uid"), "sets")  # the only time that shingle sets of texts without candidates are touched
+    texts = keep(sets.join(wanted, "uid"), "sets")  # the only time that shingle sets of texts without candidates are touched
     by_degree = Window.partitionBy("key").orderBy(F.desc("degree"), "uid")
     edges = pairs = labels = None
     for low, high in zip((0, *ranks), ranks, strict=False):
@@ -264,23 +272,28 @@ def links(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, ran
             named = members.withColumn("label", F.col("uid"))
         else:
             named = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-            named = materialize(named, "named")
-            several = materialize(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "several")
-            named = materialize(named.join(several, "key"), "open")
+            named = keep(named, "named")
+            several = keep(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "several")
+            named = keep(named.join(several, "key"), "open")
         top = named.withColumn("rank", F.row_number().over(by_degree)).where(F.col("rank") <= high).where(F.col("rank") > low)
-        hubs = materialize(top.groupBy("key").agg(F.collect_list(F.struct(F.col("uid").alias("hub"), F.col("label").alias("other"))).alias("hubs")), "hubs")  # at most high - low of them
+        hubs = keep(top.groupBy("key").agg(F.collect_list(F.struct(F.col("uid").alias("hub"), F.col("label").alias("other"))).alias("hubs")), "hubs")  # at most high - low of them
         foreign = F.filter("hubs", lambda h: h["other"] != F.col("label"))
         met = named.join(hubs, (named["key"] == hubs["key"]) & (F.size(foreign) > 0)).select("uid", F.transform(foreign, lambda h: h["hub"]).alias("h"))
         each = met.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("h"))  # of at most BANDS buckets
         fresh = each.select("uid", F.explode("h").alias("hub")).select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
         if pairs is not None:
             fresh = fresh.join(pairs, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        found = materialize(verified(fresh, texts, similarity), "links")
+        fresh = keep(fresh, "pairs")
+        found = keep(verified(fresh, texts, similarity), "links")
         edges, pairs = (found, fresh) if edges is None else (edges.union(found), pairs.union(fresh))
         labels = components(edges)
+        used.append(labels)
     rest = remaining_links(members, labels, texts, similarity, ranks[-1])
-    return labels if rest is None else components(edges.union(rest))
+    if rest is not None:
+        labels = components(edges.union(rest))
+        used.append(labels)
+    forget(*used[:-1])
+    return labels
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -304,6 +317,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = materialize(copies.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named")
     sums = materialize(named.groupBy("label").agg(F.min("lead").alias("first"), F.sum("copies").alias("n_docs"), F.count("*").alias("n_texts")), "classes")
     by_digest = materialize(named.select("digest", "label").join(sums, "label").select("digest", "first", "n_docs", "n_texts"), "digests")
+    forget(copies, texts, labels, named, sums)
     found = rows.select("uid", "doc_id", "k1", "k2", "digest").join(by_digest.hint("merge"), "digest")
     return found.select("uid", "doc_id", "k1", "k2", F.col("first.doc_id").alias("class_id"), "n_docs", "n_texts", (F.col("uid") == F.col("first.uid")).alias("kept"))
 

@@ -631,15 +631,17 @@ def test_copies_that_repeat_a_passage_are_linked(spark):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
 
 
-def test_pairs_inside_a_large_family_are_linked(spark, monkeypatch):
-    """Texts 0.794 alike, among them pairs of 0.808, and one of them with many copies."""
-    monkeypatch.setattr(minhash, "CHUNK", 8)
+@pytest.mark.parametrize(("pairs", "singles", "copies", "chunk"), [(40, 40, 30, 8), (300, 350, 150, 64)])
+def test_pairs_inside_a_large_family_are_linked(spark, monkeypatch, pairs, singles, copies, chunk):
+    """Texts 0.794 alike, among them pairs of 0.808, and one of them with many copies; the larger family fills buckets of over 1,000."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     start = prose(204)
     unique = lambda n: " ".join(f"w{rng.getrandbits(60)}" for _ in range(n))
-    texts = [f"{start} {two} {unique(24)}" for two in (unique(2) for _ in range(40)) for _ in range(2)] + [f"{start} {unique(26)}" for _ in range(40)]
-    texts += [f"{texts[-1]} {unique(1)}" for _ in range(30)]
+    texts = [f"{start} {two} {unique(24)}" for two in (unique(2) for _ in range(pairs)) for _ in range(2)] + [f"{start} {unique(26)}" for _ in range(singles)]
+    texts += [f"{texts[-1]} {unique(1)}" for _ in range(copies)]
     want = classes_by_hand(texts)
-    assert want[:80] == [k - k % 2 for k in range(80)] and want[80:119] == list(range(80, 119)) and set(want[119:]) == {119}
+    n, last = 2 * pairs, 2 * pairs + singles - 1
+    assert want[:n] == [k - k % 2 for k in range(n)] and want[n:last] == list(range(n, last)) and set(want[last:]) == {last}
     got = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
 
