@@ -70,8 +70,11 @@ def first_decision(replies: DataFrame, *order: str) -> DataFrame:
 
 
 def repo_rollup(repos: DataFrame) -> DataFrame:
-    """AG-08: per paper: repos, max_stars and any_official."""
-    return repos.groupBy("paper_id").agg(F.count("stars").alias("repos"), F.max("stars").alias("max_stars"), F.bool_or(F.coalesce("is_official", F.lit(False))).alias("any_official"))
+    """AG-08: per paper: repos, max_stars, any_official and repo_list, all columns of its repositories by stars, most first."""
+    listed = F.struct("stars", *[c for c in repos.columns if c not in ("paper_id", "stars")])
+    return repos.groupBy("paper_id").agg(
+        F.count("stars").alias("repos"), F.max("stars").alias("max_stars"), F.bool_or(F.coalesce("is_official", F.lit(False))).alias("any_official"), F.sort_array(F.collect_list(listed), asc=False).alias("repo_list")
+    )
 
 
 def sorted_name_sets(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
@@ -86,9 +89,10 @@ def merged_names(*columns: str) -> Column:
 
 
 def fulltext_stats(sections: DataFrame) -> DataFrame:
-    """AG-10: per document: sections at all depths, paragraphs summed over sections, and blocks, which is both."""
-    counted = sections.groupBy("paper_id").agg(F.count("*").alias("n_sections"), F.sum(F.size("paragraphs")).alias("n_paragraphs"))
-    return counted.withColumn("blocks", F.col("n_sections") + F.col("n_paragraphs"))
+    """AG-10: per document: sections at all depths, paragraphs summed over sections, blocks, which is both, and html_chars where sections have it."""
+    size = [F.max("html_chars").alias("html_chars")] if "html_chars" in sections.columns else []
+    counted = sections.groupBy("paper_id").agg(F.count("*").alias("n_sections"), F.sum(F.size("paragraphs")).alias("n_paragraphs"), *size)
+    return counted.select("paper_id", "n_sections", "n_paragraphs", (F.col("n_sections") + F.col("n_paragraphs")).alias("blocks"), *(["html_chars"] if size else []))
 
 
 #: Ranks per chunk of a context: a hot day then is several rows, none of which grows with the day.

@@ -55,8 +55,9 @@ def star_alerts(observations: DataFrame) -> DataFrame:
 
 
 def star_state(observations: DataFrame) -> DataFrame:
-    """WN-04: one row per repository: first and last sighting, and when its alerts went out."""
+    """WN-04: one row per repository: first and last sighting, when its alerts went out, and its latest name, owner and url where observations have them."""
     at = F.struct("observed_at", "event_id")
+    latest = [F.max_by(c, at).alias(c) for c in ("name", "owner", "url") if c in observations.columns]
     return star_alerts(observations).groupBy("repo_id").agg(
         F.min("observed_at").alias("first_seen_at"),
         F.min_by("stars", at).alias("first_seen_stars"),
@@ -64,6 +65,7 @@ def star_state(observations: DataFrame) -> DataFrame:
         F.max_by("stars", at).alias("last_seen_stars"),
         F.min(F.when(F.col("double_alert"), F.col("observed_at"))).alias("double_alerted_at"),
         F.min(F.when(F.col("ten_x_alert"), F.col("observed_at"))).alias("ten_x_alerted_at"),
+        *latest,
     )
 
 

@@ -192,8 +192,9 @@ def keyword_contexts(sections: DataFrame, keyword: str, n: int = 5, hits: int =
 
 
 def section_overview(sections: DataFrame, n: int = 60) -> DataFrame:
-    """TX-08: per paper, the number of sections and the first n headings in tree order."""
+    """TX-08: per paper, the number of sections, the first n headings in tree order, and its paper_title where sections have it."""
+    title = ["paper_title"] if "paper_title" in sections.columns else []
     rank = F.row_number().over(Window.partitionBy("paper_id").orderBy("sec_idx"))
     first = F.when(F.col("_rn") <= n, F.struct("sec_idx", "heading"))
-    found = sections.select("paper_id", "sec_idx", "heading", rank.alias("_rn")).groupBy("paper_id").agg(F.count("*").alias("n_sections"), F.array_sort(F.collect_list(first)).alias("h"))
-    return found.select("paper_id", "n_sections", F.transform("h", lambda x: x["heading"]).alias("headings"))
+    found = sections.select("paper_id", "sec_idx", "heading", rank.alias("_rn"), *title).groupBy("paper_id").agg(*[F.min(c).alias(c) for c in title], F.count("*").alias("n_sections"), F.array_sort(F.collect_list(first)).alias("h"))
+    return found.select("paper_id", *title, "n_sections", F.transform("h", lambda x: x["heading"]).alias("headings"))

@@ -103,9 +103,10 @@ def ag07(x):
     return agg.first_decision(x.view("f_reply"), "reply_pos", "p1", "p2", "decision")
 
 
-@R.add("ag08_repo_rollup", "SELECT paper_id, count(*) AS repos, max(stars) AS max_stars, bool_or(is_official) AS any_official FROM f_repo GROUP BY paper_id")
+@R.add("ag08_repo_rollup", "SELECT paper_id, count(*) AS repos, max(stars) AS max_stars, bool_or(is_official) AS any_official, string_agg(concat(CAST(stars AS STRING), '/', CAST(is_official AS STRING)), ',' ORDER BY stars DESC, is_official DESC) AS repo_list FROM f_repo GROUP BY paper_id")
 def ag08(x):
-    return agg.repo_rollup(x.view("f_repo"))
+    listed = F.transform("repo_list", lambda r: F.concat(r["stars"].cast("string"), F.lit("/"), r["is_official"].cast("string")))
+    return agg.repo_rollup(x.view("f_repo")).withColumn("repo_list", F.array_join(listed, ","))
 
 
 @R.add("ag09_sorted_name_sets", "SELECT paper_id, string_agg(DISTINCT institution, '|' ORDER BY institution) AS names FROM f_institution GROUP BY paper_id")
@@ -113,9 +114,15 @@ def ag09(x):
     return agg.sorted_name_sets(x.view("f_institution"), "paper_id", "institution", "names").withColumn("names", F.array_join("names", "|"))
 
 
-@R.add("ag10_fulltext_stats", "SELECT paper_id, count(*) AS n_sections, CAST(sum(len(string_split(body, chr(10)))) AS BIGINT) AS n_paragraphs, CAST(count(*) + sum(len(string_split(body, chr(10)))) AS BIGINT) AS blocks FROM f_section GROUP BY paper_id")
+@R.add("ag09_merged_names", "SELECT id, array_to_string(list_sort(list_distinct([primary_category, source, CASE WHEN analysis_status = 'success' THEN 'cs.LG' END, analysis_status])), '|') AS names FROM f_paper")
+def ag09m(x):
+    lists = x.view("f_paper").withColumns({"a": F.array("primary_category", "source", F.lit("")), "b": F.array(F.when(F.col("analysis_status") == "success", F.lit("cs.LG")), F.col("analysis_status"))})
+    return lists.select("id", F.array_join(agg.merged_names("a", "b"), "|").alias("names"))
+
+
+@R.add("ag10_fulltext_stats", "SELECT paper_id, count(*) AS n_sections, CAST(sum(len(string_split(body, chr(10)))) AS BIGINT) AS n_paragraphs, CAST(count(*) + sum(len(string_split(body, chr(10)))) AS BIGINT) AS blocks, max(length(body)) AS html_chars FROM f_section GROUP BY paper_id")
 def ag10(x):
-    return agg.fulltext_stats(x.view("f_section").withColumn("paragraphs", F.split("body", "\n")))
+    return agg.fulltext_stats(x.view("f_section").withColumns({"paragraphs": F.split("body", "\n"), "html_chars": F.char_length("body").cast("long")}))
 
 
 @R.add("ag11_category_context", f"""SELECT report_date, primary_category, (rank - 1) // 200 AS chunk, string_agg(concat('Title: ', title, chr(10), 'ID: ', id, chr(10), 'Overview: ', source, chr(10), 'Tags: ', primary_category, ', ', source, chr(10)), chr(10) || '---' || chr(10) ORDER BY rank) AS context

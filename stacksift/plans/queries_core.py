@@ -231,9 +231,9 @@ def wn03(x):
 
 
 @R.add("wn04_star_state", f"""SELECT repo_id, min(observed_at) AS first_seen_at, arg_min(stars, (observed_at, event_id)) AS first_seen_stars, max(observed_at) AS last_seen_at,
-    arg_max(stars, (observed_at, event_id)) AS last_seen_stars, min(observed_at) FILTER (double_alert) AS double_alerted_at, min(observed_at) FILTER (ten_x_alert) AS ten_x_alerted_at FROM ({ALERTS}) GROUP BY repo_id""")
+    arg_max(stars, (observed_at, event_id)) AS last_seen_stars, min(observed_at) FILTER (double_alert) AS double_alerted_at, min(observed_at) FILTER (ten_x_alert) AS ten_x_alerted_at, concat('Repo ', CAST(arg_max(event_id, (observed_at, event_id)) AS STRING)) AS name FROM ({ALERTS}) GROUP BY repo_id""")
 def wn04(x):
-    return ranking.star_state(x.view("f_observation"))
+    return ranking.star_state(x.view("f_observation").withColumn("name", F.concat(F.lit("Repo "), F.col("event_id").cast("string"))))
 
 
 @R.add("wn05_trending_limit", """SELECT page_id, event_id, repo_id, stars FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY event_id) AS rp FROM (

@@ -190,9 +190,9 @@ def tx07(x):
     return sections.keyword_contexts(rows, "the").select("paper_id", "sec_idx", "heading", "context")
 
 
-@R.add("tx08_section_overview", "SELECT paper_id, count(*) AS n_sections, array_to_string(list(heading ORDER BY sec_idx)[1:60], '|') AS headings FROM f_section GROUP BY paper_id")
+@R.add("tx08_section_overview", "SELECT paper_id, concat('Paper ', CAST(paper_id AS STRING)) AS paper_title, count(*) AS n_sections, array_to_string(list(heading ORDER BY sec_idx)[1:60], '|') AS headings FROM f_section GROUP BY paper_id")
 def tx08(x):
-    return sections.section_overview(x.view("f_section")).withColumn("headings", F.array_join("headings", "|"))
+    return sections.section_overview(x.view("f_section").withColumn("paper_title", F.concat(F.lit("Paper "), F.col("paper_id").cast("string")))).withColumn("headings", F.array_join("headings", "|"))
 
 
 @R.add("tx03_detail_fields")

@@ -28,11 +28,15 @@ def stream_star_alerts(observations: DataFrame) -> DataFrame:
     """STR-02: alerts of star_alerts() from a stream of (repo_id, event_id, observed_at timestamp, stars).
 
     State, one small row per repository, never expires. Rows of a micro-batch are put in time order per
-    repository; disorder across micro-batches is not supported.
+    repository; disorder across micro-batches is not supported. Of a repository's rows only those are held
+    that have more stars than all before them: no other can be the first to reach a bound.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"])
+        rows = None
+        for b in batches:
+            rows = (b if rows is None else pd.concat([rows, b])).sort_values(["observed_at", "event_id"]).reset_index(drop=True)
+            rows = rows[(rows["stars"] > rows["stars"].cummax().shift()) | (rows.index == 0)]
         first_at, first_stars, double_done, ten_done = state.get if state.exists else (None, None, False, False)
         out = []
         for event, at, stars in zip(rows["event_id"], rows["observed_at"], rows["stars"], strict=True):

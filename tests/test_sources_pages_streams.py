@@ -123,7 +123,8 @@ def test_sections(spark):
     front = {r.page_id: r.paragraphs for r in sections.front_matter(pages).collect()}
     assert front == {1: ["Front", "Second"], 2: ["short"], 3: []}
     table = sections.section_rows(pages).where("not failed").withColumnRenamed("page_id", "paper_id")
-    assert aggregates.fulltext_stats(table).collect()[0][1:] == (4, 6, 10)
+    assert aggregates.fulltext_stats(table).collect()[0][1:4] == (4, 6, 10)
+    assert aggregates.fulltext_stats(table).first().html_chars == len(next(p.html for p in pages.collect() if p.page_id == 1))
     lead = sections.front_matter(pages).withColumnRenamed("page_id", "paper_id")
     text = {r.paper_id: r.context for r in aggregates.fulltext_context(table, lead).collect()}[1]
     assert text == "## Front Matter\n\nFront\n\nSecond\n\n## 1 Intro\na\nb\n\n## 1.1 Deep\nb\n\n## References\nc\nd\n\n## X\nd"
