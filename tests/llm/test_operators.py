@@ -170,6 +170,32 @@ def test_pieces_equal_the_library(library):
     assert decoder.decode_all(np.array([i for x in odd for i in x]), edges).to_pylist() == library.decode(odd)
 
 
+def test_pieces_query_equals_the_library(spark, edges, library, tmp_path):
+    edges.withColumns({"ids": F.lit(1), "decoded": F.lit("x")}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op8_pieces"](spark, str(tmp_path)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = Counter()
+    for i, t in EDGES:
+        ids = library.encode(t or "", add_eos=True)
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    taken = pieces.encode(edges.withColumn("IDS", F.lit(1)), MODEL)
+    assert taken.columns == [*edges.columns, "IDS_input", "ids"] and pieces.decode(taken.withColumn("decoded", F.lit(1)), MODEL).columns[-2:] == ["decoded_input", "decoded"]
+
+
+def test_media_query_equals_brute_force(spark, edges, tmp_path):
+    edges.withColumns({"width": F.lit(1), "media": F.lit("x"), "n_bytes": F.lit(2)}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op5_media"](spark, str(tmp_path)).collect()}
+    for i, t in EDGES:
+        raw = (t or "").encode()
+        stored = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]))
+        media = jpeg.store([stored])[0]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert jpeg.media_columns(edges.withColumn("media", F.lit(1))).columns[: len(edges.columns) + 1] == [*edges.columns, "media_input"]
+
+
 def test_pieces_of_edge_cases(spark, edges, nothing, library):
     got = pieces.decode(pieces.encode(edges, MODEL), MODEL).select("doc_id", "text", "ids", "decoded").collect()
     assert len(got) == len(EDGES)
@@ -570,6 +596,69 @@ def test_language_on_held_out_rows(spark, edges, nothing):
     assert {r.lang_pred for r in language.identify(edges, empty).collect()} <= {"und"}
 
 
+def language_by_hand(model, text):
+    """(language, score) from the model's weights, one text and one gram at a time."""
+    letters = [c.lower() if len(c.lower()) == 1 else c for c in f" {text or ''} "]
+    letters = [c if c.isalpha() or o.isalpha() else " " for c, o in zip(letters, f" {text or ''} ", strict=True)]
+    run = [ord(c) for i, c in enumerate(letters) if i == 0 or c != " " or letters[i - 1] != " "]
+    if all(c == 32 for c in run):
+        return "und", 0.0
+    low, grams = 0xFFFFFFFF, Counter()
+    for i, c in enumerate(run):
+        one = c * 0x9E3779B1 & low
+        if c != 32:
+            grams[one >> 19] += 1
+        if i + 1 < len(run):
+            two = (one ^ run[i + 1] + 0x85EBCA6B & low) * 0xC2B2AE35 & low
+            grams[two >> 19] += 1
+        if i + 2 < len(run):
+            three = (two ^ run[i + 2] + 0x27D4EB2F & low) * 0x165667B1 & low
+            grams[three >> 19] += 1
+    total = sum(grams.values())
+
+    def choose(level, names):
+        marks = {n: [] for n in names}
+        for (at, a, b), w in zip(model.columns, model.weights, strict=True):
+            if at == level:
+                m = sum(w[g] * n * language.SCALE / total for g, n in grams.items()) + w[-1]
+                marks[a].append(m)
+                if b is not None:
+                    marks[b].append(-m)
+        best = max(sorted(names), key=lambda n: (sum(m > 0 for m in marks[n]), sum(marks[n])))
+        return best, 1 / (1 + np.exp(-min(30, max(0, min(marks[best]))))) if marks[best] else 1.0
+
+    family, sure = choose("", list(model.members))
+    best, within = choose(family, model.members[family])
+    return best, sure * within
+
+
+def test_language_query_equals_brute_force(spark, tmp_path):
+    """All columns by hand from the model's weights: two, three and more families, letters of all planes, clashing names."""
+    sounds = {"en": "the ing wh".split(), "de": "sch ung ü".split(), "fr": "eau é ou".split(), "es": "ción ñ ll".split(), "fi": "kk ää yö".split(), "xx": "zz qq".split()}
+    for names in (["en", "de"], ["en", "fr"], ["en", "de", "fr", "es"], list(sounds)):
+        texts = [(k, " ".join("".join(rng.choice(sounds[x] + ["a", "r"]) for _ in range(3)) for _ in range(rng.randint(1, 30))), x) for k in range(160) for x in [names[k % len(names)]]]
+        rows = texts + [(None if i is None else 1000 + i, t, None) for i, t in EDGES] + [(2000, "\U00030000\U00031350", "en"), (2001, "İstanbul ǅ ß 1a2b", None), (2002, "a" * 300_000, None)]
+        path = tmp_path / "-".join(names)
+        spark.createDataFrame([(*r, 0.5, "y") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string").write.parquet(str(path / "documents.parquet"))
+        model = language.fit(spark.read.parquet(str(path / "documents.parquet")))
+        got = queries.QUERIES["op9_language"](spark, str(path)).collect()
+        assert len(got) == len(rows)
+        by = {i: t for i, t, _ in rows}
+        for r in got:
+            want = language_by_hand(model, by[r.doc_id])
+            assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6, (by[r.doc_id], r, want)
+            assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert next(r for r in got if r.doc_id == 2000).lang_pred != "und"
+    renamed = language.identify(spark.read.parquet(str(path / "documents.parquet")), model)
+    assert renamed.columns == ["doc_id", "text", "lang", "score_input", "lang_pred_input", "lang_pred", "score"]
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(k, f"text {k}", "en" if k % 2 else "de") for k in range(100)] + [(1000 + k, "x y", f"junk{k}") for k in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2)
+    assert model.members == {"germanic": ["de", "en"]}
+
+
 # Near-duplicates
 
 
