@@ -179,12 +179,12 @@ def jn07(x):
     return joins.attach_source(x.view("f_news").select("id", "source_name"), dim)
 
 
-@R.add("jn08_enrich_details", """SELECT id, source_name, CASE WHEN rn <= 10 AND doc_id % 4 <> 3 AND doc_id % 4 <> 0 THEN concat('T', CAST(doc_id AS STRING)) ELSE id END AS title,
-    CASE WHEN rn <= 10 AND doc_id % 4 <> 3 THEN 'C' ELSE 'old' END AS content
+@R.add("jn08_enrich_details", """SELECT id, source_name, CASE WHEN rn <= 10 AND language NOT IN ('de', 'fr') THEN concat('T', CAST(doc_id AS STRING)) ELSE id END AS title,
+    CASE WHEN rn <= 10 AND language <> 'de' THEN 'C' ELSE 'old' END AS content
     FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY doc_id, id) AS rn FROM f_news)""")
 def jn08(x):
     items = x.view("f_news").select("id", "doc_id", "url", "source_name", F.col("id").alias("title"), F.lit("old").alias("content"))
-    details = x.view("f_news").where("doc_id % 4 <> 3").select("url", F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('T', doc_id) END").alias("title"), F.lit("C").alias("content"))
+    details = x.view("f_news").where("language <> 'de'").select("url", F.expr("CASE WHEN language = 'fr' THEN '' ELSE concat('T', doc_id) END").alias("title"), F.lit("C").alias("content"))
     return joins.enrich_details(items, details, 10, "doc_id").select("id", "source_name", "title", "content")
 
 

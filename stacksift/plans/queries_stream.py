@@ -54,12 +54,12 @@ def str02(x):
 
 @R.add("str03_stream_daily_upsert", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.analysis_status = 'success' THEN o.tracking_score ELSE n.tracking_score END AS tracking_score,
     CASE WHEN o.id IS NULL THEN 'pending' ELSE o.analysis_status END AS analysis_status
-    FROM (SELECT * FROM f_paper WHERE CAST(id AS BIGINT) % 3 <> 0) o FULL OUTER JOIN (SELECT id, tracking_score + 1 AS tracking_score FROM f_paper WHERE CAST(id AS BIGINT) % 2 = 0) n ON n.id = o.id""")
+    FROM (SELECT * FROM f_paper WHERE primary_category <> 'cs.CV') o FULL OUTER JOIN (SELECT id, tracking_score + 1 AS tracking_score FROM f_paper WHERE primary_category <> 'cs.AI') n ON n.id = o.id""")
 def str03(x):
-    papers = x.view("f_paper").select("id", "tracking_score", "analysis_status", F.date_format("published", "yyyy").alias("report_date"))
+    papers = x.view("f_paper").select("id", "tracking_score", "analysis_status", F.date_format("published", "yyyy").alias("report_date"), "primary_category")
     path = staging_folder(x.spark, "days")
-    write_daily(papers.where("cast(id as bigint) % 3 <> 0"), path)
-    new = papers.where("cast(id as bigint) % 2 = 0").select("id", (F.col("tracking_score") + 1).alias("tracking_score"), "report_date", F.lit(1).alias("arrival"))
+    write_daily(papers.where("primary_category <> 'cs.CV'").drop("primary_category"), path)
+    new = papers.where("primary_category <> 'cs.AI'").select("id", (F.col("tracking_score") + 1).alias("tracking_score"), "report_date", F.lit(1).alias("arrival"))
     finished(jobs.stream_daily_upsert(as_stream(x, new), path, staging_folder(x.spark, "staging"), staging_folder(x.spark, "stream-state")))
     return x.spark.read.parquet(path).select("id", "tracking_score", "analysis_status")
 
