@@ -72,12 +72,14 @@ def title_match(papers: DataFrame, works: DataFrame, paper_id: str = "id", work_
 
 
 def pieces(t: Column, kind: str) -> Column:
-    """Blocking keys of a title, marked by their kind."""
+    """Blocking keys of a title: its tokens, its characters, or its runs of three characters."""
     if kind == "token":
-        keys = F.split(t, " ")
-    else:
-        n = 3 if kind == "trigram" else 1
-        keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
+        return F.array_distinct(F.split(t, " "))
+    keys = F.split(t, "")
+    if kind == "trigram":
+        following = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+        runs = lambda c: F.transform(F.slice(c, 1, F.greatest(F.lit(1), F.size(c) - 2)), lambda x, i: F.concat(x, following(c, i + 1), following(c, i + 2)))
+        keys = F.transform(F.array(keys), runs)[0]
     return F.array_distinct(keys)
 
 
@@ -87,9 +89,10 @@ def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     inner = F.slice(tokens, 2, F.greatest(F.lit(0), F.size(tokens) - 2))
     kind = F.when(F.size(tokens) >= 3, "token").when(F.char_length("t") >= 3, "trigram").otherwise("char")
     kinds = small.withColumn("kind", kind).withColumn("keys", F.when(F.col("kind") == "token", F.array_distinct(inner)).when(F.col("kind") == "trigram", pieces(F.col("t"), "trigram")).otherwise(F.slice(pieces(F.col("t"), "char"), 1, 1)))
-    probes = large.select("o", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), pieces(F.col("t"), k).alias("keys")) for k in ("token", "trigram", "char")])).alias("p"))
     used = kinds.select("kind").distinct()  # three rows at most: kinds of keys that nobody asks for are not built
-    probes = probes.select("o", F.col("p.kind").alias("kind"), F.explode("p.keys").alias("key")).join(F.broadcast(used), "kind", "left_semi")
+    asked = large.select("o", "t", F.explode(F.array(F.lit("token"), F.lit("trigram"), F.lit("char"))).alias("kind")).join(F.broadcast(used), "kind", "left_semi")
+    keys = F.when(F.col("kind") == "token", pieces(F.col("t"), "token")).when(F.col("kind") == "trigram", pieces(F.col("t"), "trigram")).otherwise(pieces(F.col("t"), "char"))
+    probes = asked.select("o", "kind", F.explode(keys).alias("key"))
     often = probes.groupBy("kind", "key").agg(F.count("*").alias("n"))
     each = kinds.select("k", "kind", F.explode("keys").alias("key")).join(often, ["kind", "key"])
     rarest = each.groupBy("k", "kind").agg(F.min(F.struct("n", "key")).alias("r")).select("k", "kind", F.col("r.key").alias("key"))
