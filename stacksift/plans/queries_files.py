@@ -165,11 +165,11 @@ def tx03_made(x):
     return sections.detail_fields(made_pages(x)).select("page_id", "title", "date")
 
 
-@R.add("tx04_sections_of_made_pages", f"""SELECT a.page_id, a.level - 1 AS sec_idx, CASE WHEN a.level > 1 THEN a.level - 2 END AS parent_idx, a.level + 1 AS level, concat(CAST(a.level AS STRING), '.1') AS number, concat('Part ', CAST(a.doc_id AS STRING)) AS title,
+@R.add("tx04_sections_of_made_pages", f"""SELECT a.page_id, a.level - 1 AS sec_idx, CASE WHEN a.level > 1 THEN a.level - 2 ELSE -1 END AS parent_idx, a.level + 1 AS level, concat(CAST(a.level AS STRING), '.1') AS number, concat('Part ', CAST(a.doc_id AS STRING)) AS title,
     array_to_string(flatten(list(b.ps ORDER BY b.doc_id)), '|') AS paragraphs FROM ({SECTIONED}) a JOIN ({SECTIONED}) b ON a.page_id = b.page_id AND b.level >= a.level WHERE a.level > 0 GROUP BY a.page_id, a.level, a.doc_id""")
 def tx04_made(x):
     found = sections.section_rows(made_pages(x)).where("not failed")
-    return found.select("page_id", "sec_idx", "parent_idx", "level", "number", "title", F.array_join("paragraphs", "|").alias("paragraphs"))
+    return found.select("page_id", "sec_idx", F.coalesce("parent_idx", F.lit(-1)).alias("parent_idx"), "level", "number", "title", F.array_join("paragraphs", "|").alias("paragraphs"))
 
 
 @R.add("tx05_front_of_made_pages", f"SELECT page_id, array_to_string(ps[1:30], '|') AS front FROM ({SECTIONED}) WHERE level = 0")
