@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksift.llm import fingerprint, jpeg, language, license, linededup, minhash, pieces, toxicity
+from stacksift.llm import byte_bpe, fingerprint, jpeg, language, lexical, license, linededup, minhash, pieces, toxicity, whitening
 from stacksift.llm.common import documents, small_batches
 from stacksift.llm.mixing import mix
 from stacksift.llm.sharding import shard_documents
@@ -100,6 +100,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the leading whitened components of the distinct ones."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes decoded from them."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("packed"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        "n_split",
+    )
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +143,9 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical": op13_lexical,
 }
 QUERIES = {name: in_small_batches(query) for name, query in QUERIES.items()}
 
@@ -146,4 +172,16 @@ r AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, row_number(
 SELECT doc_id, source, slots[rank // 64 + 1] AS slot, rank // 64 AS block, (rank // 64) * u // p.w AS release, ((rank // 64 + 1) * u + p.w - 1) // p.w AS due,
     CAST(rank % 64 AS INT) AS offset, p.w AS weight, u AS total FROM r JOIN p USING (key), a"""
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op10_sharding": SHARDS_SQL}
+#: Every score of every document for every item; whole numbers but for the logarithm.
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+LEXICAL_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d),
+i AS (SELECT row_number() OVER () AS i, item_id, {TERMS} AS ts FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS term FROM i) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op10_sharding": SHARDS_SQL, "op13_lexical": LEXICAL_SQL}
