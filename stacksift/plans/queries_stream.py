@@ -14,7 +14,7 @@ from stacksift.operators import analyze
 from stacksift.plans.queries_core import ALERTS
 from stacksift.plans.registry import Registry
 from stacksift.plans.views import Inputs
-from stacksift.sources.records import write_daily
+from stacksift.sources import daylog
 from stacksift.sources.staging import staging_folder
 from stacksift.streaming import jobs
 
@@ -57,11 +57,11 @@ def str02(x):
     FROM (SELECT * FROM f_paper WHERE primary_category <> 'cs.CV') o FULL OUTER JOIN (SELECT id, tracking_score + 1 AS tracking_score FROM f_paper WHERE primary_category <> 'cs.AI') n ON n.id = o.id""")
 def str03(x):
     papers = x.view("f_paper").select("id", "tracking_score", "analysis_status", F.date_format("published", "yyyy").alias("report_date"), "primary_category")
-    path = staging_folder(x.spark, "days")
-    write_daily(papers.where("primary_category <> 'cs.CV'").drop("primary_category"), path)
+    path, base = staging_folder(x.spark, "days"), papers.where("primary_category <> 'cs.CV'").drop("primary_category")
+    daylog.publish(base, path)
     new = papers.where("primary_category <> 'cs.AI'").select("id", (F.col("tracking_score") + 1).alias("tracking_score"), "report_date", F.lit(1).alias("arrival"))
-    finished(jobs.stream_daily_upsert(as_stream(x, new), path, staging_folder(x.spark, "staging"), staging_folder(x.spark, "stream-state")))
-    return x.spark.read.parquet(path).select("id", "tracking_score", "analysis_status")
+    finished(jobs.stream_daily_upsert(as_stream(x, new), path, staging_folder(x.spark, "stream-state"), base.schema))
+    return daylog.read_days(x.spark, path, base.schema).select("id", "tracking_score", "analysis_status")
 
 
 @R.add("str04_stream_daily_counts", "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS report_date, event_type AS category, count(*) AS n FROM events GROUP BY ALL")

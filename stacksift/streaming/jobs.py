@@ -8,11 +8,12 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stacksift.operators.joins import upsert_keep_success
-from stacksift.sources.records import exists, write_daily
+from stacksift.sources import daylog
 
 
 def stream_new_items(items: DataFrame, at: str = "first_seen", days: int = 30) -> DataFrame:
@@ -54,22 +55,30 @@ def stream_star_alerts(observations: DataFrame) -> DataFrame:
     return observations.groupBy("repo_id").applyInPandasWithState(step, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_daily_upsert(items: DataFrame, path: str, staging: str, checkpoint: str) -> StreamingQuery:
+def stream_daily_upsert(items: DataFrame, path: str, checkpoint: str, schema: T.StructType, name: str = "daily", order: str = "arrival") -> StreamingQuery:
     """STR-03: merges each micro-batch into its days under path, keeping finished analyses.
 
-    Only the days that a batch touches are read, merged, written to the staging folder, and then put in
-    place of the old ones, so a day is never read while it is replaced. A repeated batch gives the same.
+    path is a table of `daylog`, with this schema. Only the days that a batch touches are read; their new versions
+    are written beside the old ones and take their place in one commit, which also records the batch. A crash before
+    the commit leaves the table as it was, and the batch is merged again from the old rows; after it, a repeated
+    batch does nothing. Readers see all days at any time. If another writer has replaced a day meanwhile, the merge
+    starts again from what that one wrote.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if exists(spark, path):
-            days = batch.select("report_date").distinct()
-            old = spark.read.parquet(path).join(days, "report_date", "left_semi")
-        else:
-            old = spark.createDataFrame([], batch.schema.add("analysis_status", "string") if "analysis_status" not in batch.columns else batch.schema)
-        upsert_keep_success(old, batch, "arrival").write.mode("overwrite").parquet(f"{staging}/{number}")
-        write_daily(spark.read.parquet(f"{staging}/{number}"), path)
+        for attempt in range(3):
+            seen = daylog.latest(spark, path)
+            if seen.streams.get(name, -1) >= number:
+                return
+            days = [daylog.folder_of(spark, r[0]) for r in batch.select(daylog.DAY).distinct().collect()]
+            merged = upsert_keep_success(daylog.read_days(spark, path, schema, days, seen), batch, order)
+            try:
+                daylog.publish(merged, path, seen, days, (name, number))
+                return
+            except daylog.CommitConflict:
+                if attempt == 2:
+                    raise
 
     return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -177,16 +177,6 @@ def test_stream_new_items_equal_batch(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r.id for r in ranking.first_wins(df, "id", "n").collect())
 
 
-def test_stream_daily_upsert_keeps_success(spark, tmp_path):
-    base = spark.createDataFrame([("a", "old", "success", "2024-01-01"), ("z", "old", "pending", "2024-01-02")], "id string, title string, analysis_status string, report_date string")
-    path = str(tmp_path / "t")
-    records.write_daily(base, path)
-    spark.createDataFrame([("a", "new", 1, "2024-01-01"), ("b", "new", 2, "2024-01-01")], "id string, title string, arrival int, report_date string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id string, title string, arrival int, report_date string").parquet(str(tmp_path / "in"))
-    finish(jobs.stream_daily_upsert(stream, path, str(tmp_path / "staging"), str(tmp_path / "cp")))
-    assert {(r.id, r.title, r.analysis_status) for r in spark.read.parquet(path).collect()} == {("a", "old", "success"), ("b", "new", "pending"), ("z", "old", "pending")}
-
-
 def test_stream_daily_counts_equal_batch(spark, tmp_path):
     rows = [(datetime(2024, 1, 1 + k // 6, 4 * (k % 6)), f"c{k % 2}") for k in range(30)]
     df = spark.createDataFrame(rows, "published timestamp, category string")
