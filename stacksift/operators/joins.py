@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,47 +59,83 @@ def enrich_signals(papers: DataFrame, s2: DataFrame, code: DataFrame, graph: Dat
 def title_match(papers: DataFrame, works: DataFrame, paper_id: str = "id", work_id: str = "work_id") -> DataFrame:
     """JN-04: (paper_id, work_id, exact): normalised titles are equal or one contains the other; empty ones never match.
 
-    Equal titles: a hash join. Containment: in a title with three or more tokens that another contains,
-    the inner tokens are whole tokens of the other, so the contained side's rarest inner token is joined
-    to the other side's tokens, then verified. Titles of one or two tokens have no inner token and are
-    joined by their rarest character trigram (those under three characters: by their first character).
+    Titles are compared once however many rows have them, by their MD5; rows are joined to matching titles last.
+    Containment goes by keys of several tokens and the letters around them (see contained), so what meets under
+    one key nearly always matches. Every row pair is in the result, so titles that many rows share on both sides
+    give many rows.
     """
-    a = papers.select(F.col(paper_id).alias("paper_id"), normalize_title(F.col("title")).alias("t")).where("t <> ''")
-    b = works.select(F.col(work_id).alias("work_id"), normalize_title(F.col("title")).alias("t")).where("t <> ''")
-    equal = a.join(b, "t").select("paper_id", "work_id", F.lit(True).alias("exact"))
-    forward = contained(a.withColumnRenamed("paper_id", "k"), b.withColumnRenamed("work_id", "o")).select(F.col("k").alias("paper_id"), F.col("o").alias("work_id"), F.lit(False).alias("exact"))
-    backward = contained(b.withColumnRenamed("work_id", "k"), a.withColumnRenamed("paper_id", "o")).select(F.col("o").alias("paper_id"), F.col("k").alias("work_id"), F.lit(False).alias("exact"))
-    return equal.unionByName(forward).unionByName(backward)
-
-
-def pieces(t: Column, kind: str) -> Column:
-    """Blocking keys of a title: its tokens, its characters, or its runs of three characters."""
-    if kind == "token":
-        return F.array_distinct(F.split(t, " "))
-    keys = F.split(t, "")
-    if kind == "trigram":
-        following = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
-        runs = lambda c: F.transform(F.slice(c, 1, F.greatest(F.lit(1), F.size(c) - 2)), lambda x, i: F.concat(x, following(c, i + 1), following(c, i + 2)))
-        keys = F.transform(F.array(keys), runs)[0]
-    return F.array_distinct(keys)
+    a, b = titles(papers, paper_id, "paper_id"), titles(works, work_id, "work_id")
+    ta, tb = (x.groupBy("m").agg(F.first("t").alias("t")) for x in (a, b))
+    forward = contained(ta, tb).select(F.col("k").alias("ma"), F.col("o").alias("mb"))
+    backward = contained(tb, ta).select(F.col("o").alias("ma"), F.col("k").alias("mb"))
+    ids = lambda x, key, m: x.select(key, F.col("m").alias(m))
+    part = forward.unionByName(backward).join(ids(a, "paper_id", "ma"), "ma").join(ids(b, "work_id", "mb"), "mb")
+    equal = a.select("paper_id", "m").join(b.select("work_id", "m"), "m")
+    return equal.select("paper_id", "work_id", F.lit(True).alias("exact")).unionByName(part.select("paper_id", "work_id", F.lit(False).alias("exact")))
+
+
+def titles(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, t, m): each row's key, its normalised title where it is not empty, and that title's MD5."""
+    some = rows.where(F.lower("title").rlike("[a-z0-9]"))  # the same as t <> '', which would normalise twice
+    return some.select(F.col(key).alias(name), normalize_title(F.col("title")).alias("t")).withColumn("m", F.md5("t"))
+
+
+#: Numbers of whole tokens in a key. Keys of fewer than LONG_KEY tokens also hold up to MOST_LETTERS letters on each side.
+KEY_TOKENS, LONG_KEY, MOST_LETTERS = (8, 4, 2, 1, 0), 4, 3
+
+
+def key_form(tokens: Column) -> Column:
+    """The form (w, a, b) of a title's key: w tokens from the second one on, the last a letters before and the first b after them.
+
+    In a title that contains another, the other's inner tokens are whole tokens in a row; its first token ends the
+    one before them, and its last one begins the one after. Titles of one token have no form.
+    """
+    inner = F.size(tokens) - 2
+    w = F.coalesce(*[F.when(inner >= n, F.lit(n)) for n in KEY_TOKENS])
+    letters = lambda i: F.when(w >= LONG_KEY, 0).when(F.char_length(F.get(tokens, i)) >= MOST_LETTERS, MOST_LETTERS).otherwise(1)
+    return F.when(w.isNotNull(), F.struct(w.alias("w"), letters(F.lit(0)).alias("a"), letters(w + 1).alias("b")))
+
+
+def token_key(form: Column, tokens: Column, hashes: Column, i: Column) -> Column:
+    """64 bits of a form and of what it holds at the title's i-th token (from 0). hashes: of all tokens."""
+    within = [F.when(form["w"] >= k, F.get(hashes, i + k)) for k in range(1, KEY_TOKENS[0] + 1)]
+    before, after = F.right(F.get(tokens, i), form["a"]), F.left(F.get(tokens, i + form["w"] + 1), form["b"])
+    return F.xxhash64(form["w"], form["a"], form["b"], *within, F.when(form["a"] > 0, before), F.when(form["b"] > 0, after))
 
 
 def contained(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(k, o) where the title of small (k, t) is a proper part of that of large (o, t)."""
-    tokens = F.split("t", " ")
-    inner = F.slice(tokens, 2, F.greatest(F.lit(0), F.size(tokens) - 2))
-    kind = F.when(F.size(tokens) >= 3, "token").when(F.char_length("t") >= 3, "trigram").otherwise("char")
-    kinds = small.withColumn("kind", kind).withColumn("keys", F.when(F.col("kind") == "token", F.array_distinct(inner)).when(F.col("kind") == "trigram", pieces(F.col("t"), "trigram")).otherwise(F.slice(pieces(F.col("t"), "char"), 1, 1)))
-    used = kinds.select("kind").distinct()  # three rows at most: kinds of keys that nobody asks for are not built
-    asked = large.select("o", "t", F.explode(F.array(F.lit("token"), F.lit("trigram"), F.lit("char"))).alias("kind")).join(F.broadcast(used), "kind", "left_semi")
-    keys = F.when(F.col("kind") == "token", pieces(F.col("t"), "token")).when(F.col("kind") == "trigram", pieces(F.col("t"), "trigram")).otherwise(pieces(F.col("t"), "char"))
-    probes = asked.select("o", "kind", F.explode(keys).alias("key"))
-    often = probes.groupBy("kind", "key").agg(F.count("*").alias("n"))
-    each = kinds.select("k", "kind", F.explode("keys").alias("key")).join(often, ["kind", "key"])
-    rarest = each.groupBy("k", "kind").agg(F.min(F.struct("n", "key")).alias("r")).select("k", "kind", F.col("r.key").alias("key"))
-    pairs = rarest.join(probes, ["kind", "key"]).select("k", "o")
-    texts = pairs.join(small, "k").withColumnRenamed("t", "ts").join(large, "o")
-    return texts.where(F.contains("t", "ts") & (F.col("t") != F.col("ts"))).select("k", "o")
+    """(k, o) where the title of small (m, t) is a proper part of that of large (m, t); m names a title.
+
+    A title of small has one key: the longest of 8, 4, 2, 1 or 0 whole tokens that fits between its first and last
+    token, with the letters around it where it is short. A title of large has one for each place and each form that
+    small uses. Equal keys are verified. A title of one token lies within a token of the other: it is looked up by its
+    first three characters among the distinct tokens of large.
+    """
+    split = F.split("t", " ")
+    cut = lambda df, name: df.select(F.col("m").alias(name), split.alias("tokens"), F.transform(split, lambda x: F.xxhash64(x)).alias("h"))
+    key = lambda i: token_key(F.col("form"), F.col("tokens"), F.col("h"), i).alias("key")
+    asked = cut(small, "k").withColumn("form", key_form(F.col("tokens")))
+    keys = asked.where("form is not null").select("k", key(F.lit(0)))
+    used = asked.select("form").distinct()  # at most 15 rows
+    forms = F.array(*[F.struct(F.lit(n).alias("w"), F.lit(x).alias("a"), F.lit(y).alias("b")) for n in KEY_TOKENS for x in ((0,) if n >= LONG_KEY else (1, MOST_LETTERS)) for y in ((0,) if n >= LONG_KEY else (1, MOST_LETTERS))])
+    places = cut(large, "o").select("*", F.explode(forms).alias("form")).join(F.broadcast(used), "form", "left_semi")
+    last = F.size("tokens") - F.col("form.w") - 2
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    probes = places.select("*", F.explode(starts).alias("i")).select("o", key(F.col("i")))
+    pairs = keys.join(probes, "key").where("k <> o").select("k", "o").distinct()
+    texts = pairs.join(small.select(F.col("m").alias("k"), F.col("t").alias("ts")), "k").join(large.select(F.col("m").alias("o"), "t"), "o")
+    return texts.where(F.contains("t", "ts")).select("k", "o").unionByName(within_tokens(asked, large))
+
+
+def within_tokens(asked: DataFrame, large: DataFrame) -> DataFrame:
+    """(k, o) for titles of one token, (k, tokens, form null) of asked, that lie within a token of a title of large and are not all of it."""
+    single = asked.where("form is null").select("k", F.get("tokens", F.lit(0)).alias("p"))
+    wanted = asked.select(F.col("form").isNull().alias("single")).distinct()  # no token is looked at where nothing asks for it
+    words = large.withColumn("single", F.explode(F.array(F.lit(True)))).join(F.broadcast(wanted), "single", "left_semi").select(F.col("m").alias("o"), F.explode(F.array_distinct(F.split("t", " "))).alias("v"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MOST_LETTERS)), lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("v") - q + 1)), lambda i: F.substr(F.col("v"), i, q))))
+    grams = words.select("v").distinct().select("v", F.explode(F.array_distinct(runs)).alias("gram"))
+    found = single.withColumn("gram", F.left("p", F.lit(MOST_LETTERS))).join(grams, "gram").where(F.contains("v", "p")).select("k", "v")
+    return found.join(words, "v").where("k <> o").select("k", "o").distinct()
 
 
 #: Columns that an analysis writes.
@@ -139,12 +176,18 @@ def attach_source(items: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def enrich_details(items: DataFrame, details: DataFrame, n: int = 10, order: str = "pos") -> DataFrame:
-    """JN-08: for the first n items of each source in page order, non-empty title and content of the detail page by URL."""
-    first = F.row_number().over(Window.partitionBy("source_name").orderBy(order, "id")) <= n
-    extra = details.select("url", F.col("title").alias("_title"), F.col("content").alias("_content"))
-    joined = items.withColumn("_first", first).join(extra, "url", "left")
-    better = lambda c: F.when(F.col("_first"), F.coalesce(text_or_null(F.col(f"_{c}")), F.col(c))).otherwise(F.col(c))
-    return joined.select(*[better(c).alias(c) if c in ("title", "content") else F.col(c) for c in items.columns])
+    """JN-08: for the first n items of each source in page order, non-empty title and content of the detail page by URL.
+
+    The first n are found among keys alone, with a limit in every task before the shuffle, so a source with very many
+    items has no task of its own. Items that are alike in source, order and id are enriched alike.
+    """
+    place = F.row_number().over(Window.partitionBy("source_name").orderBy(order, "id"))
+    first = items.select("source_name", order, "id", "url").withColumn("_place", place).where(F.col("_place") <= n)
+    extra = details.select("url", text_or_null(F.col("title")).alias("_title"), text_or_null(F.col("content")).alias("_content"))
+    found = first.join(extra, "url").select(*[F.col(c).alias(f"_{c}_") for c in ("source_name", order, "id", "url")], "_title", "_content").distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in ("source_name", order, "id", "url")]
+    joined = items.join(found, reduce(Column.__and__, same), "left")
+    return joined.select(*[F.coalesce(f"_{c}", F.col(c)).alias(c) if c in ("title", "content") else F.col(c) for c in items.columns])
 
 
 def deep_status(ids: DataFrame, completed: DataFrame, processing: DataFrame) -> DataFrame:
