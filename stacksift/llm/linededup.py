@@ -21,6 +21,8 @@ EDITS = 1
 MIN_CHARS, EXACT_CHARS = 16, 8
 #: Members of a bucket that are compared with each other; larger buckets are split by a further segment.
 SMALL = 32
+#: Group memberships of a component that one task goes through; larger components are decided in rounds.
+IN_TASK = 100_000
 #: Candidate lines up to this number are broadcast as (key, position) to fetch their text; more are joined.
 FEW = 100_000
 
@@ -267,10 +269,14 @@ def split_members(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), "key long, uid long, host boolean, parts array<int>, leaf boolean")
 
 
-def leaf_pairs(leaves: DataFrame) -> DataFrame:
-    """Members of a leaf paired with its least host: all of them are within the edits of it."""
-    heads = materialize(leaves.where("host").groupBy("key").agg(F.min("uid").alias("head")), "heads")
-    return leaves.join(heads, "key").where("uid <> head").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b"))
+def leaf_groups(parts: DataFrame) -> DataFrame:
+    """(g, uid, host, head) for the members of leaves g with a host, the least of which is head.
+
+    In a leaf every host is within the edits of all other members; others need not be of each other.
+    """
+    members = parts.where("leaf").groupBy(F.col("key").alias("g"), "uid").agg(F.max("host").alias("host"))
+    heads = materialize(members.groupBy("g").agg(F.min(F.when(F.col("host"), F.col("uid"))).alias("head"), F.count("*").alias("n")).where("head is not null and n > 1"), "heads")
+    return members.join(heads.select("g", "head"), "g")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -294,11 +300,97 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
-    """(k1, k2, pos, uid, label) of each different line's first place; label names its class of near copies.
+#: Columns of a place in the corpus, in the order of comparison.
+PLACE = ["at.none", "at.doc_id", "at.k1", "at.k2", "at.pos"]
+
 
-    docs has doc_id, text, k1 and k2. Equal lines are one line; lines of at least min_chars code points
-    within so many edits are linked; links make classes.
+def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, near): of memberships (label, uid, g, host) in the order of label and place, lines near an earlier one that stays.
+
+    A line goes if one of its groups holds a line that stays and one of the two is a host there.
+    """
+    label = line = None
+    hosts: dict[int, int] = {}
+    others: dict[int, int] = {}
+    own: list[tuple[int, bool]] = []
+
+    def decided() -> int | None:
+        for g, host in own:
+            near = hosts.get(g) if hosts.get(g) is not None or not host else others.get(g)
+            if near is not None:
+                return near
+        for g, host in own:
+            (hosts if host else others).setdefault(g, line)
+        return None
+
+    for b in batches:
+        out = []
+        for now, uid, g, host in zip(*(b.column(c).to_pylist() for c in ("label", "uid", "g", "host")), strict=True):
+            if line is not None and (uid != line or now != label):
+                out.append((line, decided()))
+                own.clear()
+            if now != label:
+                hosts.clear(), others.clear()
+            label, line = now, uid
+            own.append((g, host))
+        gone = [x for x in out if x[1] is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in gone], pa.int64()) for k in (0, 1)], ["uid", "near"])
+    if own:
+        near = decided()
+        yield pa.RecordBatch.from_arrays([pa.array([x] if near is not None else [], pa.int64()) for x in (line, near)], ["uid", "near"])
+
+
+def in_tasks(members: DataFrame) -> DataFrame:
+    """greedy() for memberships (label, g, uid, host, at) of components that each fit a task."""
+    ordered = members.repartition("label").sortWithinPartitions("label", *PLACE, "uid")
+    return ordered.select("label", "uid", "g", "host").mapInArrow(tidy(greedy), "uid long, near long")
+
+
+def in_rounds(members: DataFrame) -> DataFrame:
+    """greedy() for large components: in each round the lines that come first in all their groups stay, and others of these groups go.
+
+    A round decides the first open line of every component at least; once few memberships are open, one task ends it.
+    """
+    gone = None
+    while members.count() > IN_TASK:
+        first = members.groupBy("g").agg(F.min("at").alias("any"), F.min(F.when(F.col("host"), F.col("at"))).alias("first_host"))
+        leads = F.when(F.col("host"), F.col("any") == F.col("at")).otherwise(F.col("first_host").isNull() | (F.col("first_host") > F.col("at")))
+        stays = materialize(members.join(first, "g").groupBy("uid").agg(F.bool_and(leads).alias("leads")).where("leads").select("uid"), "stays")
+        kept = members.join(stays, "uid").groupBy("g").agg(F.min("uid").alias("one"), F.min(F.when(F.col("host"), F.col("uid"))).alias("one_host"))
+        open_ = members.join(stays, "uid", "left_anti")
+        near = F.when(F.col("host"), F.col("one")).otherwise(F.col("one_host"))
+        went = materialize(open_.join(kept, "g").where(near.isNotNull()).groupBy("uid").agg(F.min(near).alias("near")), "went")
+        gone = went if gone is None else gone.unionByName(went)
+        members = materialize(open_.join(went, "uid", "left_anti"), "open")
+    last = in_tasks(members.withColumn("label", F.lit(0).cast("long")))
+    return last if gone is None else gone.unionByName(last)
+
+
+def near_kept(edges: DataFrame, leaves: DataFrame | None, firsts: DataFrame) -> DataFrame:
+    """(uid, near): the lines of firsts (uid, at) that go, each with a line within the edits of it that stays.
+
+    In corpus order a line stays unless one that stays is joined to it, by an edge (a, b) or in a leaf (g, uid, host).
+    """
+    labels = components(edges)
+    pair = F.xxhash64(F.lit("pair"), "a", "b").alias("g")
+    groups = edges.select(pair, F.explode(F.array("a", "b")).alias("uid"), F.lit(True).alias("host"))
+    if leaves is not None:
+        groups = groups.unionByName(leaves.select("g", "uid", "host"))
+    members = materialize(groups.join(labels.withColumnRenamed("node", "uid"), "uid").join(firsts.select("uid", "at"), "uid"), "members")
+    large = materialize(members.groupBy("label").count().where(F.col("count") > IN_TASK).select("label"), "large")
+    gone = in_tasks(members.join(large, "label", "left_anti"))
+    if not large.isEmpty():
+        gone = gone.unionByName(in_rounds(members.join(large, "label", "left_semi")))
+    gone = materialize(gone, "gone")
+    forget(labels, members, large)
+    return gone
+
+
+def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+    """(uid, at) of the different lines that stay; at is the line's first place in the corpus.
+
+    docs has doc_id, text, k1 and k2. Equal lines are one line. In corpus order a line of at least min_chars code
+    points goes if it is within so many edits of one that stays; each that goes has been compared with such a one.
     """
     rows = line_rows(docs, edits, min_chars, exact_chars)
     firsts = rows.groupBy("d1", "d2").agg(F.min(line_order()).alias("at"), F.first("keys").alias("keys"))
@@ -308,41 +400,45 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     found = buckets(members)
     wanted = materialize(firsts.join(found.select("uid").distinct(), "uid").select("uid", "at.k1", "at.k2", "at.pos"), "wanted")
     texts = materialize(line_texts(docs, wanted), "texts")
-    pairs, used = small_pairs(found), [found, wanted, texts]
+    pairs, leaves, used = small_pairs(found), None, [found, wanted]
     hot = found.where(F.col("n") > SMALL).withColumn("parts", F.lit(None).cast("array<int>"))
     while not hot.isEmpty():
         parts = materialize(split_members(hot, texts, edits), "parts")
-        pairs = pairs.union(leaf_pairs(parts.where("leaf")))
+        more = materialize(leaf_groups(parts), "leaves")
+        pairs = pairs.union(more.where("uid <> head").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")))
+        leaves = more if leaves is None else leaves.unionByName(more)
         inner = buckets(parts.where("not leaf").drop("leaf").distinct())
         pairs = pairs.union(small_pairs(inner))
         hot = inner.where(F.col("n") > SMALL).withColumn("probe", F.lit(None).cast("byte"))
-        used += [parts, inner]
-    labels = components(verified(pairs, texts, edits))
-    forget(*used)
-    named = firsts.select("uid", "at").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
-    return named.select("uid", "at", F.coalesce("label", "uid").alias("label"))
+        used += [parts, inner, more]
+    edges = materialize(verified(pairs, texts, edits), "edges")
+    gone = near_kept(edges, leaves, firsts)
+    sure = materialize(verified(gone.select(F.col("uid").alias("a"), F.col("near").alias("b")), texts, edits), "sure")
+    forget(*used, edges, gone, texts)
+    return firsts.select("uid", "at").join(sure.select(F.col("a").alias("uid")), "uid", "left_anti")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with repeated lines taken out of text, and columns n_lines and n_removed of struct line_dedup.
 
-    Of each class of lines that are equal, or of at least min_chars code points and linked by so many edits,
-    the first in the corpus stays (by doc_id, nulls last, then the text's hash and the line's number). Links
-    make chains: ends of a chain may differ by more. Lines under exact_chars code points always stay. Lines
-    end at a line feed. All rows stay; a row whose lines all went has an empty text. Null text stays null.
+    In the order of the corpus (by doc_id, nulls last, then the text's hash and the line's number) a line goes if an
+    equal one stays before it or, for at least min_chars code points, one that is within so many edits. Nothing goes
+    for being near a line that went. Lines under exact_chars code points always stay. Lines end at a line feed.
+    All rows stay; a row whose lines all went has an empty text. Null text stays null.
     Rows equal in doc_id and text count as one document, so each of them gets the same text. Other columns
     pass through as they are, one named line_dedup as line_dedup_input; an empty table gives an empty result.
 
     A hot line costs one row after partial aggregation. Buckets of more than SMALL lines are never
     expanded into pairs but split by further segments until they are small or differ in a few characters.
     With one edit that stays linear; with more, a family of lines meets again in several segments' buckets.
+    Which lines stay is decided component by component inside tasks; components of more than IN_TASK memberships
+    are decided in rounds over the whole table.
     """
     docs = renamed(docs, "line_dedup")
     names = docs.columns
     keyed = document_keys(docs.select("doc_id", "text"))
-    lines = line_classes(keyed, edits, min_chars, exact_chars)
-    first = lines.groupBy("label").agg(F.min("at").alias("at"))
-    kept = materialize(first.groupBy("at.k1", "at.k2").agg(F.collect_list("at.pos").alias("kept")), "kept")
+    lines = kept_lines(keyed, edits, min_chars, exact_chars)
+    kept = materialize(lines.groupBy("at.k1", "at.k2").agg(F.collect_list("at.pos").alias("kept")), "kept")
     whole = document_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")))
     joined = whole.join(kept, ["k1", "k2"], "left").withColumn("s", F.split("text", "\n"))
     short = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.char_length(F.get("s", i)) < exact_chars)
