@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacksift.functions.text import report_date
+from stacksift.sources.staging import staging_folder, written_table
 
 
 def first_wins(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
@@ -69,6 +70,55 @@ def star_state(observations: DataFrame) -> DataFrame:
     )
 
 
+def fold_star_state(state: DataFrame, observations: DataFrame) -> DataFrame:
+    """WN-04 as a fold: the state after more observations, from the state before and these alone.
+
+    state has star_state()'s columns and first_event and last_event, the event_ids of both sightings; begin with
+    empty_star_state(). Folding in parts gives star_state() of all, in whatever order the parts come, as long as
+    none holds a row earlier than a repository's first sighting. One row per repository is joined and written.
+    """
+    latest = [c for c in ("name", "owner", "url") if c in observations.columns]
+    at = F.struct("observed_at", "event_id")
+    known = state.select("repo_id", F.struct(*[c for c in state.columns if c != "repo_id"]).alias("old"))
+    begun = observations.groupBy("repo_id").agg(F.min(F.struct("observed_at", "event_id", "stars")).alias("_f")).join(known, "repo_id", "left")
+    given = F.struct(F.col("old.first_seen_at").alias("observed_at"), F.col("old.first_event").alias("event_id"), F.col("old.first_seen_stars").alias("stars"))
+    firsts = begun.select("repo_id", F.when(F.col("old").isNotNull(), given).otherwise(F.col("_f")).alias("first"))
+    seen = observations.join(firsts, "repo_id")
+    later = at > F.struct("first.observed_at", "first.event_id")
+    double = later & (F.col("stars") >= 2 * F.col("first.stars")) & (F.col("observed_at") <= F.col("first.observed_at") + F.expr("interval 7 days"))
+    ten = later & (F.col("stars") >= 10 * F.col("first.stars"))
+    news = seen.groupBy("repo_id").agg(
+        F.first("first").alias("first"),
+        F.max(F.struct("observed_at", "event_id", "stars", *latest)).alias("last"),
+        F.min(F.when(double, F.col("observed_at"))).alias("double"),
+        F.min(F.when(ten, F.col("observed_at"))).alias("ten"),
+    )
+    both = news.join(known, "repo_id", "full_outer")
+    newer = F.col("old").isNull() | (F.struct("last.observed_at", "last.event_id") > F.struct(F.col("old.last_seen_at").alias("observed_at"), F.col("old.last_event").alias("event_id")))
+    last = lambda new, old: F.when(F.col("last").isNotNull() & newer, F.col(f"last.{new}")).otherwise(F.col(f"old.{old}"))
+    return both.select(
+        "repo_id",
+        F.coalesce("old.first_seen_at", "first.observed_at").alias("first_seen_at"),
+        F.coalesce("old.first_seen_stars", "first.stars").alias("first_seen_stars"),
+        last("observed_at", "last_seen_at").alias("last_seen_at"),
+        last("stars", "last_seen_stars").alias("last_seen_stars"),
+        F.least("old.double_alerted_at", "double").alias("double_alerted_at"),
+        F.least("old.ten_x_alerted_at", "ten").alias("ten_x_alerted_at"),
+        *[last(c, c).alias(c) for c in latest],
+        F.coalesce("old.first_event", "first.event_id").alias("first_event"),
+        last("event_id", "last_event").alias("last_event"),
+    )
+
+
+def empty_star_state(observations: DataFrame) -> DataFrame:
+    """The state before any observation."""
+    kind = dict(observations.dtypes)
+    at, stars, event = kind["observed_at"], kind["stars"], kind["event_id"]
+    columns = {"repo_id": kind["repo_id"], "first_seen_at": at, "first_seen_stars": stars, "last_seen_at": at, "last_seen_stars": stars, "double_alerted_at": at, "ten_x_alerted_at": at}
+    columns |= {c: kind[c] for c in ("name", "owner", "url") if c in kind} | {"first_event": event, "last_event": event}
+    return observations.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
 def trending_limit(df: DataFrame, n: int = 25, min_stars: int = 1000, page: str = "page_id", order: Sequence[str] = ("pos",)) -> DataFrame:
     """WN-05: the first n repositories of each page above the star limit; n <= 0: all. A repeated id counts as seen before its stars are looked at."""
     once = df.withColumn("_rn", F.row_number().over(Window.partitionBy(page, "repo_id").orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -103,15 +153,34 @@ def latest_order() -> list[Column]:
 
 
 def ranked(df: DataFrame, order: list[Column], day: str) -> DataFrame:
-    """df with rank_in_day from 1: ranks are taken inside a day, never over everything."""
-    return df.withColumn("rank_in_day", F.row_number().over(Window.partitionBy(day).orderBy(*order)))
+    """df with rank_in_day from 1, exact also where one day holds most rows.
+
+    Rows are put in ranges of (day, order) of near equal size, sorted in each, and numbered there; a row's rank is
+    its number among its day's in its range, and the day's rows in the ranges before. The ranges are written as a
+    table of the shared folder, so that a lost executor cannot move their bounds; they are shuffled once. What is
+    joined to them has one row per day and range. order must end in a unique key.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ranges = df.repartitionByRange(parts, day, *order).sortWithinPartitions(day, *order)
+    numbered = sorted_ranges.withColumn("_at", F.monotonically_increasing_id())  # the range's number and the place in it
+    table = written_table(numbered, staging_folder(spark, "ranks")).withColumn("_range", F.shiftright("_at", 33))
+    each = table.groupBy(F.col(day).alias("_day"), F.col("_range").alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_day").orderBy("_of")) - F.col("_n")
+    begins = each.select("_day", "_of", (F.col("_first") - before - 1).alias("_base"))
+    placed = table.join(begins, F.col(day).eqNullSafe(F.col("_day")) & (F.col("_range") == F.col("_of")))
+    return placed.select(*df.columns, (F.col("_at") - F.col("_base")).cast("int").alias("rank_in_day"))
 
 
 def page(df: DataFrame, order: list[Column], day: str, number: int, size: int = 30) -> DataFrame:
-    """SO-05: the number-th page (from 1) of each day's list, with n_pages."""
-    whole = Window.partitionBy(day)
-    counted = ranked(df, order, day).withColumn("n_pages", F.ceil(F.count("*").over(whole) / size))
-    return counted.where(F.col("rank_in_day").between((number - 1) * size + 1, number * size))
+    """SO-05: the number-th page (from 1) of each day's list, with n_pages.
+
+    Only rows up to the page's end are ranked: every task cuts a day's list there before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(day).orderBy(*order))
+    first = df.withColumn("rank_in_day", place).where(F.col("rank_in_day") <= number * size).where(F.col("rank_in_day") > (number - 1) * size)
+    pages = df.groupBy(F.col(day).alias("_day")).agg(F.ceil(F.count("*") / size).alias("n_pages"))
+    return first.join(pages, F.col(day).eqNullSafe(F.col("_day"))).drop("_day")
 
 
 def latest_day(df: DataFrame, day: str) -> DataFrame:

@@ -9,6 +9,7 @@ from stacksift.functions.text import parse_request_title, report_date
 from stacksift.operators import aggregates, filters, joins, ranking, sets
 from stacksift.plans.registry import Registry
 from stacksift.plans.views import Inputs
+from stacksift.sources.staging import staging_folder, written_table
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -230,12 +231,25 @@ def wn03(x):
     return ranking.star_alerts(x.view("f_observation")).select("event_id", "repo_id", "stars", "first_stars", "is_new", "double_alert", "ten_x_alert")
 
 
-@R.add("wn04_star_state", f"""SELECT repo_id, min(observed_at) AS first_seen_at, arg_min(stars, (observed_at, event_id)) AS first_seen_stars, max(observed_at) AS last_seen_at,
-    arg_max(stars, (observed_at, event_id)) AS last_seen_stars, min(observed_at) FILTER (double_alert) AS double_alerted_at, min(observed_at) FILTER (ten_x_alert) AS ten_x_alerted_at, concat('Repo ', CAST(arg_max(event_id, (observed_at, event_id)) AS STRING)) AS name FROM ({ALERTS}) GROUP BY repo_id""")
+STATE = f"""SELECT repo_id, min(observed_at) AS first_seen_at, arg_min(stars, (observed_at, event_id)) AS first_seen_stars, max(observed_at) AS last_seen_at,
+    arg_max(stars, (observed_at, event_id)) AS last_seen_stars, min(observed_at) FILTER (double_alert) AS double_alerted_at, min(observed_at) FILTER (ten_x_alert) AS ten_x_alerted_at, concat('Repo ', CAST(arg_max(event_id, (observed_at, event_id)) AS STRING)) AS name FROM ({ALERTS}) GROUP BY repo_id"""
+
+
+@R.add("wn04_star_state", STATE)
 def wn04(x):
     return ranking.star_state(x.view("f_observation").withColumn("name", F.concat(F.lit("Repo "), F.col("event_id").cast("string"))))
 
 
+@R.add("wn04_folded_state", STATE)
+def wn04_folded(x):
+    rows = x.view("f_observation").withColumn("name", F.concat(F.lit("Repo "), F.col("event_id").cast("string")))
+    state, weeks = ranking.empty_star_state(rows), rows.select(F.date_trunc("week", "observed_at").alias("w")).distinct()
+    for week in sorted(r["w"] for r in weeks.collect()):
+        folded = ranking.fold_star_state(state, rows.where(F.date_trunc("week", "observed_at") == F.lit(week)))
+        state = written_table(folded, staging_folder(x.spark, "star-state"))
+    return state.drop("first_event", "last_event")
+
+
 @R.add("wn05_trending_limit", """SELECT page_id, event_id, repo_id, stars FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY event_id) AS rp FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id, repo_id ORDER BY event_id) AS rn FROM (SELECT *, CAST(observed_at AS DATE) AS page_id FROM f_observation)) WHERE rn = 1 AND stars > 1000) WHERE rp <= 25""")
 def wn05(x):

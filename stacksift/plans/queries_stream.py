@@ -16,7 +16,7 @@ from stacksift.plans.registry import Registry
 from stacksift.plans.views import Inputs
 from stacksift.sources import daylog
 from stacksift.sources.staging import staging_folder
-from stacksift.streaming import jobs
+from stacksift.streaming import alerts, jobs
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -48,8 +48,11 @@ def str01(x):
 
 @R.add("str02_stream_star_alerts", f"SELECT event_id, repo_id, stars, is_new, double_alert, ten_x_alert FROM (SELECT *, rn = 1 AS is_new FROM ({ALERTS})) WHERE is_new OR double_alert OR ten_x_alert")
 def str02(x):
+    alerts.use_rocksdb(x.spark)
     rows = x.view("f_observation").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    return drained(x, jobs.stream_star_alerts(as_stream(x, rows))).select("event_id", "repo_id", "stars", "is_new", "double_alert", "ten_x_alert")
+    end = rows.agg(F.max("observed_at").alias("e")).select(F.lit(-1).cast("long").alias("event_id"), F.lit("~").alias("repo_id"), (F.col("e") + F.make_interval(days=F.lit(30))).alias("observed_at"), F.lit(0).cast("long").alias("stars"))
+    found = drained(x, alerts.stream_star_alerts(as_stream(x, rows.unionByName(end))))  # the last row closes the stream
+    return found.where("repo_id <> '~' and not late").select("event_id", "repo_id", "stars", "is_new", "double_alert", "ten_x_alert")
 
 
 @R.add("str03_stream_daily_upsert", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.analysis_status = 'success' THEN o.tracking_score ELSE n.tracking_score END AS tracking_score,

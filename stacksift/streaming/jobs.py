@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stacksift.operators.joins import upsert_keep_success
 from stacksift.sources import daylog
@@ -21,40 +16,6 @@ def stream_new_items(items: DataFrame, at: str = "first_seen", days: int = 30) -
     return items.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(["id"])
 
 
-ALERTS = "repo_id string, event_id long, observed_at timestamp, stars long, is_new boolean, double_alert boolean, ten_x_alert boolean"
-STATE = "first_at timestamp, first_stars long, double_done boolean, ten_done boolean"
-
-
-def stream_star_alerts(observations: DataFrame) -> DataFrame:
-    """STR-02: alerts of star_alerts() from a stream of (repo_id, event_id, observed_at timestamp, stars).
-
-    State, one small row per repository, never expires. Rows of a micro-batch are put in time order per
-    repository; disorder across micro-batches is not supported. Of a repository's rows only those are held
-    that have more stars than all before them: no other can be the first to reach a bound.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = None
-        for b in batches:
-            rows = (b if rows is None else pd.concat([rows, b])).sort_values(["observed_at", "event_id"]).reset_index(drop=True)
-            rows = rows[(rows["stars"] > rows["stars"].cummax().shift()) | (rows.index == 0)]
-        first_at, first_stars, double_done, ten_done = state.get if state.exists else (None, None, False, False)
-        out = []
-        for event, at, stars in zip(rows["event_id"], rows["observed_at"], rows["stars"], strict=True):
-            new = first_at is None
-            if new:
-                first_at, first_stars = at, stars
-            double = not new and not double_done and stars >= 2 * first_stars and at <= first_at + timedelta(days=7)
-            ten = not new and not ten_done and stars >= 10 * first_stars
-            double_done, ten_done = bool(double_done or double), bool(ten_done or ten)
-            if new or double or ten:
-                out.append((key[0], event, at, stars, new, bool(double), bool(ten)))
-        state.update((pd.Timestamp(first_at).to_pydatetime(), int(first_stars), double_done, ten_done))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
-
-    return observations.groupBy("repo_id").applyInPandasWithState(step, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_daily_upsert(items: DataFrame, path: str, checkpoint: str, schema: T.StructType, name: str = "daily", order: str = "arrival") -> StreamingQuery:
     """STR-03: merges each micro-batch into its days under path, keeping finished analyses.
 

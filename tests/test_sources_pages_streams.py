@@ -153,21 +153,6 @@ def finish(query):
     assert not query.isActive and query.exception() is None
 
 
-@pytest.fixture
-def observed(spark):
-    rows = [(k, f"r{k % 3}", datetime(2024, 1, 1 + k), 100 * (1 + k * (k % 4))) for k in range(24)]
-    return spark.createDataFrame(rows, "event_id long, repo_id string, observed_at timestamp, stars long")
-
-
-def test_stream_star_alerts_equal_batch(spark, observed, tmp_path):
-    for part in range(2):
-        observed.where(f"event_id div 12 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(observed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    finish(jobs.stream_star_alerts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    want = ranking.star_alerts(observed).where("is_new or double_alert or ten_x_alert").select("event_id", "is_new", "double_alert", "ten_x_alert")
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
-
-
 def test_stream_new_items_equal_batch(spark, tmp_path):
     rows = [(f"i{k % 5}", k, datetime(2024, 1, 1, k)) for k in range(20)]
     df = spark.createDataFrame(rows, "id string, n long, first_seen timestamp")
