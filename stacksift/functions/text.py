@@ -118,6 +118,12 @@ def normalize_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def titles_agree(a: Column, b: Column) -> Column:
+    """JN-04's rule for one pair: normalised titles are equal or one contains the other; empty ones never agree."""
+    x, y = F.coalesce(normalize_title(a), F.lit("")), F.coalesce(normalize_title(b), F.lit(""))
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
 def parse_date_multi(c: Column, formats: Sequence[str], fallback: Column) -> Column:
     """FN-08: the first of the formats that fits, else the fallback."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats], fallback)

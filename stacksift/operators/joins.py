@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacksift.functions.text import normalize_title, text_or_null
+from stacksift.functions.text import normalize_title, text_or_null, titles_agree
 from stacksift.operators.filters import score_gate
 
 
@@ -33,7 +33,9 @@ def enrich_signals(papers: DataFrame, s2: DataFrame, code: DataFrame, graph: Dat
     """JN-03: papers with their signals s2, code and graph (structs, null where there is none) and sources.
 
     Signal tables have a paper_id, one row per paper. Citation and code signals belong to papers of the
-    preprint source only. An existing review column stays as it is but counts as a source only on request.
+    preprint source only. A graph hit with a title that does not agree with the paper's counts as none. An existing
+    review column stays as it is but counts as a source only on request. external_ids, where papers have it, gets the
+    paper's id and the ids of the signals.
     """
     own = F.coalesce("source", F.lit("arxiv")) == "arxiv"
 
@@ -43,6 +45,8 @@ def enrich_signals(papers: DataFrame, s2: DataFrame, code: DataFrame, graph: Dat
     out = papers
     for name, t, when in (("s2", s2, own), ("code", code, own), ("graph", graph, F.lit(True))):
         out = out.join(packed(t, name), "id", "left").withColumn(name, F.when(when, F.col(name)))
+    if "title" in graph.columns and "title" in papers.columns:
+        out = out.withColumn("graph", F.when(titles_agree(F.col("title"), F.col("graph.title")), F.col("graph")))
     names = [F.when(F.col("s2").isNotNull(), F.lit("semantic_scholar")), F.when(F.col("code").isNotNull(), F.lit("papers_with_code")), F.when(F.col("graph").isNotNull(), F.lit("openalex"))]
     if count_review_source and "review" in papers.columns:
         names.append(F.when(F.col("review").isNotNull(), F.lit("openreview")))

@@ -93,9 +93,11 @@ def ag05(x):
 NUMBER = "TRY_CAST(nullif(regexp_extract(rating, '-?\\d+(?:\\.\\d+)?', 0), '') AS DOUBLE)"
 
 
-@R.add("ag06_review_averages", f"SELECT forum_id, avg({NUMBER}) AS rating_avg, count({NUMBER}) AS review_count FROM f_reply WHERE kind = 'Official_Review' GROUP BY forum_id")
+@R.add("ag06_review_averages", f"""SELECT forum_id, avg({NUMBER}) AS rating_avg, round(avg(CASE WHEN p1 % 6 <> 0 THEN p2 % 5 + 1.5 END::DOUBLE), 6) AS confidence_avg, count({NUMBER}) AS review_count
+    FROM f_reply WHERE kind = 'Official_Review' GROUP BY forum_id""")
 def ag06(x):
-    return agg.review_averages(x.view("f_reply")).drop("confidence_avg")
+    sure = F.expr("CASE WHEN p1 % 6 <> 0 THEN concat(p2 % 5 + 1, '.5: fairly sure') WHEN p1 % 12 = 0 THEN 'not sure' END")
+    return agg.review_averages(x.view("f_reply").withColumn("confidence", sure)).withColumn("confidence_avg", F.round("confidence_avg", 6))
 
 
 @R.add("ag07_first_decision", "SELECT forum_id, arg_min(decision, (reply_pos, p1, p2, decision)) AS decision FROM f_reply WHERE kind = 'Decision' GROUP BY forum_id")
@@ -162,13 +164,15 @@ def ag16(x):
 ENTRY = "concat('https://arxiv.org/abs/24', CAST(issue_no % 10 AS STRING), CASE WHEN issue_no % 4 <> 0 THEN concat('v', CAST(1 + issue_no % 7 AS STRING)) ELSE '' END)"
 
 
-@R.add("ag17_latest_version", f"""SELECT paper_id, max(version) AS version FROM (SELECT split_part(split_part({ENTRY}, '/', 5), 'v', 1) AS paper_id,
-    coalesce(TRY_CAST(nullif(regexp_extract({ENTRY}, 'v(\\d+)$', 1), '') AS INT), 0) AS version FROM f_request) GROUP BY paper_id""")
+VERSIONED = f"""SELECT issue_no, {ENTRY} AS url, split_part(split_part({ENTRY}, '/', 5), 'v', 1) AS paper_id, coalesce(TRY_CAST(nullif(regexp_extract({ENTRY}, 'v(\\d+)$', 1), '') AS INT), 0) AS version FROM f_request"""
+
+
+@R.add("ag17_latest_version", f"SELECT paper_id, max(version) AS version, arg_max(url, (version, issue_no)) AS url, arg_max(issue_no, (version, issue_no)) AS issue_no FROM ({VERSIONED}) GROUP BY paper_id")
 def ag17(x):
     from stacksift.functions.text import arxiv_id, arxiv_version
 
-    rows = x.view("f_request").select(F.expr(ENTRY).alias("url"))
-    return agg.latest_version(rows, arxiv_id(F.col("url")), arxiv_version(F.col("url"))).select("paper_id", "version")
+    rows = x.view("f_request").select("issue_no", F.expr(ENTRY).alias("url"))
+    return agg.latest_version(rows, arxiv_id(F.col("url")), arxiv_version(F.col("url"))).select("paper_id", "version", "entry.url", "entry.issue_no")
 
 
 @R.add("so07_template_summary", f"""SELECT report_date, concat('今日共收录 ', CAST(total_papers AS STRING), ' 篇论文，', CAST(total_news AS STRING), ' 条热点资讯。热门领域：', coalesce(nullif(array_to_string(top, '、'), ''), '无'),

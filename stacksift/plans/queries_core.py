@@ -140,13 +140,30 @@ def signals(x: Inputs):
     return papers, s2, code, graph
 
 
-@R.add("jn03_enrich_signals", """SELECT p.id, concat_ws(',', CASE WHEN p.source = 'arxiv' AND s.paper_id IS NOT NULL THEN 'semantic_scholar' END,
-    CASE WHEN p.source = 'arxiv' AND r.paper_id IS NOT NULL THEN 'papers_with_code' END, CASE WHEN g.paper_id IS NOT NULL THEN 'openalex' END) AS sources
+#: Identifiers that papers come with, and what the signals say; a third of the graph titles belong to other papers.
+WITH_IDS = "CASE WHEN cast(id as bigint) % 4 <> 0 THEN concat('2501.', id) WHEN cast(id as bigint) % 8 = 0 THEN '' END"
+GRAPH_TITLE = "CASE cast({id} as bigint) % 6 WHEN 0 THEN concat('PAPER: ', {id}, '!') WHEN 1 THEN concat('On paper ', {id}, ' and others') WHEN 2 THEN 'another title' WHEN 3 THEN '' ELSE concat('Paper ', {id}) END"
+AGREES = "(CAST(g.paper_id AS BIGINT) % 6 NOT IN (2, 3))"
+
+
+@R.add("jn03_enrich_signals", f"""SELECT p.id, concat_ws(',', CASE WHEN p.source = 'arxiv' AND s.paper_id IS NOT NULL THEN 'semantic_scholar' END,
+    CASE WHEN p.source = 'arxiv' AND r.paper_id IS NOT NULL THEN 'papers_with_code' END, CASE WHEN {AGREES} THEN 'openalex' END, CASE WHEN p.source = 'openreview' AND v.forum_id IS NOT NULL THEN 'openreview' END) AS sources,
+    CASE WHEN CAST(id AS BIGINT) % 4 <> 0 THEN concat('2501.', id) ELSE id END AS arxiv_id, concat('doi', id) AS doi, CASE WHEN p.source = 'arxiv' AND s.paper_id IS NOT NULL THEN concat('S', p.id) ELSE concat('old', p.id) END AS scholar_id,
+    CASE WHEN {AGREES} THEN concat('W', g.paper_id) END AS graph_id, CASE WHEN {AGREES} THEN CAST(g.paper_id AS BIGINT) % 9 END AS cited_by_count, CASE WHEN p.source = 'arxiv' THEN s.citation_count END AS citation_count, CASE WHEN p.source = 'arxiv' THEN r.n END AS repos
     FROM f_paper p LEFT JOIN f_signal s ON s.paper_id = p.id
-    LEFT JOIN (SELECT DISTINCT paper_id FROM f_repo) r ON r.paper_id = p.id
-    LEFT JOIN (SELECT DISTINCT paper_id FROM f_institution) g ON g.paper_id = p.id""")
+    LEFT JOIN (SELECT paper_id, count(*) AS n FROM f_repo GROUP BY paper_id) r ON r.paper_id = p.id
+    LEFT JOIN (SELECT DISTINCT paper_id FROM f_institution) g ON g.paper_id = p.id
+    LEFT JOIN (SELECT DISTINCT forum_id FROM f_reply) v ON v.forum_id = p.id""")
 def jn03(x):
-    return joins.enrich_signals(*signals(x)).select("id", F.array_join("sources", ",").alias("sources"))
+    papers, s2, code, graph = signals(x)
+    old = F.struct(F.expr(WITH_IDS).alias("arxiv"), F.concat(F.lit("doi"), "id").alias("doi"), F.concat(F.lit("old"), "id").alias("semantic_scholar"), F.lit(None).cast("string").alias("openalex"))
+    graph = graph.withColumns({"title": F.expr(GRAPH_TITLE.format(id="paper_id")), "work_id": F.concat(F.lit("W"), "paper_id")})
+    found = joins.enrich_signals(papers.withColumn("external_ids", old), s2.withColumn("external_id", F.concat(F.lit("S"), "paper_id")), code, graph, count_review_source=True)
+    ids = F.col("external_ids")
+    return found.select(
+        "id", F.array_join("sources", ",").alias("sources"), ids["arxiv"].alias("arxiv_id"), ids["doi"].alias("doi"), ids["semantic_scholar"].alias("scholar_id"), ids["openalex"].alias("graph_id"),
+        "graph.cited_by_count", "s2.citation_count", "code.repos",
+    )
 
 
 NORM = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
@@ -174,18 +191,25 @@ def jn06(x):
     return joins.overlay_results(x.view("f_paper").where("primary_category <> 'cs.CV'").select(*c), done)
 
 
-@R.add("jn07_attach_source", "SELECT id, source_name, CASE source_name WHEN 'src0' THEN 'Zero' WHEN 'src1' THEN 'One' END AS company, CASE source_name WHEN 'src0' THEN 'rss' WHEN 'src1' THEN 'crawler' END AS fetch_type FROM f_news")
+#: A source dimension of all but every fifth source, with attributes that follow the source's number.
+NUMBER = "CAST(substring(source, 4) AS INT)"
+SOURCE_DIM = f"""SELECT DISTINCT source AS source_name, concat('Company ', CAST({NUMBER} % 3 AS STRING)) AS company, CASE WHEN {NUMBER} % 2 = 0 THEN 'rss' ELSE 'crawler' END AS fetch_type,
+    CASE WHEN {NUMBER} % 4 = 0 THEN 'zh' ELSE 'en' END AS source_language, CAST({NUMBER} % 10 AS DOUBLE) / 10 AS source_weight, concat('kind ', CAST({NUMBER} % 4 AS STRING)) AS category FROM documents WHERE {NUMBER} % 5 <> 4"""
+ATTRIBUTES = "company, fetch_type, source_language, source_weight, category"
+
+
+@R.add("jn07_attach_source", f"SELECT id, n.source_name, {ATTRIBUTES} FROM f_news n LEFT JOIN ({SOURCE_DIM}) d ON d.source_name = n.source_name")
 def jn07(x):
-    dim = x.spark.createDataFrame([("src0", "Zero", "rss"), ("src1", "One", "crawler")], "source_name string, company string, fetch_type string")
-    return joins.attach_source(x.view("f_news").select("id", "source_name"), dim)
+    dim = x.spark.sql(SOURCE_DIM.replace("FROM documents", "FROM {documents}"), documents=x.table("documents"))
+    return joins.attach_source(x.view("f_news").select("id", "source_name"), dim).select("id", "source_name", *ATTRIBUTES.split(", "))
 
 
 @R.add("jn08_enrich_details", """SELECT id, source_name, CASE WHEN rn <= 10 AND language NOT IN ('de', 'fr') THEN concat('T', CAST(doc_id AS STRING)) ELSE id END AS title,
-    CASE WHEN rn <= 10 AND language <> 'de' THEN 'C' ELSE 'old' END AS content
+    CASE WHEN rn <= 10 AND language <> 'de' AND content <> '' THEN content ELSE source_category END AS content
     FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY doc_id, id) AS rn FROM f_news)""")
 def jn08(x):
-    items = x.view("f_news").select("id", "doc_id", "url", "source_name", F.col("id").alias("title"), F.lit("old").alias("content"))
-    details = x.view("f_news").where("language <> 'de'").select("url", F.expr("CASE WHEN language = 'fr' THEN '' ELSE concat('T', doc_id) END").alias("title"), F.lit("C").alias("content"))
+    items = x.view("f_news").select("id", "doc_id", "url", "source_name", F.col("id").alias("title"), F.col("source_category").alias("content"))
+    details = x.view("f_news").where("language <> 'de'").select("url", F.expr("CASE WHEN language = 'fr' THEN '' ELSE concat('T', doc_id) END").alias("title"), "content")
     return joins.enrich_details(items, details, 10, "doc_id").select("id", "source_name", "title", "content")
 
 
@@ -317,6 +341,11 @@ def st04(x):
     return sets.expire_seen(x.view("f_fetched"), at("2024-02-01 00:00:00")).select("id", "first_seen")
 
 
+@R.add("st04_expired_count", "SELECT count(*) FILTER (first_seen >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY) AS kept, count(*) FILTER (first_seen < TIMESTAMP '2024-02-01' - INTERVAL 30 DAY) AS removed FROM f_fetched")
+def st04_count(x):
+    return sets.expired_count(x.view("f_fetched"), at("2024-02-01 00:00:00"))
+
+
 @R.add("st05_rejected", f"""SELECT id, tracking_score FROM f_paper WHERE id NOT IN (SELECT id FROM (
     SELECT *, row_number() OVER (PARTITION BY {SHANGHAI} ORDER BY tracking_score DESC, published DESC, id) AS rt FROM (
         SELECT *, row_number() OVER (PARTITION BY {SHANGHAI}, primary_category ORDER BY tracking_score DESC, published DESC, id) AS rc FROM f_paper WHERE tracking_score >= 70) WHERE rc <= 10)

@@ -32,12 +32,22 @@ def xml_files(x: Inputs, df: DataFrame, root: str, row: str) -> str:
     return path
 
 
-@R.add("src01_read_records", "SELECT id, CAST(tracking_score AS DOUBLE) AS tracking_score FROM f_paper WHERE CAST(id AS BIGINT) % 5 <> 0 AND tracking_score IS NOT NULL")
+@R.add("src01_read_records", """SELECT id, CAST(tracking_score AS DOUBLE) AS tracking_score, title FROM f_paper
+    WHERE CASE WHEN CAST(id AS BIGINT) // 500 % 2 = 0 THEN CAST(id AS BIGINT) % 5 <> 0 ELSE CAST(id AS BIGINT) // 100 % 7 <> 0 AND CAST(id AS BIGINT) % 9 <> 0 END""")
 def src01(x):
-    line = F.expr("CASE cast(id as bigint) % 10 WHEN 0 THEN concat('{\"tracking_score\": ', tracking_score, '}') WHEN 5 THEN '{broken' ELSE concat('{\"id\": \"', id, '\", \"tracking_score\": ', tracking_score, '}') END")
-    path = text_files(x, x.view("f_paper").where("tracking_score is not null").withColumn("value", line))
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("tracking_score", T.DoubleType())])
-    return records.read_records(x.spark, path, schema, arrays="*.none", lines="*.txt")
+    """Lines and arrays of a hundred ids each, some of them broken, in one folder."""
+    n = F.col("id").cast("bigint")
+    record = F.to_json(F.struct(F.when(n % 9 != 0, F.col("id")).alias("id"), F.col("tracking_score").cast("double").alias("tracking_score"), "title"))
+    whole = F.to_json(F.struct("id", F.col("tracking_score").cast("double").alias("tracking_score"), "title"))
+    papers, lines = x.view("f_paper"), F.floor(n / 500) % 2 == 0
+    line = F.when(n % 10 == 0, F.to_json(F.struct(F.col("tracking_score").cast("double").alias("tracking_score")))).when(n % 5 == 0, "{broken").otherwise(whole)
+    path = staging_folder(x.spark, "files")
+    papers.where(lines).select(line.alias("value")).write.option("compression", "gzip").text(path)
+    arrays = papers.where(~lines).groupBy(F.floor(n / 100).alias("g")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.when(F.col("g") % 7 == 0, ", {broken").otherwise("\n]")).alias("value"))
+    objects = papers.where(~lines).groupBy(F.floor(n / 1000).alias("g")).agg(F.lit('{"title": "an object instead of an array"}').alias("value"))
+    arrays.unionByName(objects).select("value").write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("tracking_score", T.DoubleType()), T.StructField("title", T.StringType())])
+    return records.read_records(x.spark, path, schema, arrays="*.txt", lines="*.txt.gz")
 
 
 @R.add("src02_read_atom_papers", """SELECT concat('2501.', id) AS id, title, concat('about ', source) AS abstract, concat('A ', id, ',B') AS authors, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN primary_category ELSE 'x.Y' END AS primary_category,
@@ -88,13 +98,29 @@ def src05(x):
     return found.select("id", "review.decision", "review.rating_avg", "review.review_count")
 
 
-@R.add("src06_normalize_signals", """SELECT paper_id, coalesce(citation_count, -1) AS citation_count, coalesce(stars, -1) AS stars FROM (SELECT paper_id, citation_count FROM f_signal WHERE CAST(paper_id AS BIGINT) % 3 <> 0) FULL OUTER JOIN (SELECT paper_id, CAST(sum(stars) AS BIGINT) AS stars FROM f_repo WHERE stars % 4 <> 0 GROUP BY paper_id) USING (paper_id)""")
+@R.add("src06_normalize_signals", """SELECT paper_id, coalesce(citation_count, -1) AS citation_count, coalesce(stars, -1) AS stars, coalesce(work_id, '-') AS work_id, coalesce(title, '-') AS title, coalesce(cited_by_count, -1) AS cited_by_count,
+    coalesce(fwci, -1) AS fwci, coalesce(institutions, '-') AS institutions, coalesce(topics, '-') AS topics, coalesce(source, '-') AS source
+    FROM (SELECT paper_id, citation_count FROM f_signal WHERE CAST(paper_id AS BIGINT) % 3 <> 0) FULL OUTER JOIN (SELECT paper_id, CAST(sum(stars) AS BIGINT) AS stars FROM f_repo WHERE stars % 4 <> 0 GROUP BY paper_id) USING (paper_id)
+    FULL OUTER JOIN (SELECT paper_id, concat('W', paper_id) AS work_id, concat('Work ', paper_id) AS title, CASE WHEN CAST(paper_id AS BIGINT) % 5 = 0 THEN 0 ELSE count(*) END AS cited_by_count,
+        CASE WHEN CAST(paper_id AS BIGINT) % 2 = 0 THEN CAST(paper_id AS BIGINT) / 2.0::DOUBLE END AS fwci, string_agg(DISTINCT institution, '|' ORDER BY institution) AS institutions,
+        concat('Topic ', CAST(CAST(paper_id AS BIGINT) % 3 AS STRING), '|Z') AS topics, CASE WHEN CAST(paper_id AS BIGINT) % 11 = 0 THEN 'Proc. ICLR' END AS source FROM f_institution WHERE CAST(paper_id AS BIGINT) % 13 <> 0 GROUP BY paper_id) USING (paper_id)""")
 def src06(x):
     cited = x.view("f_signal").select("paper_id", F.lit("citation").alias("kind"), F.to_json(F.struct(F.expr("CASE WHEN cast(paper_id as bigint) % 3 <> 0 THEN paper_id END").alias("paperId"), F.col("citation_count").alias("citationCount"))).alias("payload"))
     repo = F.struct(F.expr("CASE WHEN stars % 4 <> 0 THEN 'u' END").alias("url"), F.col("stars"))
     code = x.view("f_repo").groupBy("paper_id").agg(F.to_json(F.struct(F.collect_list(repo).alias("results"))).alias("payload")).select("paper_id", F.lit("code").alias("kind"), "payload")
-    citation, repos, _ = records.normalize_signals(cited.unionByName(code))
-    return citation.select("paper_id", F.col("citation_count").cast("bigint").alias("citation_count")).join(repos.groupBy("paper_id").agg(F.sum("stars").alias("stars")), "paper_id", "full_outer").fillna(-1)
+    n, named = F.col("paper_id").cast("bigint"), lambda c: F.struct(c.alias("display_name"))
+    places = x.view("f_institution").groupBy("paper_id").agg(F.count("*").alias("n"), F.collect_list(named(F.col("institution"))).alias("i"))
+    first = F.struct(
+        F.concat(F.lit("W"), "paper_id").alias("id"), F.concat(F.lit("Work "), "paper_id").alias("display_name"), F.when(n % 5 != 0, F.col("n")).alias("cited_by_count"), F.when(n % 2 == 0, n / 2).alias("fwci"),
+        F.array(F.struct(F.slice("i", 1, 1).alias("institutions")), F.struct(F.col("i").alias("institutions"))).alias("authorships"), named(F.concat(F.lit("Topic "), (n % 3).cast("string"))).alias("primary_topic"),
+        F.array(named(F.lit("Z")), named(F.concat(F.lit("Topic "), (n % 3).cast("string"))), named(F.lit(""))).alias("topics"), F.when(n % 11 == 0, F.struct(named(F.lit("Proc. ICLR")).alias("source"))).alias("primary_location"),
+    )
+    other = F.struct(F.lit("not the first").alias("id"), *[F.lit(None).cast(places.select(first.alias("f")).schema["f"].dataType[c].dataType).alias(c) for c in places.select(first.alias("f")).schema["f"].dataType.names[1:]])
+    works = places.select("paper_id", F.lit("graph").alias("kind"), F.to_json(F.struct(F.when(n % 13 != 0, F.array(first, other)).otherwise(F.array_except(F.array(first), F.array(first))).alias("results"))).alias("payload"))
+    citation, repos, graph = records.normalize_signals(cited.unionByName(code).unionByName(works))
+    listed = graph.select("paper_id", "work_id", "title", F.col("cited_by_count").cast("bigint").alias("cited_by_count"), "fwci", F.array_join("institutions", "|").alias("institutions"), F.array_join("topics", "|").alias("topics"), "source")
+    both = citation.select("paper_id", F.col("citation_count").cast("bigint").alias("citation_count")).join(repos.groupBy("paper_id").agg(F.sum("stars").alias("stars")), "paper_id", "full_outer")
+    return both.join(listed, "paper_id", "full_outer").fillna(-1).fillna("-")
 
 
 @R.add("src07_write_daily", """SELECT id, CAST(tracking_score AS DOUBLE) AS tracking_score, strftime(published, '%Y-%m') AS report_date FROM f_paper
@@ -120,17 +146,25 @@ def tx01(x):
 
 
 LINK = """concat('<a href="/p/', doc_id div 2, '"><h3> ', id, ' </h3><time>', date_format(published, 'MMM d, yyyy'), '</time><p>', source_name, '</p></a>')"""
-SELECTORS = [{"source_name": "even", "base": "a[href*='/p/']", "title": "h3, h2", "url": "", "date": "time, .date", "summary": "p", "site": "https://x.example", "formats": ["MMM d, yyyy"]}]
+SELECTORS = [
+    {"source_name": "even", "base": "a[href*='/p/']", "title": "h3, h2", "url": "", "date": "time, .date", "summary": "p", "site": "https://x.example", "formats": ["MMM d, yyyy"]},
+    {"source_name": "odd", "base": "div.item", "title": "h3", "url": "a", "date": "time", "summary": "p", "site": "https://y.example", "formats": ["yyyy", "MMM d, yyyy"]},
+]
 
 
-@R.add("tx02_listing_records", """SELECT page_id, substring(md5(url), 1, 16) AS id, title, url, published, summary FROM (SELECT doc_id // 20 AS page_id, id AS title, concat('https://x.example/p/', CAST(doc_id // 2 AS STRING)) AS url,
-    coalesce(CAST(CAST(published AS DATE) AS TIMESTAMP), TIMESTAMP '2000-01-01') AS published, source_name AS summary FROM f_news WHERE doc_id % 2 = 0 AND (doc_id // 20) % 2 = 0)""")
+@R.add("tx02_listing_records", """SELECT page_id, source_name, substring(md5(url), 1, 16) AS id, title, url, published, summary FROM (SELECT doc_id // 20 AS page_id, CASE WHEN (doc_id // 20) % 2 = 0 THEN 'even' ELSE 'odd' END AS source_name, id AS title,
+    concat(CASE WHEN (doc_id // 20) % 2 = 0 THEN 'https://x' ELSE 'https://y' END, '.example/p/', CAST(doc_id // 2 AS STRING)) AS url,
+    coalesce(CAST(CAST(published AS DATE) AS TIMESTAMP), TIMESTAMP '2000-01-01') AS published, source_name AS summary FROM f_news WHERE doc_id % 2 = 0)
+    WHERE source_name = 'even' OR contains(url, '/p/1') OR contains(url, '/p/3')""")
 def tx02(x):
+    """Pages of two sources: one whose items are links, one whose items hold a link and whose URLs must pass rules."""
     links = x.view("f_news").select(F.expr("doc_id div 20").alias("page_id"), "doc_id", F.expr(LINK).alias("link"))
-    pages = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "link"))).alias("c"))
+    item = F.when(F.col("page_id") % 2 == 0, F.col("link")).otherwise(F.concat(F.lit("<div class='item x'>"), F.col("link"), F.lit("</div>")))
+    pages = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("link")))).alias("c"))
     html = pages.select("page_id", F.expr("CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END").alias("source_name"), F.array_join(F.transform("c", lambda c: c["link"]), "\n").alias("html"))
-    found = sections.listing_records(html, SELECTORS, None, datetime(2000, 1, 1))
-    return found.select("page_id", "id", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "summary")
+    rules = x.spark.createDataFrame([("odd", ["/P/1", "/p/3"], True)], "source_name string, patterns array<string>, ignore_case boolean")
+    found = sections.listing_records(html, SELECTORS, rules, datetime(2000, 1, 1))
+    return found.select("page_id", "source_name", "id", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "summary")
 
 
 @R.add("ag15_fulltext_context", """SELECT paper_id, CASE WHEN length(t) > 20000 THEN concat(substring(t, 1, 20000), chr(10), chr(10), '...(内容已截断)') ELSE t END AS context FROM (

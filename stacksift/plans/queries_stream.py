@@ -22,11 +22,13 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 
-def as_stream(x: Inputs, df: DataFrame) -> DataFrame:
-    """df written as files and read back as a stream."""
+def as_stream(x: Inputs, *parts: DataFrame) -> DataFrame:
+    """The parts written as files one after the other and read back as a stream; more than one: a file at a time."""
     path = staging_folder(x.spark, "stream-in")
-    df.write.parquet(path)
-    return x.spark.readStream.schema(df.schema).parquet(path)
+    for df in parts:
+        df.write.mode("append").parquet(path)
+    reader = x.spark.readStream.schema(parts[0].schema)
+    return (reader.option("maxFilesPerTrigger", 1) if len(parts) > 1 else reader).parquet(path)
 
 
 def finished(query: StreamingQuery) -> None:
@@ -40,10 +42,15 @@ def drained(x: Inputs, stream: DataFrame) -> DataFrame:
     return x.spark.read.schema(stream.schema).parquet(out)
 
 
-@R.add("str01_stream_new_items", "SELECT DISTINCT CAST(user_id AS STRING) AS id FROM events")
+@R.add("str01_stream_new_items", "SELECT CAST(user_id AS STRING) AS id, 2 AS times FROM events GROUP BY user_id")
 def str01(x):
+    """All events, and all again 200 days later, when their ids have expired; two rows between push the watermark."""
     rows = x.table("events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("first_seen"))
-    return drained(x, jobs.stream_new_items(as_stream(x, rows))).select("id")
+    later = lambda df, days: df.withColumn("first_seen", F.col("first_seen") + F.make_interval(days=F.lit(days)))
+    newest = rows.agg(F.max("first_seen").alias("first_seen")).select(F.lit("~").alias("id"), "first_seen")
+    once = [p.coalesce(1) for p in (rows, later(newest, 90), later(newest, 91), later(rows, 200))]
+    found = drained(x, jobs.stream_new_items(as_stream(x, *once))).where("id <> '~'")
+    return found.groupBy("id").agg(F.count("*").cast("int").alias("times"))
 
 
 @R.add("str02_stream_star_alerts", f"SELECT event_id, repo_id, stars, is_new, double_alert, ten_x_alert FROM (SELECT *, rn = 1 AS is_new FROM ({ALERTS})) WHERE is_new OR double_alert OR ten_x_alert")

@@ -172,11 +172,11 @@ def fn18(x):
     return x.view("f_observation").select("event_id", block.alias("block"), found["title"].alias("title"), found["content"].alias("content"))
 
 
-@R.add("tx06_find_sections", """SELECT paper_id, sec_idx, heading, substring(body, 1, 4000) AS content FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY sec_idx) AS rn FROM f_section
+@R.add("tx06_find_sections", """SELECT paper_id, sec_idx, heading, substring(body, 1, 4000) AS content, length(body) > 4000 AS was_cut FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY sec_idx) AS rn FROM f_section
     WHERE contains(trim(regexp_replace(lower(heading), '\\s+', ' ', 'g')), 'result') OR contains(trim(regexp_replace(lower(heading), '\\s+', ' ', 'g')), 'findings') OR contains(trim(regexp_replace(lower(heading), '\\s+', ' ', 'g')), 'the re')) WHERE rn <= 3""")
 def tx06(x):
     rows = x.view("f_section").withColumns({"title": F.col("heading"), "paragraphs": F.array("body")})
-    return sections.find_sections(rows, "results", extra=["the re"]).select("paper_id", "sec_idx", "heading", "content")
+    return sections.find_sections(rows, "results", extra=["the re"]).select("paper_id", "sec_idx", "heading", "content", "was_cut")
 
 
 FOLLOWED = "CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) AS BIGINT) + 3 * (k - 1)"  # characters in front of the k-th hit

@@ -30,8 +30,8 @@ VIEWS = {
         CASE WHEN l.quality = 1 THEN concat('topic', CAST(d.doc_id % 6 AS STRING)) END AS analysis_category, concat('cat-', d.lang) AS source_category
         FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "f_fetched": """SELECT CAST(l.doc_id AS STRING) AS id, e.ts AS first_seen FROM labels l JOIN events e ON e.event_id = l.doc_id""",
-    "f_request": """SELECT conv_id AS issue_no, concat('[Analysis] 2501.', lpad(CAST(conv_id AS STRING), 5, '0'), CASE WHEN conv_id % 2 = 0 THEN 'v2' ELSE '' END, ': ', replace(text, chr(10), ' ')) AS title
-        FROM conversations WHERE turn = 0""",
+    "f_request": """SELECT conv_id * 1000 + turn AS issue_no, concat('[Analysis] 2501.', lpad(CAST(conv_id * 1000 + turn AS STRING), 12, '0'), CASE WHEN conv_id % 2 = 0 THEN 'v2' ELSE '' END, ': ', replace(text, chr(10), ' ')) AS title
+        FROM conversations""",
     "f_section": """SELECT CAST(floor(doc_id / 7) AS BIGINT) AS paper_id, doc_id AS sec_idx, 2 AS level, split_part(text, chr(10), 1) AS heading, text AS body FROM documents""",
     "f_title": """SELECT doc_id, text AS title FROM documents""",
     "f_work": """SELECT item_id AS work_id, text AS title FROM benchmark""",
