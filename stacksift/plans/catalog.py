@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from stacksift.plans import queries_agg, queries_core, queries_files, queries_stream, queries_text
+from stacksift.plans import queries_agg, queries_core, queries_files, queries_jobs, queries_stream, queries_text
 from stacksift.plans.views import with_views
 
-MODULES = (queries_core, queries_agg, queries_text, queries_files, queries_stream)
+MODULES = (queries_core, queries_agg, queries_text, queries_files, queries_stream, queries_jobs)
 
 
 def queries() -> dict:

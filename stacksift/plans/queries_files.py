@@ -194,9 +194,11 @@ def made_pages(x: Inputs) -> DataFrame:
 SECTIONED = f"""SELECT *, doc_id // 4 AS page_id, doc_id % 4 AS level, {PARAGRAPHS} AS ps FROM documents"""
 
 
-@R.add("tx03_fields_of_made_pages", "SELECT doc_id // 4 AS page_id, concat('Page ', CAST(doc_id // 4 AS STRING)) AS title, 'Jan 2, 2024' AS date FROM documents GROUP BY 1")
+@R.add("tx03_fields_of_made_pages", f"""SELECT page_id, concat('Page ', CAST(page_id AS STRING)) AS title, 'Jan 2, 2024' AS date,
+    trim(regexp_replace(concat('Page ', CAST(page_id AS STRING), ' Jan 2, 2024 ', string_agg(concat(CASE WHEN level > 0 THEN concat(CAST(level AS STRING), '.1 Part ', CAST(doc_id AS STRING), ' ') ELSE '' END, array_to_string(ps, ' ')), ' ' ORDER BY doc_id)), '\\s+', ' ', 'g')) AS content
+    FROM ({SECTIONED}) GROUP BY page_id""")
 def tx03_made(x):
-    return sections.detail_fields(made_pages(x)).select("page_id", "title", "date")
+    return sections.detail_fields(made_pages(x)).select("page_id", "title", "date", "content")
 
 
 @R.add("tx04_sections_of_made_pages", f"""SELECT a.page_id, a.level - 1 AS sec_idx, CASE WHEN a.level > 1 THEN a.level - 2 ELSE -1 END AS parent_idx, a.level + 1 AS level, concat(CAST(a.level AS STRING), '.1') AS number, concat('Part ', CAST(a.doc_id AS STRING)) AS title,
