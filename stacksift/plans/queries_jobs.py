@@ -19,26 +19,27 @@ QUERIES, ORACLE = R.queries, R.oracle
 
 HOURS = 5 * 365 * 24
 DAY = "strftime(CAST(published + INTERVAL 8 HOUR AS DATE), '%Y-%m-%d')"
+MONTH = DAY.replace("-%d", "")
 BEST = "tracking_score DESC, published DESC, id"
 
 
-@R.add("w1_track_papers", f"""WITH scored AS (SELECT p.* EXCLUDE (tracking_score), f.tracking_score, {DAY.replace('published', 'p.published')} AS day FROM ({FINAL}) f JOIN f_paper p ON p.id = f.id WHERE p.id NOT IN (SELECT id FROM f_fetched)
+@R.add("w1_track_papers", f"""WITH scored AS (SELECT p.* EXCLUDE (tracking_score), f.tracking_score, {DAY.replace('published', 'p.published')} AS day, {MONTH.replace('published', 'p.published')} AS month FROM ({FINAL}) f JOIN f_paper p ON p.id = f.id WHERE p.id NOT IN (SELECT id FROM f_fetched)
         AND (p.source = 'openreview' OR (p.primary_category IN {IN_CATEGORIES} AND greatest(p.published, p.updated) >= TIMESTAMP '{NOW}' - INTERVAL {HOURS} HOUR))),
     kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {BEST}) AS rt FROM (SELECT *, row_number() OVER (PARTITION BY day, primary_category ORDER BY {BEST}) AS rc FROM scored WHERE tracking_score >= 40) WHERE rc <= 1) WHERE rt <= 2),
-    old AS (SELECT id, {DAY} AS day FROM f_paper WHERE CAST(id AS BIGINT) % 50 = 0)
+    old AS (SELECT id, {MONTH} AS month FROM f_paper WHERE CAST(id AS BIGINT) % 50 = 0)
     SELECT coalesce(o.id, k.id) AS id, CASE WHEN o.id IS NOT NULL THEN 'old' ELSE k.title END AS title, CASE WHEN o.id IS NOT NULL THEN 1.0::DOUBLE ELSE k.tracking_score END AS tracking_score,
-        CASE WHEN o.id IS NOT NULL THEN 'success' ELSE 'pending' END AS analysis_status, coalesce(o.day, k.day) AS report_date FROM old o FULL OUTER JOIN kept k ON k.id = o.id""")
+        CASE WHEN o.id IS NOT NULL THEN 'success' ELSE 'pending' END AS analysis_status, coalesce(o.month, k.month) AS report_date FROM old o FULL OUTER JOIN kept k ON k.id = o.id""")
 def w1(x):
-    """Every feed paper comes twice, every fiftieth is in its day already with its analysis; the caps are small, so that they bind."""
+    """Years of days, in folders of months: every feed paper comes twice, every fiftieth is there already with its analysis; the caps are small, so that they bind."""
     papers, s2, code, graph = signals(x)
     papers = papers.drop("tracking_score", "analysis_status")
     feed = papers.where("source = 'arxiv'")
     twice = feed.withColumn("arrival", F.lit(1)).unionByName(feed.withColumns({"title": F.lit("a copy"), "arrival": F.lit(2)}))
-    path, day = staging_folder(x.spark, "papers"), workflows.day_text().alias("report_date")
+    path, month = staging_folder(x.spark, "papers"), workflows.day_text("yyyy-MM").alias("report_date")
     old = x.view("f_paper").where("cast(id as bigint) % 50 = 0")
-    daylog.publish(old.select("id", "source", F.lit("old").alias("title"), "primary_category", F.col("published").cast("timestamp").alias("published"), F.lit(1.0).alias("tracking_score"), F.lit("success").alias("analysis_status"), day), path)
+    daylog.publish(old.select("id", "source", F.lit("old").alias("title"), "primary_category", F.col("published").cast("timestamp").alias("published"), F.lit(1.0).alias("tracking_score"), F.lit("success").alias("analysis_status"), month), path)
     tracker = x.view("f_fetched").withColumn("kind", F.lit("papers"))
-    workflows.track_papers(twice, papers.where("source = 'openreview'"), tracker, workflows.Signals(s2, code, graph), path, CATEGORIES, at(NOW), HOURS, 40.0, 1, 2)
+    workflows.track_papers(twice, papers.where("source = 'openreview'"), tracker, workflows.Signals(s2, code, graph), path, CATEGORIES, at(NOW), HOURS, 40.0, 1, 2, folder="yyyy-MM")
     return daylog.read_days(x.spark, path, workflows.T.StructType.fromDDL(workflows.PAPER)).select("id", "title", "tracking_score", "analysis_status", "report_date")
 
 

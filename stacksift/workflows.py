@@ -43,8 +43,9 @@ class Outcome:
     rejected: DataFrame
 
 
-def day_text(published: str = "published") -> Column:
-    return F.date_format(report_date(F.col(published)), "yyyy-MM-dd")
+def day_text(pattern: str = "yyyy-MM-dd") -> Column:
+    """The folder of a row: its Asia/Shanghai day, or month where a run covers years."""
+    return F.date_format(report_date(F.col("published")), pattern)
 
 
 def merged_into_days(rows: DataFrame, path: str, schema: str) -> daylog.Commit:
@@ -61,7 +62,7 @@ def merged_into_days(rows: DataFrame, path: str, schema: str) -> daylog.Commit:
 
 def track_papers(
     papers: DataFrame, reviews: DataFrame, tracker: DataFrame, signals: Signals, path: str, categories: Sequence[str], now: Column,
-    hours: int = 25, min_score: float = 70.0, per_category: int = 10, total: int = 30, tracker_days: int = 30, order: str = "arrival",
+    hours: int = 25, min_score: float = 70.0, per_category: int = 10, total: int = 30, tracker_days: int = 30, order: str = "arrival", folder: str = "yyyy-MM-dd",
 ) -> Outcome:
     """W1: new papers of the feeds and of review sites, scored, capped per day and merged into their days.
 
@@ -69,23 +70,24 @@ def track_papers(
     review. tracker: (kind, id, first_seen) of papers. Feed papers must be of a configured category and recent; review
     papers need not. Papers with a score are tracked from now on whether they are kept or not; those without one are
     tried again by a later run. Signals are joined and scores worked out once, in a table of the shared folder.
+    folder: the pattern of a row's folder; caps are per day whatever it is.
     """
     known = sets.expire_seen(tracker, now, tracker_days)
     once = ranking.first_wins(papers, "id", order).drop(order)
     recent = filters.recent_papers(filters.target_categories(once, categories), now, hours)
     fresh = sets.union_sources(joins.drop_seen(recent, known), joins.drop_seen(reviews, known)).drop("batch")
     scored = score.scored(joins.enrich_signals(fresh, signals.s2, signals.code, signals.graph), now)
-    rows = scored.select("id", "source", "title", "primary_category", "published", "tracking_score", "quality_reasons").withColumn(daylog.DAY, day_text())
+    rows = scored.select("id", "source", "title", "primary_category", "published", "tracking_score", "quality_reasons").withColumns({"day": report_date(F.col("published")), daylog.DAY: day_text(folder)})
     table = written_table(rows, staging_folder(papers.sparkSession, "scored"))
-    kept = ranking.capped_top_k(table, min_score, per_category, total, daylog.DAY)
-    commit = merged_into_days(kept.drop("quality_reasons"), path, PAPER)
+    kept = ranking.capped_top_k(table, min_score, per_category, total, "day")
+    commit = merged_into_days(kept.drop("quality_reasons", "day"), path, PAPER)
     marked, _ = filters.markable_ids(table)
     return Outcome(commit, sets.mark_seen(known, marked, "papers", now), sets.rejected(table, kept))
 
 
 def track_news(
     items: Sequence[DataFrame], details: DataFrame, observations: DataFrame, sources: DataFrame, tracker: DataFrame, path: str, now: Column,
-    hours: int = 168, details_per_source: int = 10, tracker_days: int = 30,
+    hours: int = 168, details_per_source: int = 10, tracker_days: int = 30, folder: str = "yyyy-MM-dd",
 ) -> Outcome:
     """W2: news of feeds, pages and star alerts, cleaned of repeats and merged into their days.
 
@@ -100,7 +102,7 @@ def track_news(
     once = ranking.first_wins(recent, "id", "batch", "pos", "url")
     fresh = joins.enrich_details(joins.drop_seen(once, known), details, details_per_source)
     weighed = joins.attach_source(fresh, sources).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    rows = weighed.select("id", "title", "url", "source_name", "published", "weight", "content").withColumn(daylog.DAY, day_text())
+    rows = weighed.select("id", "title", "url", "source_name", "published", "weight", "content").withColumn(daylog.DAY, day_text(folder))
     table = written_table(rows, staging_folder(details.sparkSession, "news"))
     commit = merged_into_days(table, path, NEWS)
     return Outcome(commit, sets.mark_seen(known, table, "news", now), sets.rejected(batches, table))
