@@ -95,6 +95,13 @@ def fulltext_stats(sections: DataFrame) -> DataFrame:
     return counted.select("paper_id", "n_sections", "n_paragraphs", (F.col("n_sections") + F.col("n_paragraphs")).alias("blocks"), *(["html_chars"] if size else []))
 
 
+def outline_stats(outlines: DataFrame) -> DataFrame:
+    """AG-10 from page_outlines(): spans are counted, paragraphs not looked at; pages that failed are left out."""
+    summed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    counted = outlines.where("not failed").select("page_id", F.size("spans").cast("long").alias("n_sections"), summed.alias("n_paragraphs"), "html_chars")
+    return counted.withColumn("blocks", F.col("n_sections") + F.col("n_paragraphs"))
+
+
 #: Ranks per chunk of a context: a hot day then is several rows, none of which grows with the day.
 CHUNK = 200
 

@@ -20,7 +20,7 @@ TRENDING = "page_id long, pos int, owner string, name string, description string
 
 def per_page(pages: DataFrame, schema: str, rows: Any) -> DataFrame:
     """rows(page_id, html) -> tuples of schema, for every page, in Arrow batches."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,27 +102,54 @@ def detail_fields(pages: DataFrame, base: str = "main, article", title: str = "h
 
 
 def outline(html: str | None) -> tuple[list[str], list[list]]:
-    """(front paragraphs, sections [level, heading, paragraphs, parent]): one pass with a stack of open sections."""
-    front: list[str] = []
+    """(paragraphs, sections [parent, level, heading, first, last]): one pass with a stack of open sections.
+
+    A section's paragraphs are those from first to last (not with it), its sub-sections' among them.
+    """
+    paragraphs: list[str] = []
     sections: list[list] = []
     open_: list[int] = []
     root = htmltree.content_root(htmltree.parse(html))
     for node in root.walk():
         if len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1] in "23456":
             level = int(node.tag[1])
-            while open_ and sections[open_[-1]][0] >= level:
-                open_.pop()
-            sections.append([level, node.text(), [], open_[-1] if open_ else None])
+            while open_ and sections[open_[-1]][1] >= level:
+                sections[open_.pop()][4] = len(paragraphs)
+            sections.append([open_[-1] if open_ else None, level, node.text(), len(paragraphs), None])
             open_.append(len(sections) - 1)
         elif node.tag == "p" and (text := node.text()):
-            if not sections:
-                front.append(text)
-            for i in open_:
-                sections[i][2].append(text)
-    return front, sections
+            paragraphs.append(text)
+    for i in open_:
+        sections[i][4] = len(paragraphs)
+    return paragraphs, sections
 
 
 MIN_HTML = 1000
+SPAN = "struct<sec_idx: int, parent_idx: int, level: int, heading: string, first: int, last: int>"
+
+
+def page_outlines(pages: DataFrame) -> DataFrame:
+    """TX-04 and TX-05 in one row per page: (page_id, html_chars, failed, paragraphs, spans).
+
+    Each paragraph is there once; sections are spans of paragraph numbers, nested like the headings, so a row is as
+    large as its page however deep the sections lie. failed: the page has under MIN_HTML characters or no section.
+    """
+
+    span = ("sec_idx", "parent_idx", "level", "heading", "first", "last")
+
+    def row(page_id: int, html: str | None) -> Iterator[tuple]:
+        paragraphs, sections = outline(html)
+        yield page_id, len(html or ""), len(html or "") < MIN_HTML or not sections, paragraphs, [dict(zip(span, (i, *s), strict=True)) for i, s in enumerate(sections)]
+
+    return per_page(pages, f"page_id long, html_chars int, failed boolean, paragraphs array<string>, spans array<{SPAN}>", row)
+
+
+def sections_of(outlines: DataFrame) -> DataFrame:
+    """TX-04's rows from page_outlines(): each section with all its paragraphs, a row for each failed page."""
+    each = outlines.withColumn("s", F.explode(F.when(F.col("failed"), F.array(F.lit(None).cast(SPAN))).otherwise(F.col("spans"))))
+    parts = heading_parts(F.col("s.heading"))
+    own = F.when(~F.col("failed"), F.slice("paragraphs", F.col("s.first") + 1, F.col("s.last") - F.col("s.first")))
+    return each.select("page_id", "s.sec_idx", "s.parent_idx", "s.level", "s.heading", parts["number"].alias("number"), parts["title"].alias("title"), own.alias("paragraphs"), "html_chars", "failed")
 
 
 def section_rows(pages: DataFrame) -> DataFrame:
@@ -131,23 +158,13 @@ def section_rows(pages: DataFrame) -> DataFrame:
     A section's paragraphs run to the next heading of its rank or a higher one. A page under MIN_HTML
     characters or without a section gives one row that is marked as failed.
     """
-
-    def rows(page_id: int, html: str | None) -> Iterator[tuple]:
-        size = len(html or "")
-        found = outline(html)[1] if size >= MIN_HTML else []
-        for i, (level, heading, paragraphs, parent) in enumerate(found):
-            yield page_id, i, parent, level, heading, paragraphs, size, False
-        if not found:
-            yield page_id, None, None, None, None, None, size, True
-
-    made = per_page(pages, "page_id long, sec_idx int, parent_idx int, level int, heading string, paragraphs array<string>, html_chars int, failed boolean", rows)
-    parts = heading_parts(F.col("heading"))
-    return made.select("page_id", "sec_idx", "parent_idx", "level", "heading", parts["number"].alias("number"), parts["title"].alias("title"), "paragraphs", "html_chars", "failed")
+    return sections_of(page_outlines(pages))
 
 
 def front_matter(pages: DataFrame, n: int = 30) -> DataFrame:
     """TX-05: (page_id, paragraphs): up to n non-empty paragraphs before the first heading."""
-    return per_page(pages, "page_id long, paragraphs array<string>", lambda i, h: [(i, outline(h)[0][:n])])
+    lead = F.coalesce(F.get("spans", F.lit(0))["first"], F.size("paragraphs"))
+    return page_outlines(pages).select("page_id", F.slice("paragraphs", 1, F.least(lead, F.lit(n))).alias("paragraphs"))
 
 
 #: What section keys stand for.

@@ -208,6 +208,12 @@ def tx04_made(x):
     return found.select("page_id", "sec_idx", F.coalesce("parent_idx", F.lit(-1)).alias("parent_idx"), "level", "number", "title", F.array_join("paragraphs", "|").alias("paragraphs"))
 
 
+@R.add("ag10_outline_stats", f"""SELECT page_id, count(*) AS n_sections, CAST(sum(n) AS BIGINT) AS n_paragraphs, count(*) + CAST(sum(n) AS BIGINT) AS blocks FROM (SELECT a.page_id, a.doc_id, sum(len(b.ps)) AS n
+    FROM ({SECTIONED}) a JOIN ({SECTIONED}) b ON a.page_id = b.page_id AND b.level >= a.level WHERE a.level > 0 GROUP BY a.page_id, a.doc_id) GROUP BY page_id""")
+def ag10_outlines(x):
+    return aggregates.outline_stats(sections.page_outlines(made_pages(x))).drop("html_chars")
+
+
 @R.add("tx05_front_of_made_pages", f"SELECT page_id, array_to_string(ps[1:30], '|') AS front FROM ({SECTIONED}) WHERE level = 0")
 def tx05_made(x):
     return sections.front_matter(made_pages(x)).select("page_id", F.array_join("paragraphs", "|").alias("front"))

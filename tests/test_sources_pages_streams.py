@@ -122,6 +122,9 @@ def test_sections(spark):
     assert [r.page_id for r in rows if r.failed] == [2, 3]
     front = {r.page_id: r.paragraphs for r in sections.front_matter(pages).collect()}
     assert front == {1: ["Front", "Second"], 2: ["short"], 3: []}
+    deep = sections.page_outlines(pages).where("page_id = 1").first()
+    assert deep.paragraphs == ["Front", "Second", "a", "b", "c", "d"] and [(s["first"], s["last"]) for s in deep.spans] == [(2, 4), (3, 4), (4, 6), (5, 6)]
+    assert [tuple(r) for r in aggregates.outline_stats(sections.page_outlines(pages)).select("page_id", "n_sections", "n_paragraphs", "blocks").collect()] == [(1, 4, 6, 10)]
     table = sections.section_rows(pages).where("not failed").withColumnRenamed("page_id", "paper_id")
     assert aggregates.fulltext_stats(table).collect()[0][1:4] == (4, 6, 10)
     assert aggregates.fulltext_stats(table).first().html_chars == len(next(p.html for p in pages.collect() if p.page_id == 1))
@@ -130,6 +133,17 @@ def test_sections(spark):
     assert text == "## Front Matter\n\nFront\n\nSecond\n\n## 1 Intro\na\nb\n\n## 1.1 Deep\nb\n\n## References\nc\nd\n\n## X\nd"
 
 
+def test_outline_of_deep_pages_is_linear(spark):
+    """A thousand headings, each under the one before as far as ranks go: every paragraph is stored once."""
+    html = "<main>" + "".join(f"<h{2 + k % 5}>{k}</h{2 + k % 5}><p>p{k}</p>" for k in range(1000)) + "</main>" + " " * 1000
+    row = sections.page_outlines(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert row.paragraphs == [f"p{k}" for k in range(1000)] and len(row.spans) == 1000
+    for s in row.spans[:40]:
+        k, level = s["sec_idx"], s["level"]
+        end = next((j for j in range(k + 1, 1000) if 2 + j % 5 <= level), 1000)
+        assert (s["first"], s["last"], level) == (k, end, 2 + k % 5)
+
+
 def test_keyword_contexts(spark):
     rows = [(1, i, f"h{i}", ["Key " + "x" * 10 + " kEY"]) for i in range(7)] + [(2, 0, "h", ["none"])]
     got = sections.keyword_contexts(spark.createDataFrame(rows, "paper_id long, sec_idx int, heading string, paragraphs array<string>"), "key", around=4).orderBy("sec_idx").collect()
