@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacksift.functions.text import parse_request_title, report_date
-from stacksift.operators import aggregates, filters, joins, ranking, sets
+from stacksift.operators import aggregates, filters, joins, ranking, seen, sets
 from stacksift.plans.registry import Registry
 from stacksift.plans.views import Inputs
 from stacksift.sources.staging import staging_folder, written_table
@@ -115,6 +115,17 @@ def jn01(x):
     return joins.drop_seen(x.view("f_paper"), x.view("f_fetched")).select("id", "tracking_score")
 
 
+@R.add("jn01_drop_seen_filtered", "SELECT id, tracking_score FROM f_paper WHERE id NOT IN (SELECT id FROM f_fetched)")
+def jn01_filtered(x):
+    """The filter of half of the tracker, to which the other half is added."""
+    tracker = x.view("f_fetched")
+    blocks = seen.blocks_for(tracker.count())
+    first = F.xxhash64("id") % 2 == 0
+    known = written_table(seen.build_filter(tracker.where(first), blocks), staging_folder(x.spark, "filter"))
+    known = written_table(seen.add_to_filter(known, tracker.where(~first), blocks), staging_folder(x.spark, "filter"))
+    return seen.drop_seen_filtered(x.view("f_paper"), tracker, known, blocks).select("id", "tracking_score")
+
+
 @R.add("jn01_seen_summary", """SELECT count(*) FILTER (id NOT IN (SELECT id FROM f_fetched)) AS n_new, count(*) FILTER (id IN (SELECT id FROM f_fetched)) AS n_duplicate,
     count(*) FILTER (id NOT IN (SELECT id FROM f_fetched)) > 0 AS has_new FROM f_paper""")
 def jn01s(x):
