@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +27,53 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json", lines: str = "*.jsonl") -> DataFrame:
+#: What stands between the records of an array that is written with an indent of two: no text inside a record has it.
+BETWEEN = "\n  {\n"
+
+
+def array_pieces(spark: SparkSession, path: str, schema: T.StructType, arrays: str) -> DataFrame:
+    """(file, opens, closes, bad, r): array files cut between their records, so that many tasks read one file.
+
+    The first piece of a file opens the array; each other one is a record r, the last of which closes it.
+    """
+    pieces = spark.read.option("lineSep", BETWEEN).option("pathGlobFilter", arrays).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    opens, closes = F.trim("value") == "[", F.col("value").rlike(r"\n  \}\s*\n\]\s*$")
+    text = F.concat(F.lit("{\n"), F.regexp_replace("value", r"\n  \}(,|\s*\n\]\s*)$", "\n}"))
+    typed = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    found = pieces.select("file", opens.alias("opens"), closes.alias("closes"), F.endswith("value", F.lit("\n  },")).alias("goes_on"), F.when(~opens, F.from_json(text, typed, {"columnNameOfCorruptRecord": "_broken"})).alias("r"))
+    bad = ~F.col("opens") & (~(F.col("closes") | F.col("goes_on")) | F.col("r").isNull() | F.col("r._broken").isNotNull())
+    return found.select("file", "opens", "closes", bad.alias("bad"), "r")
+
+
+def read_large_arrays(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json") -> DataFrame:
+    """Records of array files, each of which may be read by many tasks.
+
+    A file that is whole in the shape that `indent=2` writes is cut between records; it is read once to see that it
+    is, and once for its rows. Any other file is read by one task as before: other layouts, objects, broken ones.
+    The names of these files come to the driver, as the list of files does anyway.
+    """
+    pieces = array_pieces(spark, path, schema, arrays)
+    files = pieces.groupBy("file").agg((F.count_if("opens") == 1).alias("one"), (F.count_if("closes") == 1).alias("end"), F.bool_or("bad").alias("bad")).withColumn("whole", F.expr("one and end and not bad"))
+    others = [unquote(r["file"]) for r in files.where("not whole").select("file").collect()]
+    rows = pieces.where("not opens").join(files.where("whole").select("file"), "file", "left_semi").select(*[F.col(f"r.`{n}`").alias(n) for n in schema.names])
+    if not others:
+        return rows
+    return rows.unionByName(spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(others))
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json", lines: str = "*.jsonl", large: bool = False) -> DataFrame:
     """SRC-01: records of all daily files under path, arrays (.json) and lines (.jsonl), with an explicit schema that has an id.
 
     A broken array file and a file with an object instead give no rows, a broken line is skipped; rows
-    without an id are dropped; a missing folder gives no rows.
+    without an id are dropped; a missing folder gives no rows. large: array files may be large, see read_large_arrays;
+    without it each is read by one task.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    whole = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", arrays).json(path)
+    if large:
+        whole = read_large_arrays(spark, path, schema, arrays)
+    else:
+        whole = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", arrays).json(path)
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", lines).json(path)
     return whole.unionByName(rows).where(text_or_null(F.col("id")).isNotNull())
 

@@ -25,6 +25,32 @@ def test_read_records(spark, tmp_path):
     assert records.read_records(spark, str(tmp_path / "none"), SCHEMA).count() == 0
 
 
+def test_large_arrays_are_read_by_several_tasks(spark, tmp_path):
+    odd = ['}', '\n  },\n  {\n', '],', '"', "é\\", "", None]
+    rows = [{"id": str(k), "title": odd[k % 7], "extra": {"a": [{"b": k}]}} for k in range(9000)]
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "big.json").write_text(json.dumps(rows, indent=2))
+    (folder / "small.json").write_text(json.dumps([{"id": "s", "title": "x"}], indent=2, ensure_ascii=False) + "\n")
+    (folder / "compact.json").write_text(json.dumps([{"id": "c1"}, {"id": "c2"}]))
+    (folder / "empty.json").write_text("[]")
+    (folder / "object.json").write_text(json.dumps({"title": "an object"}, indent=2))
+    (folder / "cut.json").write_text(json.dumps([{"id": "x1"}, {"id": "x2"}, {"id": "x3"}], indent=2)[:-20])
+    (folder / "broken.json").write_text(json.dumps([{"id": "y1"}, {"id": "y2"}], indent=2).replace('"y2"', '"y2'))
+    (folder / "tail.json").write_text(json.dumps([{"id": "z1"}, {"id": "z2"}], indent=2) + "]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = records.read_records(spark, str(folder), SCHEMA, large=True)
+        big = records.array_pieces(spark, str(folder), SCHEMA, "big.json")
+        assert big.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        found = {(r.id, r.title) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = {(r.id, r.title) for r in records.read_records(spark, str(folder), SCHEMA).collect()}
+    assert {x for x in plain if x[0][0] not in "z"} == {x for x in found if x[0][0] not in "z"}
+    assert len(found) >= 9003 and {x for x in found if x[0].isdigit()} == {(r["id"], r["title"]) for r in rows} and not {x for x in found if x[0][0] in "xy"}
+
+
 ATOM = """<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>q</title>
 <entry><id>http://arxiv.org/abs/2501.00001v1</id><title>A
  title</title><summary>Some
