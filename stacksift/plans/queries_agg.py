@@ -44,8 +44,9 @@ def ag02(x):
 
 def keyword_rows(x: Inputs) -> DataFrame:
     """Tags of papers and keywords of news by day, in report order."""
-    p = ranking.ranked(papers(x), ranking.paper_order(), "report_date").where("analysis_status = 'success'")
-    n = ranking.ranked(news(x), ranking.news_order(), "report_date").where("analysis_status = 'success'")
+    done = "analysis_status = 'success'"  # these come first in their day, so they have the same ranks among themselves
+    p = ranking.ranked(papers(x).where(done).drop("title", "updated"), ranking.paper_order(), "report_date")
+    n = ranking.ranked(news(x).where(done).select("id", "published", "weight", "analysis_status", "content", "report_date"), ranking.news_order(), "report_date")
     tags = F.expr("array(primary_category, concat('t', cast(cast(id as bigint) % 7 as string)), source)")
     return p.select("report_date", F.lit(0).alias("kind_order"), F.col("rank_in_day").alias("rank"), tags.alias("keywords")).unionByName(
         n.select("report_date", F.lit(1).alias("kind_order"), F.col("rank_in_day").alias("rank"), F.split("content", " ").alias("keywords"))
@@ -130,7 +131,7 @@ def ag10(x):
 @R.add("ag11_category_context", f"""SELECT report_date, primary_category, (rank - 1) // 200 AS chunk, string_agg(concat('Title: ', title, chr(10), 'ID: ', id, chr(10), 'Overview: ', source, chr(10), 'Tags: ', primary_category, ', ', source, chr(10)), chr(10) || '---' || chr(10) ORDER BY rank) AS context
     FROM ({PAPER_RANK}) WHERE analysis_status = 'success' AND primary_category IN ('cs.AI', 'cs.CL', 'cs.CV') GROUP BY ALL""")
 def ag11(x):
-    ranked = ranking.ranked(papers(x), ranking.paper_order(), "report_date").withColumnRenamed("rank_in_day", "rank").where("analysis_status = 'success'")
+    ranked = ranking.ranked(papers(x).where("analysis_status = 'success'"), ranking.paper_order(), "report_date").withColumnRenamed("rank_in_day", "rank")
     rows = ranked.select("report_date", "primary_category", "rank", "title", "id", F.col("source").alias("overview"), F.array("primary_category", "source").alias("tags"))
     return agg.category_context(joins.papers_in_config(rows, ["cs.AI", "cs.CL", "cs.CV"]))
 

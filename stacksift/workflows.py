@@ -167,7 +167,11 @@ def daily_report(
 
 def report_keywords(papers: DataFrame, news: DataFrame) -> DataFrame:
     """Tags of analysed papers, then keywords of analysed news, in report order: input of top_keywords()."""
-    of = lambda df, order, kind, words: ranking.ranked(df, order, daylog.DAY).where("analysis_status = 'success'").where(text_or_null(F.array_join(words, "")).isNotNull()).select(
-        daylog.DAY, F.lit(kind).alias("kind_order"), F.col("rank_in_day").alias("rank"), F.col(words).alias("keywords")
-    )
+
+    def of(df: DataFrame, order: list[Column], kind: int, words: str) -> DataFrame:
+        done = df.where("analysis_status = 'success'")  # first in their day: the same ranks among themselves
+        keys = ("id", "published", "tracking_score" if kind == 0 else "weight", "analysis_status", daylog.DAY, words)
+        rows = ranking.ranked(done.select(*keys), order, daylog.DAY).where(text_or_null(F.array_join(words, "")).isNotNull())
+        return rows.select(daylog.DAY, F.lit(kind).alias("kind_order"), F.col("rank_in_day").alias("rank"), F.col(words).alias("keywords"))
+
     return of(papers, ranking.paper_order(), 0, "tags").unionByName(of(news, ranking.news_order(), 1, "keywords"))
