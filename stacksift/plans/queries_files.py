@@ -53,27 +53,29 @@ def src01(x):
 
 
 @R.add("src02_read_atom_papers", """SELECT concat('2501.', id) AS id, title, concat('about ', source) AS abstract, concat('A ', id, ',B') AS authors, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN primary_category ELSE 'x.Y' END AS primary_category,
-    published, concat('https://arxiv.org/abs/2501.', id) AS abs_url FROM f_paper""")
+    published, updated, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN concat('pages ', id) END AS comment, concat('https://arxiv.org/abs/2501.', id) AS abs_url, concat('https://arxiv.org/pdf/2501.', id, '.pdf') AS pdf_url,
+    concat('x.Y,', primary_category) AS categories FROM f_paper""")
 def src02(x):
     term = lambda c: F.struct(c.alias("_term"))
     entry = x.view("f_paper").select(
         F.concat(F.lit("http://arxiv.org/abs/2501."), "id", F.lit("v2")).alias("id"), "title", F.concat(F.lit("about "), "source").alias("summary"), F.array(F.struct(F.concat(F.lit("A "), "id").alias("name")), F.struct(F.lit("B").alias("name"))).alias("author"),
         F.array(term(F.lit("x.Y")), term(F.col("primary_category"))).alias("category"), F.when(F.expr("cast(id as bigint) % 2 = 0"), term(F.col("primary_category"))).alias("primary_category"), F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"),
+        F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated"), F.expr("CASE cast(id as bigint) % 8 WHEN 0 THEN concat('pages ', id) WHEN 4 THEN concat('pages ', id) WHEN 1 THEN '' END").alias("comment"),
     )
     path = xml_files(x, entry, "feed", "entry")
     found = feeds.read_atom_papers(x.spark, path)
-    return found.select("id", "title", "abstract", F.array_join("authors", ",").alias("authors"), "primary_category", F.col("published").cast("timestamp_ntz").alias("published"), "abs_url")
+    return found.select("id", "title", "abstract", F.array_join("authors", ",").alias("authors"), "primary_category", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("published", "updated")], "comment", "abs_url", "pdf_url", F.array_join("categories", ",").alias("categories"))
 
 
-@R.add("src03_read_rss_items", """SELECT id, id AS title, url, concat(source_name, ' & ', language) AS summary, coalesce(date_trunc('second', published), TIMESTAMP '2000-01-01') AS published FROM f_news WHERE doc_id % 9 <> 0""")
+@R.add("src03_read_rss_items", """SELECT id, id AS title, url, concat(source_name, ' & ', language) AS summary, CASE WHEN doc_id % 2 = 0 THEN concat('Full ', source_name, ' text') ELSE concat(source_name, ' & ', language) END AS content, coalesce(date_trunc('second', published), TIMESTAMP '2000-01-01') AS published FROM f_news WHERE doc_id % 9 <> 0""")
 def src03(x):
     item = x.view("f_news").select(
-        F.expr("CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE id END").alias("title"), F.col("url").alias("link"), F.format_string("<p>%s &amp; %s</p>", "source_name", "language").alias("description"),
+        F.expr("CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE id END").alias("title"), F.col("url").alias("link"), F.format_string("<p>%s &amp; %s</p>", "source_name", "language").alias("description"), F.when(F.expr("doc_id % 2 = 0"), F.format_string("<b>Full</b> %s<script>x</script> text", "source_name")).alias("encoded"),
         F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("pubDate"),
     )
     path = xml_files(x, item, "channel", "item")
     found = feeds.read_rss_items(x.spark, path, {"name": "s", "category": "ai", "language": "en", "weight": 1.0}, F.lit(FALLBACK).cast("timestamp"))
-    return found.select("id", "title", "url", "summary", F.col("published").cast("timestamp_ntz").alias("published"))
+    return found.select("id", "title", "url", "summary", "content", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
 @R.add("src04_read_sources", "SELECT DISTINCT source AS name, CASE WHEN CAST(substring(source, 4) AS INT) % 2 = 0 THEN 'rss' ELSE 'crawler' END AS kind FROM documents WHERE CAST(substring(source, 4) AS INT) % 5 <> 0")
