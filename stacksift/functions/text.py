@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,10 +31,25 @@ def unescape_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def clean_html(c: Column) -> Column:
-    """FN-01: plain text of an HTML fragment; null where nothing is left. Entities are resolved after the tags went."""
+#: An entity with its closing semicolon.
+CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def unescape_closed_entities(s: pd.Series) -> pd.Series:
+    """Like unescape_entities, but a name without its semicolon ("&amp ") stays, and so does one that HTML does not know."""
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return s.map(lambda t: CLOSED.sub(one, t), na_action="ignore")
+
+
+def clean_html(c: Column, closed: bool = False) -> Column:
+    """FN-01: plain text of an HTML fragment; null where nothing is left. Entities are resolved after the tags went.
+
+    HTML also reads some names without their semicolon; closed: those stay as they are.
+    """
     bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"(?s)<[^>]+>", " ")
-    lines = F.regexp_replace(unescape_entities(bare), r"\r\n?", "\n")
+    unescape = unescape_closed_entities if closed else unescape_entities
+    lines = F.regexp_replace(unescape(bare), r"\r\n?", "\n")
     for pattern, to in ((r"[ \t\f\x0B]+", " "), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")):
         lines = F.regexp_replace(lines, pattern, to)
     return text_or_null(strip(lines))

@@ -30,6 +30,25 @@ def test_clean_html(spark, given, want):
     assert got == (want.replace(" \n", "\n") if want else want)
 
 
+def test_clean_html_with_closed_entities(spark):
+    given = "<p>a &amp b &amp; c &ampx; &nosuch; &#65; &#x42; &#67 &quot</p>"
+    assert one(spark, text.clean_html(F.col("x"), closed=True), x=given) == "a &amp b & c &ampx; &nosuch; A B &#67 &quot"
+    assert one(spark, text.clean_html(F.col("x")), x=given) == 'a & b & c &x; &nosuch; A B C "'
+
+
+def test_query_of_clean_html_equals_its_sql_on_open_entities(spark, tmp_path):
+    import duckdb
+
+    from stacksift.plans import catalog
+
+    rows = [(0, "u", "<p>ver&amp Un &amp; x&amp"), (1, "u", "&quot a &quot;b&quot;"), (2, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.queries()["fn01_clean_html"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["fn01_clean_html"]).fetchall())
+
+
 def test_clean_readme(spark):
     given = "# Title\n\n```py\nx = 1\n```\n![badge](https://shields.io/x)\n[![badge](a)](b)\n- see [docs](https://d/e) and `code`\n> quote <b>bold</b>\n\n\n\nend"
     assert one(spark, text.clean_readme(F.col("x")), x=given) == "Title\n\nsee docs and code\nquote bold\n\nend"
