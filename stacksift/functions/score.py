@@ -91,12 +91,16 @@ def halves_to_even(x: Column) -> Column:
 
 
 def final_score(venue: Column, code: Column, citation: Column, institution: Column, metadata: Column, sources: Column) -> Column:
-    """QS-07: the weighted sum with floors, one decimal; null without sources. Halves round away from zero."""
+    """QS-07: the weighted sum with floors, one decimal; null without sources.
+
+    Halves round away from zero. What is a half is seen at ten times the sum: 31.05 as a sum of doubles may be
+    31.049999999999997, whose tenfold is 310.5 again.
+    """
     parts = {"venue": venue, "code": code, "citation": citation, "institution": institution, "metadata": metadata}
     total = sum((WEIGHTS[k] * parts[k] for k in WEIGHTS), F.lit(0.0))
     total = F.when(venue >= 100, F.greatest(total, F.lit(90.0))).when(venue >= 85, F.greatest(total, F.lit(75.0))).otherwise(total)
     total = F.when(code >= 90, F.greatest(total, F.lit(72.0))).otherwise(total)
-    return F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.round(clamp(total), 1))
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.round(clamp(total) * 10.0) / 10.0)
 
 
 def reasons(review: Column, s2: Column, code: Column, graph: Column, venue: Column, sources: Column) -> Column:

@@ -154,3 +154,14 @@ def test_score_ladder(spark):
     assert got["conference"].venue_score == 55 and got["conference"].quality_reasons[:3] == ["conference publication signal", "citations: 3", "influential citations: 1"]
     assert got["code"].code_score == 100 and got["code"].tracking_score == 72.0 and got["norepo"].code_score == 0
     assert got["mit"].institution_score == 75 and got["mit"].metadata_score == 100 and got["mit"].quality_confidence == "high"
+
+
+def test_final_score_rounds_halves_of_sums(spark):
+    import duckdb
+
+    rows = [(float(v), float(c), float(s), float(i), float(m)) for v in (0, 52, 55, 63) for c in (0, 70, 80, 85) for s in (0.0, 12.5, 17.25, 50) for i in (0, 75) for m in (40, 70, 100)]
+    df = spark.createDataFrame(rows, "v double, c double, s double, i double, m double")
+    got = df.select(*df.columns, score.final_score(*[F.col(k) for k in df.columns], F.array(F.lit("x"))).alias("y")).collect()
+    con = duckdb.connect()
+    want = {r: con.execute("SELECT round(0.30::DOUBLE * ? + 0.20::DOUBLE * ? + 0.20::DOUBLE * ? + 0.15::DOUBLE * ? + 0.15::DOUBLE * ?, 1)", r).fetchone()[0] for r in rows}
+    assert {tuple(r)[:5]: r.y for r in got} == want
