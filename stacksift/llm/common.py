@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import math
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stacksift.operators.batches import give_back, slices, small_batches, tidy  # noqa: F401
 from stacksift.sources.staging import drop_folder, staging_folder, written_table
 
 
@@ -35,16 +31,6 @@ def forget(*tables: DataFrame) -> None:
         drop_folder(t.sparkSession, t.own_folder)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Sets Arrow batches of at most so many rows, so that batches of long texts stay small on both sides.
-
-    A setting of the job: queries and pipeline stages call this, operators leave the session as it is.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def renamed(df: DataFrame, *names: str) -> DataFrame:
     """df, its columns of these names (in any case) renamed to <name>_input, so that results can have the names."""
     taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
@@ -58,25 +44,6 @@ def renamed(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, after which its Python worker, which Spark keeps for other tasks, gives free memory back."""
-
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        give_back()
-
-    return tidied
-
-
-def give_back() -> None:
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -136,19 +103,6 @@ def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Runs of at most `rows` rows with about `most` bytes of text, so that a batch of long texts needs no more memory."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and (total + n > most or i - start == rows):
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def bounded_sample(rows: DataFrame, group: str, key: str, most: int, cells: int = 64) -> DataFrame:
     """At most `most` rows of each group, chosen by a hash of key, with their rank rn from 1.
 

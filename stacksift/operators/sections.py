@@ -6,27 +6,33 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stacksift.functions.text import absolute_url, clean_html, heading_parts, parse_date_multi, parse_star_count, text_or_null, url_id
 from stacksift.operators import htmltree
+from stacksift.operators.batches import slices, tidy
 from stacksift.operators.filters import source_url_rules
 from stacksift.operators.ranking import first_wins, trending_limit
 
 TRENDING = "page_id long, pos int, owner string, name string, description string, language string, stars_text string, weekly_text string"
 
 
-def per_page(pages: DataFrame, schema: str, rows: Any) -> DataFrame:
-    """rows(page_id, html) -> tuples of schema, for every page, in Arrow batches."""
-    names = T.StructType.fromDDL(schema).names
+def per_page(pages: DataFrame, schema: str, rows: Any, *more: str) -> DataFrame:
+    """rows(page_id, *more, html) -> tuples of schema, for every page, in runs of about half a megabyte of HTML."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame([r for i, h in zip(b["page_id"], b["html"], strict=True) for r in rows(i, h)], columns=names, dtype=object)
+            for part in slices(b, "html"):
+                found = [dict(zip(kind.names, r, strict=True)) for page in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in rows(*page)]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=kind)
 
-    return pages.select("page_id", "html").mapInPandas(run, schema)
+    return pages.select("page_id", *more, "html").mapInArrow(tidy(run), schema)
 
 
 def trending_rows(pages: DataFrame, n: int = 25, min_stars: int = 1000) -> DataFrame:
@@ -64,19 +70,15 @@ def listing_records(pages: DataFrame, selectors: Sequence[dict], rules: DataFram
     table = {s["source_name"]: s for s in selectors}
     schema = "page_id long, source_name string, pos int, title string, link string, date string, summary string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for page_id, source, html in zip(b["page_id"], b["source_name"], b["html"], strict=True):
-                spec = table.get(source)
-                for pos, node in enumerate(htmltree.select(htmltree.parse(html), spec["base"]) if spec else []):
-                    first = lambda s: next(iter(htmltree.select(node, s)), None) if s else node  # noqa: B023, E731
-                    text = lambda k: x.text() if spec.get(k) and (x := first(spec[k])) is not None else None  # noqa: B023, E731
-                    link = first(spec.get("url"))
-                    out.append((page_id, source, pos, text("title"), link.attrs.get("href") if link is not None else None, text("date"), text("summary")))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
-
-    found = pages.select("page_id", "source_name", "html").mapInPandas(run, schema)
+    def items(page_id: int, source: str, html: str) -> Iterator[tuple]:
+        spec = table.get(source)
+        for pos, node in enumerate(htmltree.select(htmltree.parse(html), spec["base"]) if spec else []):
+            first = lambda s: next(iter(htmltree.select(node, s)), None) if s else node  # noqa: B023, E731
+            text = lambda k: x.text() if spec.get(k) and (x := first(spec[k])) is not None else None  # noqa: B023, E731
+            link = first(spec.get("url"))
+            yield page_id, source, pos, text("title"), link.attrs.get("href") if link is not None else None, text("date"), text("summary")
+
+    found = per_page(pages, schema, items, "source_name")
     site = F.create_map(*[F.lit(v) for s in selectors for v in (s["source_name"], s.get("site", ""))]) if selectors else F.create_map()
     url = absolute_url(F.coalesce(site[F.col("source_name")], F.lit("")), F.trim("link"))
     published = F.lit(now)

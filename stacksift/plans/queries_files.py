@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stacksift.operators import aggregates, sections
+from stacksift.operators.batches import small_batches
 from stacksift.plans.registry import Registry
 from stacksift.plans.views import Inputs
 from stacksift.sources import feeds, records
@@ -143,6 +144,7 @@ CARD = """concat('<article class="Box-row"><h2><a href="/', repo_id, '">x</a></h
 @R.add("tx01_trending_rows", """SELECT page_id, repo_id, stars, stars % 50 AS weekly_stars, concat('About ', CAST(event_id AS STRING)) AS description FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY event_id) AS rp FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id, repo_id ORDER BY event_id) AS rn FROM (SELECT *, event_id // 60 AS page_id FROM f_observation)) WHERE rn = 1 AND stars > 1000) WHERE rp <= 3""")
 def tx01(x):
+    small_batches(x.spark)
     cards = x.view("f_observation").select(F.expr("event_id div 60").alias("page_id"), "event_id", F.expr(CARD).alias("card"))
     pages = cards.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "card"))).alias("c"))
     html = pages.select("page_id", F.array_join(F.transform("c", lambda c: c["card"]), "\n").alias("html"))
@@ -162,6 +164,7 @@ SELECTORS = [
     WHERE source_name = 'even' OR contains(url, '/p/1') OR contains(url, '/p/3')""")
 def tx02(x):
     """Pages of two sources: one whose items are links, one whose items hold a link and whose URLs must pass rules."""
+    small_batches(x.spark)
     links = x.view("f_news").select(F.expr("doc_id div 20").alias("page_id"), "doc_id", F.expr(LINK).alias("link"))
     item = F.when(F.col("page_id") % 2 == 0, F.col("link")).otherwise(F.concat(F.lit("<div class='item x'>"), F.col("link"), F.lit("</div>")))
     pages = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("link")))).alias("c"))
@@ -187,6 +190,7 @@ PARAGRAPHS = "list_filter(list_transform(string_split(text, chr(10)), lambda p:
 
 def made_pages(x: Inputs) -> DataFrame:
     """(page_id, html): of four documents in a row, the first stands before the first heading, the others are sections of levels 2 to 4."""
+    small_batches(x.spark)
     body = F.concat(F.lit("<p>"), F.array_join(F.transform(F.split("text", "\n"), lambda p: F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))), "</p>\n<p>"), F.lit("</p>"))
     heading = F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('<h', doc_id % 4 + 1, '>', doc_id % 4, '.1  Part <i>', doc_id, '</i></h', doc_id % 4 + 1, '>') END")
     parts = x.table("documents").select(F.expr("doc_id div 4").alias("page_id"), "doc_id", F.concat(heading, body).alias("part"))
