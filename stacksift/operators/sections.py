@@ -99,7 +99,8 @@ def detail_fields(pages: DataFrame, base: str = "main, article", title: str = "h
             yield page_id, text(title), text(date), node.text()
 
     found = per_page(pages, "page_id long, title string, date string, content string", record)
-    cleaned = found.withColumns({c: clean_html(F.col(c)) for c in ("title", "date", "content")})
+    texts = F.struct(*[clean_html(F.col(c)).alias(c) for c in ("title", "date", "content")])
+    cleaned = found.select("page_id", F.inline(F.array(texts)))  # no filter passes it, so that texts are cleaned once
     return cleaned.where("title is not null or date is not null or content is not null")
 
 

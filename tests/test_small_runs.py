@@ -44,3 +44,8 @@ def test_queries_set_small_batches(spark, name):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.unset(key)
     assert isinstance(catalog.queries()[name](spark, SF), DataFrame) and int(spark.conf.get(key)) <= 512
+
+
+def test_detail_texts_are_cleaned_once(spark):
+    plan = catalog.queries()["tx03_detail_fields"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
