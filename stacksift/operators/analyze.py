@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stacksift.operators.batches import give_back
+
+#: Rows that are turned into dicts, and results into Arrow, at a time: a row may hold a long text.
+RUN = 64
+
 
 def analyze(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType, now: datetime, concurrency: int | None = None) -> DataFrame:
     """df with light_analysis (of schema), analyzed_at, analysis_status and analysis_error.
@@ -22,15 +27,17 @@ def analyze(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType, now
     dealt = kept.repartition(concurrency) if concurrency else kept
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = []
-            for row in b.to_dict("records"):
-                try:
-                    found = fn(row)
-                    done.append(({f.name: found.get(f.name) for f in schema.fields}, "success", None))
-                except Exception as error:  # one bad row must not fail the job
-                    done.append((None, "failed", f"{type(error).__name__}: {error}"))
-            yield b.assign(light_analysis=[d[0] for d in done], analysis_status=[d[1] for d in done], analysis_error=[d[2] for d in done])
+        for whole in batches:
+            for at in range(0, len(whole), RUN):
+                b, done = whole.iloc[at : at + RUN], []
+                for row in b.to_dict("records"):
+                    try:
+                        found = fn(row)
+                        done.append(({f.name: found.get(f.name) for f in schema.fields}, "success", None))
+                    except Exception as error:  # one bad row must not fail the job
+                        done.append((None, "failed", f"{type(error).__name__}: {error}"))
+                yield b.assign(light_analysis=[d[0] for d in done], analysis_status=[d[1] for d in done], analysis_error=[d[2] for d in done])
+        give_back()
 
     out = T.StructType([*kept.schema.fields, T.StructField("light_analysis", schema), T.StructField("analysis_status", T.StringType()), T.StructField("analysis_error", T.StringType())])
     return dealt.mapInPandas(run, out).withColumn("analyzed_at", F.when(F.col("analysis_status") == "success", F.lit(now)))
