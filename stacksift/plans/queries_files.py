@@ -36,7 +36,7 @@ def xml_files(x: Inputs, df: DataFrame, root: str, row: str) -> str:
 @R.add("src01_read_records", """SELECT id, CAST(tracking_score AS DOUBLE) AS tracking_score, title FROM f_paper
     WHERE CASE WHEN CAST(id AS BIGINT) // 500 % 2 = 0 THEN CAST(id AS BIGINT) % 5 <> 0 ELSE CAST(id AS BIGINT) // 100 % 7 <> 0 AND CAST(id AS BIGINT) % 9 <> 0 END""")
 def src01(x):
-    """Lines and arrays of a hundred ids each, some of them broken, in one folder."""
+    """Lines and arrays of up to a hundred thousand ids each, some of them broken, in one folder; the larger arrays are cut."""
     n = F.col("id").cast("bigint")
     record = F.to_json(F.struct(F.when(n % 9 != 0, F.col("id")).alias("id"), F.col("tracking_score").cast("double").alias("tracking_score"), "title"))
     spread = F.regexp_replace(F.regexp_replace(record, r"^\{", "{\n    "), r"\}$", "\n  }")  # as written with an indent; every third array is
@@ -46,11 +46,12 @@ def src01(x):
     line = F.when(n % 10 == 0, F.to_json(F.struct(F.col("tracking_score").cast("double").alias("tracking_score")))).when(n % 5 == 0, "{broken").otherwise(whole)
     path = staging_folder(x.spark, "files")
     papers.where(lines).select(line.alias("value")).write.option("compression", "gzip").text(path)
-    arrays = papers.where(~lines).groupBy(F.floor(n / 100).alias("g")).agg(F.concat(F.lit("[\n  "), F.array_join(F.collect_list(record), ",\n  "), F.when(F.col("g") % 7 == 0, ", {broken").otherwise("\n]")).alias("value"))
-    objects = papers.where(~lines).groupBy(F.floor(n / 1000).alias("g")).agg(F.lit('{"title": "an object instead of an array"}').alias("value"))
-    arrays.unionByName(objects).select("value").write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    broken, laid = (F.floor(n / 100) % 7 == 0).alias("broken"), (F.floor(n / 100) % 3 == 0).alias("laid")
+    arrays = papers.where(~lines).groupBy(F.floor(n / 100_000).alias("g"), broken, laid).agg(F.concat(F.lit("[\n  "), F.array_join(F.collect_list(record), ",\n  "), F.when(F.col("broken"), ", {broken").otherwise("\n]")).alias("value"))
+    objects = papers.where(~lines).groupBy(F.floor(n / 100_000).alias("g")).agg(F.lit('{"title": "an object instead of an array"}').alias("value"))
+    arrays.select("value").unionByName(objects.select("value")).write.option("maxRecordsPerFile", 1).mode("append").text(path)
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("tracking_score", T.DoubleType()), T.StructField("title", T.StringType())])
-    return records.read_records(x.spark, path, schema, arrays="*.txt", lines="*.txt.gz", large=True)
+    return records.read_records(x.spark, path, schema, arrays="*.txt", lines="*.txt.gz", large=True, cut_from=1 << 18)
 
 
 @R.add("src02_read_atom_papers", """SELECT concat('2501.', id) AS id, title, concat('about ', source) AS abstract, concat('A ', id, ',B') AS authors, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN primary_category ELSE 'x.Y' END AS primary_category,

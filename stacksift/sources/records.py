@@ -31,12 +31,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 BETWEEN = "\n  {\n"
 
 
-def array_pieces(spark: SparkSession, path: str, schema: T.StructType, arrays: str) -> DataFrame:
-    """(file, opens, closes, bad, r): array files cut between their records, so that many tasks read one file.
+def array_pieces(spark: SparkSession, path: str, schema: T.StructType, arrays: str, size: int = 0) -> DataFrame:
+    """(file, opens, closes, bad, r): array files of at least `size` bytes cut between their records, so that many tasks read one file.
 
     The first piece of a file opens the array; each other one is a record r, the last of which closes it.
     """
-    pieces = spark.read.option("lineSep", BETWEEN).option("pathGlobFilter", arrays).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    pieces = spark.read.option("lineSep", BETWEEN).option("pathGlobFilter", arrays).text(path).where(F.col("_metadata.file_size") >= size).select("value", F.col("_metadata.file_path").alias("file"))
     opens, closes = F.trim("value") == "[", F.col("value").rlike(r"\n  \}\s*\n\]\s*$")
     text = F.concat(F.lit("{\n"), F.regexp_replace("value", r"\n  \}(,|\s*\n\]\s*)$", "\n}"))
     typed = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
@@ -45,35 +45,45 @@ def array_pieces(spark: SparkSession, path: str, schema: T.StructType, arrays: s
     return found.select("file", "opens", "closes", bad.alias("bad"), "r")
 
 
-def read_large_arrays(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json") -> DataFrame:
+#: Array files under this size are read whole, by one task each.
+CUT_FROM = 1 << 24
+
+
+def whole_arrays(spark: SparkSession, schema: T.StructType, paths: str | list[str], **options: str) -> DataFrame:
+    """Records of array files, each of which is read by one task; files that are no array of records give none."""
+    return spark.read.schema(schema).options(mode="DROPMALFORMED", multiLine="true", **options).json(paths)
+
+
+def read_large_arrays(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json", cut_from: int = CUT_FROM) -> DataFrame:
     """Records of array files, each of which may be read by many tasks.
 
-    A file that is whole in the shape that `indent=2` writes is cut between records; it is read once to see that it
-    is, and once for its rows. Any other file is read by one task as before: other layouts, objects, broken ones.
-    The names of these files come to the driver, as the list of files does anyway.
+    Files under cut_from bytes are read once, by one task each; which these are is known from the list of files. A larger
+    file that is whole in the shape that `indent=2` writes is cut between records; it is read once to see that it is, and
+    once for its rows. Any other large file is read by one task too: other layouts, objects, broken ones. Only the
+    names of these come to the driver.
     """
-    pieces = array_pieces(spark, path, schema, arrays)
+    small = whole_arrays(spark, schema, path, pathGlobFilter=arrays).where(F.col("_metadata.file_size") < cut_from)
+    pieces = array_pieces(spark, path, schema, arrays, cut_from)
     files = pieces.groupBy("file").agg((F.count_if("opens") == 1).alias("one"), (F.count_if("closes") == 1).alias("end"), F.bool_or("bad").alias("bad")).withColumn("whole", F.expr("one and end and not bad"))
     others = [unquote(r["file"]) for r in files.where("not whole").select("file").collect()]
     rows = pieces.where("not opens").join(files.where("whole").select("file"), "file", "left_semi").select(*[F.col(f"r.`{n}`").alias(n) for n in schema.names])
-    if not others:
-        return rows
-    return rows.unionByName(spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(others))
+    found = small.unionByName(rows)
+    return found.unionByName(whole_arrays(spark, schema, others)) if others else found
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json", lines: str = "*.jsonl", large: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType, arrays: str = "*.json", lines: str = "*.jsonl", large: bool = False, cut_from: int = CUT_FROM) -> DataFrame:
     """SRC-01: records of all daily files under path, arrays (.json) and lines (.jsonl), with an explicit schema that has an id.
 
     A broken array file and a file with an object instead give no rows, a broken line is skipped; rows
-    without an id are dropped; a missing folder gives no rows. large: array files may be large, see read_large_arrays;
-    without it each is read by one task.
+    without an id are dropped; a missing folder gives no rows. large: array files may be large, those of
+    cut_from bytes and more then are cut, see read_large_arrays; without it each is read by one task.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     if large:
-        whole = read_large_arrays(spark, path, schema, arrays)
+        whole = read_large_arrays(spark, path, schema, arrays, cut_from)
     else:
-        whole = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", arrays).json(path)
+        whole = whole_arrays(spark, schema, path, pathGlobFilter=arrays)
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", lines).json(path)
     return whole.unionByName(rows).where(text_or_null(F.col("id")).isNotNull())
 

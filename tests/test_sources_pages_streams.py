@@ -51,6 +51,26 @@ def test_large_arrays_are_read_by_several_tasks(spark, tmp_path):
     assert len(found) >= 9003 and {x for x in found if x[0].isdigit()} == {(r["id"], r["title"]) for r in rows} and not {x for x in found if x[0][0] in "xy"}
 
 
+@pytest.mark.parametrize("cut_from", [0, 1000, 1 << 24])
+def test_small_arrays_are_not_cut(spark, tmp_path, monkeypatch, cut_from):
+    for k in range(30):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"id": f"{k}-{i}", "title": "t" * 20} for i in range(2 if k % 2 else 40)], indent=2 if k % 3 else None))
+    (tmp_path / "broken.json").write_text("[{broken")
+    named = []
+    read = records.whole_arrays
+    monkeypatch.setattr(records, "whole_arrays", lambda spark, schema, paths, **options: named.extend(paths if isinstance(paths, list) else []) or read(spark, schema, paths, **options))
+    got = sorted(r.id for r in records.read_records(spark, str(tmp_path), SCHEMA, large=True, cut_from=cut_from).collect())
+    assert got == sorted(f"{k}-{i}" for k in range(30) for i in range(2 if k % 2 else 40))
+    assert len(named) == {0: 11, 1000: 5, 1 << 24: 0}[cut_from]  # those in another layout, and the broken one
+
+
+def test_src01_writes_few_files(spark):
+    from stacksift.plans import catalog
+
+    files = catalog.queries()["src01_read_records"](spark, "/root/testdata/sf0.01").inputFiles()
+    assert len([f for f in files if f.endswith(".txt")]) < 10
+
+
 ATOM = """<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>q</title>
 <entry><id>http://arxiv.org/abs/2501.00001v1</id><title>A
  title</title><summary>Some
