@@ -71,6 +71,15 @@ def test_src01_writes_few_files(spark):
     assert len([f for f in files if f.endswith(".txt")]) < 10
 
 
+def test_selectors_are_worked_out_once(monkeypatch):
+    from stacksift.operators import htmltree
+
+    tree = htmltree.parse("<main>" + "<p class='a b' id=x>t</p>" * 500 + "</main>")
+    looked = []
+    monkeypatch.setattr(htmltree, "PART", type("Counted", (), {"match": staticmethod(lambda part, match=htmltree.PART.match: looked.append(part) or match(part))}))
+    assert len(htmltree.select(tree, "main p.b[id=x]")) == 500 and len(looked) <= 2
+
+
 ATOM = """<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>q</title>
 <entry><id>http://arxiv.org/abs/2501.00001v1</id><title>A
  title</title><summary>Some
