@@ -95,11 +95,10 @@ def src04(x):
     LEFT JOIN (SELECT forum_id, avg(CAST(split_part(rating, ':', 1) AS DOUBLE)) AS rating_avg, count(*) AS review_count FROM f_reply WHERE kind = 'Official_Review' GROUP BY forum_id) r USING (forum_id)
     WHERE starts_with(d.decision, 'Accept') AND CAST(forum_id AS BIGINT) % 7 <> 0""")
 def src05(x):
-    content = F.when(F.col("kind") == "Decision", F.struct(F.struct(F.col("decision").alias("value")).alias("decision"), F.lit(None).cast("string").alias("rating"))).otherwise(
-        F.struct(F.lit(None).cast("struct<value: string>").alias("decision"), F.col("rating")))
-    reply = F.struct(F.array(F.concat(F.lit("v/-/"), "kind")).alias("invitations"), content.alias("content"))
-    forums = x.view("f_reply").groupBy("forum_id").agg(F.array_sort(F.collect_list(F.struct("reply_pos", "p1", "p2", "decision", "kind", reply.alias("reply")))).alias("r"))
-    note = F.struct(F.col("forum_id").alias("forum"), F.struct(F.when(F.expr("cast(forum_id as bigint) % 7 <> 0"), F.lit("T")).alias("title"), F.lit("A").alias("abstract")).alias("content"), F.struct(F.transform("r", lambda e: e["reply"]).alias("replies")).alias("details"))
+    kind = "CASE e.kind WHEN 'Decision' THEN named_struct('decision', named_struct('value', e.decision), 'rating', null) ELSE named_struct('decision', null, 'rating', e.rating) END"
+    reply = F.expr(f"transform(r, e -> named_struct('invitations', array(concat('v/-/', e.kind)), 'content', {kind}))")
+    forums = x.view("f_reply").groupBy("forum_id").agg(F.sort_array(F.collect_list(F.struct("reply_pos", "p1", "p2", "decision", "kind", "rating"))).alias("r"))  # made into replies after the shuffle
+    note = F.struct(F.col("forum_id").alias("forum"), F.struct(F.when(F.expr("cast(forum_id as bigint) % 7 <> 0"), F.lit("T")).alias("title"), F.lit("A").alias("abstract")).alias("content"), F.struct(reply.alias("replies")).alias("details"))
     found = records.read_review_notes(forums.select(F.to_json(note).alias("note")), "V", "cs.LG", F.lit(FALLBACK).cast("timestamp"))
     return found.select("id", "review.decision", "review.rating_avg", "review.review_count")
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stacksift.functions.text import epoch_ms, text_or_null
 from stacksift.operators.aggregates import first_decision, review_averages
 from stacksift.operators.filters import accepted
+from stacksift.sources.staging import staging_folder, written_table
 
 SOURCE = "name string, company string, blog_url string, fetch_type string, rss_url string, extractor string, js_render boolean, language string, weight double, enabled boolean"
 NOTES = "note string"
@@ -102,26 +103,35 @@ def read_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good.where("fetch_type = 'rss'"), good.where("fetch_type = 'crawler'")
 
 
-def field(note: str, key: str):
-    """A content value that is bare or wrapped in {"value": ..}."""
-    return F.coalesce(F.get_json_object(note, f"$.content.{key}.value"), F.get_json_object(note, f"$.content.{key}"))
+def field(value: str | Column):
+    """The text of a variant that is a bare value or one wrapped in {"value": ..}."""
+    return F.coalesce(F.try_variant_get(value, "$.value", "string"), F.try_variant_get(value, "$", "string"))
+
+
+#: What is read of a review note and of a reply; a value may be bare or wrapped, and one bad reply leaves the others.
+NOTE = "forum string, id string, content struct<title: variant, abstract: variant, authors: variant>, pdate string, cdate string, mdate string, tmdate string, details struct<replies: array<string>>"
+REPLY = "invitations array<string>, content struct<decision: variant, rating: variant, confidence: variant>"
 
 
 def read_review_notes(notes: DataFrame, venue: str, category: str, fallback) -> DataFrame:
     """SRC-05: papers of accepted notes (note: JSON text), with their review signal; the first decision counts.
 
-    Notes without forum and id, title or abstract are dropped. fallback is the instant for missing dates.
+    Notes without forum and id, title or abstract are dropped. fallback is the instant for missing dates. A note is
+    parsed once, and so is each reply; what is used of them is a table of the shared folder, which papers and reviews
+    are read from.
     """
-    keyed = notes.withColumn("forum_id", F.coalesce(text_or_null(F.get_json_object("note", "$.forum")), text_or_null(F.get_json_object("note", "$.id")))).where("forum_id is not null")
-    replies = keyed.select("forum_id", F.posexplode(F.from_json(F.get_json_object("note", "$.details.replies"), "array<string>")).alias("pos", "reply"))
-    kinds = F.from_json(F.get_json_object("reply", "$.invitations"), "array<string>")
-    ends = lambda s: F.coalesce(F.exists(kinds, lambda k: k.endswith(s)), F.lit(False))
-    typed = replies.select("forum_id", "pos", F.when(ends("Decision"), "Decision").when(ends("Official_Review"), "Official_Review").alias("kind"), *[field("reply", k).alias(k) for k in ("decision", "rating", "confidence")])
-    review = first_decision(typed, "pos").join(review_averages(typed), "forum_id", "left")
-    authors = F.coalesce(F.from_json(field("note", "authors"), "array<string>"), F.when(field("note", "authors").isNotNull(), F.array(field("note", "authors"))), F.array().cast("array<string>"))
-    papers = keyed.select("forum_id", F.trim(field("note", "title")).alias("title"), F.trim(field("note", "abstract")).alias("abstract"), authors.alias("authors"),
-                          *[F.get_json_object("note", f"$.{k}").alias(k) for k in ("pdate", "cdate", "mdate", "tmdate")])
-    rows = papers.where("title <> '' and abstract <> ''").join(review, "forum_id").where(accepted(F.col("decision")))
+    keyed = notes.select(F.from_json("note", NOTE).alias("n")).select("n.*", F.coalesce(text_or_null(F.col("n.forum")), text_or_null(F.col("n.id"))).alias("forum_id"))
+    parsed = keyed.select("forum_id", *[field(f"content.{k}").alias(k) for k in ("title", "abstract", "authors")], "pdate", "cdate", "mdate", "tmdate", "details.replies")
+    authors = F.coalesce(F.from_json("authors", "array<string>"), F.when(F.col("authors").isNotNull(), F.array("authors")), F.array().cast("array<string>"))
+    ends = lambda r, s: F.coalesce(F.exists(r["invitations"], lambda k: k.endswith(s)), F.lit(False))
+    kind = lambda r: F.when(ends(r, "Decision"), "Decision").when(ends(r, "Official_Review"), "Official_Review")
+    typed = lambda r: F.struct(kind(r).alias("kind"), *[field(r["content"][k]).alias(k) for k in ("decision", "rating", "confidence")])
+    replies = F.transform(F.transform("replies", lambda t: F.from_json(t, REPLY)), typed)
+    used = parsed.withColumns({"title": F.trim("title"), "abstract": F.trim("abstract"), "authors": authors, "replies": replies})
+    table = written_table(used, staging_folder(notes.sparkSession, "notes")).where("forum_id is not null")
+    each = table.select("forum_id", F.posexplode("replies").alias("pos", "r")).select("forum_id", "pos", "r.*")
+    review = first_decision(each, "pos").join(review_averages(each), "forum_id", "left")
+    rows = table.drop("replies").where("title <> '' and abstract <> ''").join(review, "forum_id").where(accepted(F.col("decision")))
     link = lambda kind: F.concat(F.lit(f"https://openreview.net/{kind}?id="), "forum_id")
     return rows.select(
         F.concat(F.lit("openreview:"), "forum_id").alias("id"), F.lit("openreview").alias("source"), "title", "authors", "abstract", F.array(F.lit(category)).alias("categories"), F.lit(category).alias("primary_category"),

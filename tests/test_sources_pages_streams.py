@@ -130,6 +130,23 @@ def test_read_review_notes(spark):
     assert got[0].comment == "OpenReview venue: ICLR; decision: Accept (oral)"
 
 
+def test_notes_are_taken_apart_once(spark):
+    """Each note is made and parsed once, whatever is read of it; a bad reply leaves the others, and text is not taken for a wrapped value."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(text):
+        made.add(1)
+        return text
+
+    replies = [None, "x", 5, {"invitations": "v/-/Decision", "content": {"decision": "no list"}}, {"invitations": ["v/-/Official_Review"], "content": {"rating": 7.5, "confidence": {"value": 3}}}, {"invitations": ["v/-/Decision"], "content": {"decision": '{"value": "Accept"}'}}]
+    rows = [(json.dumps({"id": f"n{k}", "content": {"title": '{"value": "t"}', "abstract": {"value": True}, "authors": {"value": "one"}}, "details": {"replies": replies}}),) for k in range(20)] + [("{broken",), (None,)]
+    accepting = spark.createDataFrame(rows, "note string").select(once(F.replace("note", F.lit('"{\\"value\\": \\"Accept\\"}"'), F.lit('"Accept"'))).alias("note"))
+    got = records.read_review_notes(accepting, "V", "cs.LG", F.lit(None).cast("timestamp")).collect()
+    assert len(got) == 20 and made.value == len(rows)
+    assert {(r.title, r.abstract, r.authors[0], r.review.decision, r.review.rating_avg, r.review.confidence_avg, r.review.review_count) for r in got} == {('{"value": "t"}', "true", "one", "Accept", 7.5, 3.0, 1)}
+
+
 def test_normalize_signals(spark):
     rows = [("1", "citation", json.dumps({"paperId": "x", "citationCount": None, "s2FieldsOfStudy": [{"category": "B"}], "fieldsOfStudy": ["A", "B"]})), ("2", "citation", json.dumps({"paperId": None})),
             ("1", "code", json.dumps({"results": [{"url": "u", "stars": None}, {"stars": 3}]})), ("1", "graph", json.dumps({"results": [{"id": "w", "cited_by_count": 2, "authorships": [{"institutions": [{"display_name": "Z"}, {"display_name": "A"}]}], "primary_topic": {"display_name": "t"}}, {"id": "other"}]})), ("3", "graph", json.dumps({"results": []}))]
