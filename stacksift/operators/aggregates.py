@@ -33,10 +33,13 @@ def top_keywords(rows: DataFrame, k: int = 10) -> DataFrame:
     """AG-03: the k most frequent keywords per day from (report_date, kind_order, rank, keywords).
 
     Ties go to the keyword that appears first in report order: papers (kind_order 0) before news (1), by
-    rank, then by place in the list. Frequent keywords are counted before the shuffle.
+    rank, then by place in the list. Frequent keywords are counted before the shuffle. The place of appearance is one
+    number, so that words are counted in a hash table of different ones and not sorted: rank and pos are below 2^31.
     """
     each = rows.select("report_date", "kind_order", "rank", F.posexplode("keywords").alias("pos", "keyword"))
-    counted = each.groupBy("report_date", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("kind_order", "rank", "pos")).alias("first"))
+    of = lambda c: F.col(c).cast("long")
+    at = F.shiftleft(of("kind_order"), 62) + F.shiftleft(of("rank"), 31) + of("pos")
+    counted = each.groupBy("report_date", "keyword").agg(F.count("*").alias("n"), F.min(at).alias("first"))
     order = Window.partitionBy("report_date").orderBy(F.desc("n"), "first", "keyword")
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("report_date", "keyword", "n", "place")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stacksift.functions import score, text
-from stacksift.operators import filters, joins, ranking, sets
+from stacksift.operators import aggregates, filters, joins, ranking, sets
 
 
 def one(spark, column, schema="x string", **values):
@@ -165,3 +165,13 @@ def test_final_score_rounds_halves_of_sums(spark):
     con = duckdb.connect()
     want = {r: con.execute("SELECT round(0.30::DOUBLE * ? + 0.20::DOUBLE * ? + 0.20::DOUBLE * ? + 0.15::DOUBLE * ? + 0.15::DOUBLE * ?, 1)", r).fetchone()[0] for r in rows}
     assert {tuple(r)[:5]: r.y for r in got} == want
+
+
+def test_keywords_are_counted_without_a_sort(spark):
+    """Words are counted in a hash table; ties go by kind, rank and place, each compared as a number."""
+    big = 2**31 - 1
+    rows = [("d", 1, 1, ["n", "w"]), ("d", 0, big, ["p", "q"]), ("d", 0, 10, ["b", "a"]), ("d", 0, 9, ["c"]), (None, 1, big, ["z"]), ("d", 1, 2, None), ("d", 1, 3, ["w", "n"])]
+    found = aggregates.top_keywords(spark.createDataFrame(rows, "report_date string, kind_order int, rank int, keywords array<string>"), 6)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.keyword, r.n) for r in sorted(found.where("report_date = 'd'").collect(), key=lambda r: r.place)] == [("n", 2), ("w", 2), ("c", 1), ("b", 1), ("a", 1), ("p", 1)]
+    assert [(r.keyword, r.place) for r in found.where("report_date is null").collect()] == [("z", 1)]
