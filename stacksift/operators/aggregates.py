@@ -120,10 +120,18 @@ def category_context(papers: DataFrame) -> DataFrame:
 
 
 def news_context(news: DataFrame, days: DataFrame) -> DataFrame:
-    """AG-12: per day and chunk of ranks, the blocks of analysed news; chunk 0 with a fixed text on days without news."""
+    """AG-12: per day and chunk of ranks, the blocks of analysed news; chunk 0 with a fixed text on days without news.
+
+    Contexts are not joined to days, which would put a day's whole context in one task: news of other days are left out
+    before they are put together, and days without news are added. The days, one row each, are broadcast.
+    """
     block = F.concat(F.lit("Title: "), "title", F.lit("\nSource: "), "source_name", F.lit("\nSummary: "), "summary", F.lit("\nCategory: "), "category", F.lit("\n"))
-    made = joined_blocks(news.select(F.col("report_date").alias("day"), "rank", block.alias("block")), ["day"])
-    return days.select("report_date").distinct().join(made, F.col("report_date").eqNullSafe(F.col("day")), "left").select("report_date", F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"), F.coalesce("context", F.lit("今日暂无重大热点新闻。")).alias("context"))
+    wanted, told = days.select("report_date").distinct(), news.select(F.col("report_date").alias("day")).distinct()
+    same = F.col("report_date").eqNullSafe(F.col("day"))
+    listed = news.join(F.broadcast(wanted.withColumnRenamed("report_date", "day")), same, "left_semi")
+    made = joined_blocks(listed.select("report_date", "rank", block.alias("block")), ["report_date"])
+    empty = wanted.join(F.broadcast(told), same, "left_anti").select("report_date", F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("string").alias("context"))
+    return made.unionByName(empty).withColumn("context", F.coalesce("context", F.lit("今日暂无重大热点新闻。")))
 
 
 def joined_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:

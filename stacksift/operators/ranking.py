@@ -158,7 +158,8 @@ def ranked(df: DataFrame, order: list[Column], day: str) -> DataFrame:
     Rows are put in ranges of (day, order) of near equal size, sorted in each, and numbered there; a row's rank is
     its number among its day's in its range, and the day's rows in the ranges before. The ranges are written as a
     table of the shared folder, so that a lost executor cannot move their bounds; they are shuffled once. What is
-    joined to them has one row per day and range. order must end in a unique key.
+    joined to them has one row per day and range, which is broadcast: a range's rows meet in no task of a further
+    shuffle. order must end in a unique key.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -168,7 +169,7 @@ def ranked(df: DataFrame, order: list[Column], day: str) -> DataFrame:
     each = table.groupBy(F.col(day).alias("_day"), F.col("_range").alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_day").orderBy("_of")) - F.col("_n")
     begins = each.select("_day", "_of", (F.col("_first") - before - 1).alias("_base"))
-    placed = table.join(begins, F.col(day).eqNullSafe(F.col("_day")) & (F.col("_range") == F.col("_of")))
+    placed = table.join(F.broadcast(begins), F.col(day).eqNullSafe(F.col("_day")) & (F.col("_range") == F.col("_of")))
     return placed.select(*df.columns, (F.col("_at") - F.col("_base")).cast("int").alias("rank_in_day"))
 
 

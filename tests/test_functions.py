@@ -175,3 +175,18 @@ def test_keywords_are_counted_without_a_sort(spark):
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.keyword, r.n) for r in sorted(found.where("report_date = 'd'").collect(), key=lambda r: r.place)] == [("n", 2), ("w", 2), ("c", 1), ("b", 1), ("a", 1), ("p", 1)]
     assert [(r.keyword, r.place) for r in found.where("report_date is null").collect()] == [("z", 1)]
+
+
+def test_contexts_are_not_joined_to_days(spark):
+    """A day's context is never in one task: no shuffle by day alone. News of other days are left out; a null day counts."""
+    news = spark.createDataFrame([("d", r, f"t{r}", "s", "x", "c") for r in range(1, 402)] + [(None, 1, "n", "s", "x", "c"), ("other", 1, "o", "s", "x", "c")], "report_date string, rank int, title string, source_name string, summary string, category string")
+    days = spark.createDataFrame([("d",), ("d",), (None,), ("e",)], "report_date string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = aggregates.news_context(news, days)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.report_date, r.chunk): r.context for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(got) == {("d", 0), ("d", 1), ("d", 2), (None, 0), ("e", 0)} and got["e", 0] == "今日暂无重大热点新闻。"
+    assert got["d", 2].startswith("Title: t401\n") and got["d", 0].count("\n---\n") == 199 and got[None, 0] == "Title: n\nSource: s\nSummary: x\nCategory: c\n"

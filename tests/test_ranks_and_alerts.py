@@ -127,6 +127,17 @@ def test_ranks_of_a_hot_day(spark, papers):
     assert ranking.ranked(df.limit(0), ranking.paper_order(), "report_date").count() == 0
 
 
+def test_ranked_rows_are_shuffled_once(spark, papers):
+    """What is joined to the ranges is small and broadcast: their rows are not shuffled again, by day and range."""
+    _, df = papers
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ranking.ranked(df, ranking.paper_order(), "report_date")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_no_range_of_a_hot_day_is_large(spark, papers):
     """Every range holds about the same number of rows, whatever its days."""
     _, df = papers
