@@ -148,15 +148,15 @@ def daily_report(
     weight, published, analysis_status, analysis_category, keywords, content, report_date. of_paper gets such a row
     and returns {"tags": ..}; of_news returns {"category": .., "keywords": ..}. A row whose analyser raises is failed.
     analyzed: ids done before, which stay as they are; papers under min_score are not analysed. Results are written
-    once before they are counted, so no row is analysed twice.
+    once before they are counted, so no row is analysed twice; of the rows only their ids come back with them.
     """
     spark = papers.sparkSession
     queue = written_table(joins.work_queue(papers, news, analyzed, min_score), staging_folder(spark, "queue"))
     asked = lambda df, kind: df.join(queue.where(F.col("kind") == kind).select("id"), "id", "left_semi")
     tagged = T.StructType.fromDDL("tags array<string>")
     sorted_out = T.StructType.fromDDL("category string, keywords array<string>")
-    done = written_table(analyze.analyze(asked(papers, "paper").select(*[c for c in ("id", "primary_category", "title", "abstract") if c in papers.columns]), of_paper, tagged, now, concurrency), staging_folder(spark, "analysed-papers"))
-    told = written_table(analyze.analyze(asked(news, "news").select(*[c for c in ("id", "doc_id", "title", "content", "summary") if c in news.columns]), of_news, sorted_out, now, concurrency), staging_folder(spark, "analysed-news"))
+    done = written_table(analyze.analyze(asked(papers, "paper").select(*[c for c in ("id", "primary_category", "title", "abstract") if c in papers.columns]), of_paper, tagged, now, concurrency, ["id"]), staging_folder(spark, "analysed-papers"))
+    told = written_table(analyze.analyze(asked(news, "news").select(*[c for c in ("id", "doc_id", "title", "content", "summary") if c in news.columns]), of_news, sorted_out, now, concurrency, ["id"]), staging_folder(spark, "analysed-news"))
     result = lambda df, **more: df.select("id", "analysis_status", *[F.col(f"light_analysis.{v}").alias(k) for k, v in more.items()])
     p = joins.overlay_results(papers, papers.drop("analysis_status", "tags").join(result(done, tags="tags"), "id"))
     n = joins.overlay_results(news, news.drop("analysis_status", "analysis_category", "keywords").join(result(told, analysis_category="category", keywords="keywords"), "id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stacksift import workflows
+from stacksift.operators import analyze
 from stacksift.sources import daylog
 
 NOW = datetime(2024, 3, 2, 15, 0)
@@ -108,3 +109,11 @@ def test_report_analyses_only_what_is_open(spark):
     stats = report.stats.first()
     assert (stats.total_papers, stats.total_news, stats.news_by_category) == (4, 1, {"k": 1}) and stats.top_keywords == ["x", "a", "kept"]
     assert report.summary.first().summary == "今日共收录 4 篇论文，1 条热点资讯。热门领域：cs.AI、cs.CL。热门关键词：x、a、kept。"
+
+
+def test_only_ids_come_back_from_the_analyser(spark):
+    """A long text goes to the analyser and not back with its result."""
+    df = spark.createDataFrame([("a", "some text"), ("b", None)], "id string, content string")
+    found = analyze.analyze(df, lambda row: {"n": len(row["content"])}, workflows.T.StructType.fromDDL("n long"), NOW, keep=["id"])
+    assert found.columns == ["id", "light_analysis", "analysis_status", "analysis_error", "analyzed_at"]
+    assert {(r.id, r.light_analysis and r.light_analysis.n, r.analysis_status) for r in found.collect()} == {("a", 9, "success"), ("b", None, "failed")}
