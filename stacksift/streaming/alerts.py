@@ -71,13 +71,14 @@ class StarAlerts(StatefulProcessor):
                     held.append(row)
             held = open_rows(held)
         self.keep(held)
-        yield pd.DataFrame(late, columns=COLUMNS)
+        if late:  # a frame costs more than a repository's rows, and most have nothing to say yet
+            yield pd.DataFrame(late, columns=COLUMNS)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
         held = sorted((int(a), int(e), int(s)) for a, e, s in self.waiting.get())
         ready = [r for r in held if r[0] // 1000 < mark]
-        first_at, first_stars, double_done, ten_done = self.done.get() if self.done.exists() else (None, None, False, False)
+        first_at, first_stars, double_done, ten_done = self.done.get() or (None, None, False, False)
         out = []
         for at, event, stars in ready:
             new = first_at is None
@@ -91,7 +92,8 @@ class StarAlerts(StatefulProcessor):
         if ready:
             self.done.update((int(first_at), int(first_stars), double_done, ten_done))
         self.keep(held[len(ready) :])
-        yield pd.DataFrame(out, columns=COLUMNS)
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
 
 
 def stream_star_alerts(observations: DataFrame, delay_hours: int = 48) -> DataFrame:

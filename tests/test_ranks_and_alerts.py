@@ -102,6 +102,36 @@ def test_waiting_rows_are_few():
     assert alerts.open_rows([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1)]) == [(1, 1, 0), (2, 2, 0), (4, 4, 1)]
 
 
+class Held:
+    """A state of one key, and a handle and timer values, that count what is asked of them."""
+
+    def __init__(self):
+        self.asked, self.value = [], None
+
+    def __getattr__(self, name):
+        def ask(*values):
+            self.asked.append(name)
+            if name in ("put", "update", "clear"):
+                self.value = values[0] if values else None
+            return self if name.startswith("get") and name.endswith("State") else 5000 if name == "getCurrentWatermarkInMs" else self.value
+
+        return ask
+
+
+def test_a_quiet_repository_costs_no_frame():
+    """Without a late row or an alert nothing is put out, and what was said is asked for once."""
+    p, now = alerts.StarAlerts(), Held()
+    p.handle, p.waiting, p.done = Held(), Held(), Held()
+    p.waiting.value = []
+    frame = alerts.pd.DataFrame({"at": [6_000_000], "event_id": [1], "stars": [3]})
+    assert list(p.handleInputRows(("a",), iter([frame]), now)) == [] and p.waiting.value == [(6_000_000, 1, 3)]
+    p.waiting.value, p.done.value = [(4_000_000, 1, 3)], (1, 2, False, False)
+    assert list(p.handleExpiredTimer(("a",), now, None)) == [] and p.done.asked == ["get", "update"] and p.waiting.value is None
+    p.waiting.value, p.done.value = [(4_000_000, 1, 3)], None
+    (said,) = p.handleExpiredTimer(("a",), now, None)
+    assert said.values.tolist() == [["a", 1, 4_000_000, 3, True, False, False, False]] and p.done.value == (4_000_000, 3, False, False)
+
+
 def ranked_by_hand(rows):
     by = {}
     for r in rows:
